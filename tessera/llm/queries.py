@@ -17,8 +17,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
