@@ -24,9 +24,18 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, identify
+
+    documents = table(spark, sf_dir, "documents")
+    found = identify(documents.select("doc_id", "text"), fit(documents))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_set").alias("languages"))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
