@@ -17,6 +17,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,12 +56,76 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_set").alias("languages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import BASE_RULES, MORE_RULES, cascade, order
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    show = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return cascade(documents, order(documents, MORE_RULES), show=show, base=BASE_RULES)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_url_filter": op2_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The words of url_filter.WORDS as one RE2 pattern over host + path.
+_WORDS = r"(^|[^A-Za-z0-9])(spam|spam[-._]farm|cheap[-._]pills|online[-._]casino|casino|free[-._]porn|porn|xxx|viagra|payday[-._]loans|warez|phishing)([^A-Za-z0-9]|$)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": rf"""
+WITH parts AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages),
+rules (rhost, rpath, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fit AS (
+    SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action
+    FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+    GROUP BY page_id)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NOT NULL THEN action
+            WHEN host = '' OR regexp_matches(host || path, '{_WORDS}') THEN 'block' ELSE 'allow' END AS verdict
+FROM parts LEFT JOIN fit USING (page_id)
+""",
+    "op9_quality": r"""
+WITH base AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+spot AS (
+    SELECT doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM base)),
+again AS (SELECT doc_id, i FROM spot QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM base),
+lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+figures AS (
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, w -> length(w))), 0) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(lines.n - lines.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
+    FROM base LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 15 * n_words) AS kept
+FROM judged
+""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+""",
+}
