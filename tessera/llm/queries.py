@@ -112,7 +112,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM base),
 lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 figures AS (
-    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, w -> length(w))), 0) AS BIGINT) AS word_chars,
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
            CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
            CAST(coalesce(lines.n - lines.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
     FROM base LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
