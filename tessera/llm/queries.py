@@ -23,6 +23,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10, scale=1024.0)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +55,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, held_out, identify
 
@@ -73,9 +86,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
+    "op3_topk": op3_topk,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
@@ -84,7 +99,48 @@ QUERIES = {
 #: The words of url_filter.WORDS as one RE2 pattern over host + path.
 _WORDS = r"(^|[^A-Za-z0-9])(spam|spam[-._]farm|cheap[-._]pills|online[-._]casino|casino|free[-._]porn|porn|xxx|viagra|payday[-._]loans|warez|phishing)([^A-Za-z0-9]|$)"
 
+def _license_sql() -> str:
+    from .license_scan import BLOCK, PHRASES, STRIDE, TEMPLATES, THRESHOLD
+
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
+    return rf"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws,
+           regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lw
+    FROM documents),
+phrases (phrase, label) AS (VALUES {phrases}),
+spots AS (
+    SELECT doc_id, label, i - 1 AS place
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), phrases
+    WHERE ws[i] = split_part(phrase, ' ', 1) AND array_to_string(ws[i : i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM spots GROUP BY doc_id),
+templates (k, label, words) AS (VALUES {templates}),
+tokens AS (SELECT DISTINCT k, label, unnest(string_split(words, ' ')) AS t FROM templates),
+sizes AS (SELECT k, label, count(*) AS n FROM tokens GROUP BY k, label),
+placed AS (SELECT doc_id, lw[i] AS t, (i - 1) // {STRIDE} AS b FROM (SELECT doc_id, lw, unnest(range(1, len(lw) + 1)) AS i FROM d)),
+blocks AS (SELECT doc_id, b, t FROM placed UNION SELECT doc_id, b - 1, t FROM placed WHERE b > 0),
+held AS (SELECT doc_id, b, k, count(*) AS n FROM blocks JOIN tokens USING (t) GROUP BY doc_id, b, k),
+passed AS (SELECT doc_id, label, held.n / sizes.n AS share FROM held JOIN sizes USING (k) WHERE held.n >= ceil({THRESHOLD} * sizes.n - 1e-9)),
+both_ AS (
+    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
+    FROM (SELECT doc_id, label, share FROM passed UNION ALL SELECT doc_id, label, 1.0 FROM spots) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, f AS first_word, l AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(both_.labels, '') AS labels, coalesce(CAST(share AS DOUBLE), 0.0) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN both_ USING (doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": """
+WITH v AS (
+    SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""",
+    "op7_license_scan": _license_sql(),
     "op2_url_filter": rf"""
 WITH parts AS (
     SELECT page_id,
