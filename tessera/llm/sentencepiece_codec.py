@@ -177,10 +177,10 @@ def encode(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` without its ids, with the text that they decode to. Null ids decode to an empty text."""
+def decode(df: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded", keep_ids: bool = False) -> DataFrame:
+    """``df`` with the text that its ids decode to, and with the ids only if asked. Null ids decode to an empty text."""
     df = df.drop(out)
-    rest = [f for f in df.schema if f.name != ids_col]
+    rest = [f for f in df.schema if f.name != ids_col or keep_ids]
 
     def run(batches):
         codec = Codec(model)

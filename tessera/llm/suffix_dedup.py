@@ -211,22 +211,23 @@ def _suffixes(length: int):
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, doc): doc numbers documents in order; rows with the same id and text are one document."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col("id").isNull())).first()
-    if rows.schema["id"].dataType.simpleString() in ("bigint", "int") and (seen[0] or 0) <= 1 and not seen[1]:
-        return rows.select("id", "text", F.col("id").cast("long").alias("doc"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    keys = rows.select("id", "h").distinct().orderBy(F.col("id").asc_nulls_last(), "h")
-    kind = keys.schema["id"].dataType.simpleString()
-    keys = df.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), f"i {kind}, g long, doc long")
-    return rows.join(materialise(keys), F.expr("id <=> i and h = g")).select("id", "text", "doc")
+    """``df`` with __text (null: empty) and __doc: the number of each document in order; rows with equal id and text are one document."""
+    df = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    seen = df.groupBy(id_col).agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col(id_col).isNull())).first()
+    if df.schema[id_col].dataType.simpleString() in ("bigint", "int") and (seen[0] or 0) <= 1 and not seen[1]:
+        return df.withColumn("__doc", F.col(id_col).cast("long"))
+    df = df.withColumn("__hash", F.xxhash64("__text"))
+    keys = df.select(F.col(id_col).alias("i"), F.col("__hash").alias("g")).distinct().orderBy(F.col("i").asc_nulls_last(), "g")
+    kind = keys.schema["i"].dataType.simpleString()
+    keys = df.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), f"i {kind}, g long, __doc long")
+    return df.join(materialise(keys), F.expr(f"`{id_col}` <=> i and __hash = g")).drop("i", "g", "__hash")
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc, start, n): n windows from ``start`` on occur earlier too. ``docs``: (doc, text)."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
     blob, flat = "bucket int, kind byte, blob binary", "kind byte, doc long, start int, n int"
 
     def parse(batches):
@@ -238,18 +239,20 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
         yield from _collected(places(), buckets, length)
 
+    def suffixes(batches):
+        yield from _collected(_suffixes(length)(batches), buckets, length)
+
     def deal(rows: DataFrame, shared: bool) -> DataFrame:
-        return materialise(rows.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(length, shared), flat))
+        return materialise(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(length, shared), flat))
 
-    found = deal(docs.select("doc", "text").mapInArrow(parse, blob), True)
+    found = deal(docs.mapInArrow(parse, blob), True)
     lists = found.filter(f"kind = {SHARED}").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    suffixes = lambda batches: _collected(_suffixes(length)(batches), buckets, length)
     more = deal(docs.join(lists, "doc").select("doc", "text", "spans").mapInArrow(suffixes, blob), False)
     return found.filter(f"kind = {REPEAT}").unionByName(more).select("doc", "start", "n")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id, kept binary, n_bytes, n_removed, n_spans): each text without the bytes of strings that start earlier too.
+    """``df`` without its text, with kept (binary), n_bytes, n_removed and n_spans: each text without strings that start earlier too.
 
     A byte goes if a string of ``length`` bytes covers it that also starts
     earlier: in a document with a smaller id, or before in its own. Strings are
@@ -258,15 +261,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Defined cases: a null text is empty; texts shorter than ``length`` stay whole;
     null ids come last; rows with equal id and text are one document and get the
     same result, rows with equal ids and different texts are two, ordered by a
-    hash of the text. Bytes, not characters, are removed. Other columns play no part.
+    hash of the text. Bytes, not characters, are removed. Columns of these names
+    in ``df`` are replaced, others stay.
     """
-    docs = _documents(df, id_col, text_col)
-    lists = repeats(docs, length).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    made = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long"}
+    rest = [f for f in df.schema if f.name != text_col and f.name not in made]
+    docs = _documents(df.select(*(f"`{f.name}`" for f in rest), f"`{text_col}`"), id_col, text_col)
+    lists = repeats(docs.select(F.col("__doc").alias("doc"), F.col("__text").alias("text")), length)
+    lists = lists.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
 
     def run(batches):
         for batch in batches:
-            data, at = raw_bytes(batch.column(1))
-            lists = batch.column(2)
+            data, at = raw_bytes(batch.column(0))
+            lists = batch.column(1)
             kept, figures = [], np.zeros((batch.num_rows, 3), np.int64)
             for row in range(batch.num_rows):
                 text = data[at[row] : at[row + 1]]
@@ -279,9 +286,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     figures[row, 1:] = gone.sum(), gone[0] + np.count_nonzero(gone[1:] & ~gone[:-1])
                     text = text[~gone]
                 kept.append(text.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in figures.T)], names=["id", "kept", "n_bytes", "n_removed", "n_spans"])
+            columns = [*batch.columns[2:], pa.array(kept, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in figures.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), *made])
+
+    joined = docs.join(lists, docs["__doc"] == lists["doc"], "left").select("__text", "__spans", *(f"`{f.name}`" for f in rest))
+    return joined.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {t}" for c, t in made.items()]))
 
-    kind = df.schema[id_col].dataType.simpleString()
-    joined = docs.join(lists, "doc", "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, f"id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
 
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+    """``df`` with its texts cut by ``remove_repeats``; what is left of a character cut in part goes too. Null texts become empty."""
+    cut = remove_repeats(df, id_col, text_col, length)
+    valid = F.is_valid_utf8(F.col("kept").cast("string"))
+    # Bytes that form no character become U+FFFD and are taken out; texts that hold U+FFFD themselves and are valid stay as they are.
+    text = F.when(valid, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    return cut.withColumn(text_col, text).select(*df.columns)
