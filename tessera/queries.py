@@ -69,10 +69,10 @@ def clean_phone(a):
     return a.table("customer").select("c_custkey", S.phone(raw).alias("phone"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 2, 4) THEN true WHEN c_custkey % 6 IN (1, 5) THEN false END AS flag FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 2, 4) THEN 'true' WHEN c_custkey % 6 IN (1, 5) THEN 'false' END AS flag FROM customer")
 def clean_boolean(a):
     words = F.array(*map(F.lit, ("Yes", "no", "1", "maybe", "TRUE", "N")))
-    return a.table("customer").select("c_custkey", S.boolean(words[(F.col("c_custkey") % 6).cast("int")]).alias("flag"))
+    return a.table("customer").select("c_custkey", S.boolean(words[(F.col("c_custkey") % 6).cast("int")]).cast("string").alias("flag"))
 
 
 @query("SELECT p_partkey, p_name || ' x y' AS trimmed, ' ' || p_name || ' x y ' AS collapsed, p_name || chr(9) || '  x  y' AS stripped FROM part")
