@@ -217,10 +217,10 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if df.schema[id_col].dataType.simpleString() in ("bigint", "int") and (seen[0] or 0) <= 1 and not seen[1]:
         return df.withColumn("__doc", F.col(id_col).cast("long"))
     df = df.withColumn("__hash", F.xxhash64("__text"))
-    keys = df.select(F.col(id_col).alias("i"), F.col("__hash").alias("g")).distinct().orderBy(F.col("i").asc_nulls_last(), "g")
-    kind = keys.schema["i"].dataType.simpleString()
-    keys = df.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), f"i {kind}, g long, __doc long")
-    return df.join(materialise(keys), F.expr(f"`{id_col}` <=> i and __hash = g")).drop("i", "g", "__hash")
+    keys = df.select(F.col(id_col).alias("__i"), F.col("__hash").alias("__g")).distinct().orderBy(F.col("__i").asc_nulls_last(), "__g")
+    kind = keys.schema["__i"].dataType.simpleString()
+    keys = df.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), f"__i {kind}, __g long, __doc long")
+    return df.join(materialise(keys), F.expr(f"`{id_col}` <=> __i and __hash = __g")).drop("__i", "__g", "__hash")
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -268,7 +268,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = [f for f in df.schema if f.name != text_col and f.name not in made]
     docs = _documents(df.select(*(f"`{f.name}`" for f in rest), f"`{text_col}`"), id_col, text_col)
     lists = repeats(docs.select(F.col("__doc").alias("doc"), F.col("__text").alias("text")), length)
-    lists = lists.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
+    lists = lists.groupBy(F.col("doc").alias("__of")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
 
     def run(batches):
         for batch in batches:
@@ -289,7 +289,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [*batch.columns[2:], pa.array(kept, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in figures.T)]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), *made])
 
-    joined = docs.join(lists, docs["__doc"] == lists["doc"], "left").select("__text", "__spans", *(f"`{f.name}`" for f in rest))
+    joined = docs.join(lists, F.col("__doc") == F.col("__of"), "left").select("__text", "__spans", *(f"`{f.name}`" for f in rest))
     return joined.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {t}" for c, t in made.items()]))
 
 
