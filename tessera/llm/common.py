@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,33 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch of rows that goes to Python at once, unless the session's bound is lower; a single row may be larger.
+BATCH = 8 << 20
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` within bounded memory: small batches, and a worker that ends a task hands back what it has freed.
+
+    Workers live on between tasks beside the executor's heap, so memory that they
+    keep for later would count for the next stage too.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (conf.get(key) or "").lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        conf.set(key, str(BATCH))
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, all rows after another, and n + 1 offsets.
 
@@ -57,7 +87,7 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """Cut a batch so that each part holds ``most`` bytes of text or a single row."""
     _, offsets = raw_bytes(batch.column(text))
     start = 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices
+from .common import map_batches, raw_bytes, slices
 
 NGRAM, BUCKETS, SEGMENT, ROUNDS = 4, 1 << 16, 64, 8
 UNKNOWN = "und"
@@ -129,7 +129,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     counts = np.zeros(BUCKETS * len(languages))
-    found = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(rows, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     counts[found["key"].to_numpy(np.int64)] = found["n"]
     return Model(languages, counts.reshape(BUCKETS, -1).T)
 
@@ -159,7 +159,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", penalty: float
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=names)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{k} {v}" for k, v in made.items()])
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:

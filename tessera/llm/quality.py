@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_batches, slices
 
 #: ASCII white space and the symbols that are counted.
 WHITE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -115,7 +115,7 @@ def order(df: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "spent": spent, "rejected": rejected})
 
-    found = drawn.mapInArrow(run, "rule string, spent double, rejected long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected"))
+    found = map_batches(drawn, run, "rule string, spent double, rejected long").groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected"))
     worth = {r["rule"]: r["rejected"] / max(r["spent"], 1e-9) for r in found.collect()}
     return sorted(rules, key=lambda r: (-worth.get(r.name, 0.0), r.name))
 
@@ -144,4 +144,4 @@ def cascade(df: DataFrame, rules: list[Rule] | tuple[Rule, ...], text_col: str =
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *arrays, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=[*(f.name for f in rest), *show, "base_failed", "kept"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} long" for c in show] + ["base_failed boolean", "kept boolean"])
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_batches, slices
 
 BLANK = "▁"
 _BLANK = BLANK.encode()
 #: Distinct segments that a task remembers before it starts anew; longer segments than KEY characters are not kept.
-CACHE, KEY = 200_000, 48
+CACHE, KEY = 60_000, 48
 
 
 class CharacterMap:
@@ -167,14 +167,14 @@ def encode(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     def run(batches):
         codec = Codec(model)
         for whole in batches:
-            for batch in slices(whole, text_col, 4 << 20):
+            for batch in slices(whole, text_col):
                 found = [codec.encode((t or "").encode()) for t in batch.column(text_col).to_pylist()]
                 cut = pa.array(np.append(0, np.cumsum([len(x[0]) for x in found])).astype(np.int32))
                 arrays = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([x[k] for x in found]))) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *arrays], names=[*(f.name for f in rest), *made])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} array<int>" for c in made])
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded", keep_ids: bool = False) -> DataFrame:
@@ -189,7 +189,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded"
             texts = [codec.decoder.decode(np.asarray(ids[k].values).tolist()) if ids[k].is_valid and len(ids[k]) else "" for k in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], names=[*(f.name for f in rest), out])
 
-    return df.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{out}` string"]))
+    return map_batches(df, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{out}` string"]))
 
 
 def ids_digest(ids: str = "ids"):

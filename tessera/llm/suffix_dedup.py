@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import materialise, raw_bytes
+from .common import map_batches, materialise, raw_bytes
 
 #: Fixed parameters of the parse. They steer cost only: any values give the same result.
-GRAM, CHUNK, FLUSH, BASE, SEED = 29, 1 << 20, 1 << 19, 0x9E3779B97F4A7C15, 20240229
+GRAM, CHUNK, FLUSH, BASE, SEED = 29, 1 << 19, 1 << 18, 0x9E3779B97F4A7C15, 20240229
 _PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _FLAT = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
@@ -243,11 +243,11 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         yield from _collected(_suffixes(length)(batches), buckets, length)
 
     def deal(rows: DataFrame, shared: bool) -> DataFrame:
-        return materialise(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(length, shared), flat))
+        return materialise(map_batches(rows.repartition(parts, "bucket").sortWithinPartitions("bucket"), _resolve(length, shared), flat))
 
-    found = deal(docs.mapInArrow(parse, blob), True)
+    found = deal(map_batches(docs, parse, blob), True)
     lists = found.filter(f"kind = {SHARED}").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    more = deal(docs.join(lists, "doc").select("doc", "text", "spans").mapInArrow(suffixes, blob), False)
+    more = deal(map_batches(docs.join(lists, "doc").select("doc", "text", "spans"), suffixes, blob), False)
     return found.filter(f"kind = {REPEAT}").unionByName(more).select("doc", "start", "n")
 
 
@@ -290,7 +290,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), *made])
 
     joined = docs.join(lists, F.col("__doc") == F.col("__of"), "left").select("__text", "__spans", *(f"`{f.name}`" for f in rest))
-    return joined.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {t}" for c, t in made.items()]))
+    return map_batches(joined, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {t}" for c, t in made.items()]))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 BLOCK, QUERIES, LEVELS = 4096, 256, 4
 #: Quantised components saturate here, so that any inner product of up to 128 dimensions fits a long.
@@ -127,9 +127,9 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0,
     """
     blob = "ids binary, x binary, dims int"
     groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialise(df.select(id_col, vector_col).mapInArrow(_blobs(BLOCK, scale), blob))
+    blocks = materialise(map_batches(df.select(id_col, vector_col), _blobs(BLOCK, scale), blob))
     blocks = blocks.select("*", F.monotonically_increasing_id().alias("block")).withColumn("g", F.pmod(F.hash("block"), F.lit(groups)))
-    asked = queries.select(id_col, vector_col).repartition(max(1, groups // 4)).mapInArrow(_blobs(QUERIES, scale), blob)
+    asked = map_batches(queries.select(id_col, vector_col).repartition(max(1, groups // 4)), _blobs(QUERIES, scale), blob)
     asked = asked.select(F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     pairs = blocks.join(asked, "g").sortWithinPartitions("block").select("block", "ids", "x", "dims", "q_ids", "q", "q_dims")
 
@@ -147,7 +147,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0,
                 found = [index.search(own, v[:dims], k) for own, v in zip(q_ids.tolist(), asked, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(f[0]) for f in found])), *(pa.array(np.concatenate([f[j] for f in found])) for j in range(2))], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = map_batches(pairs, run, "query_id long, vec_id long, score long")
     first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("tied", F.dense_rank().over(first)).filter(F.col("tied") <= k).distinct()
     return found.select("query_id", F.col("tied").cast("int").alias("rank"), "vec_id", "score")

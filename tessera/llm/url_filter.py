@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 ALLOW, BLOCK = "allow", "block"
 _TOKEN = re.compile("[A-Za-z0-9]+")
 
@@ -114,4 +116,4 @@ def judge(df: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = SITES +
             arrays = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *made[2:]])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import map_batches, materialise, shared_dir
 
 #: Payloads below this size are always written whole.
 REVISIT_FROM = 100
@@ -111,7 +111,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
                 out.close()
 
     index = f"{folder}/index"
-    pages.mapInArrow(run, _INDEX).write.parquet(index)
+    map_batches(pages, run, _INDEX).write.parquet(index)
     return df.sparkSession.read.schema(_INDEX).parquet(index)
 
 
@@ -155,7 +155,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
         if group:
             yield fetched(group)
 
-    return rows.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_batches(rows, run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
