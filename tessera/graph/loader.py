@@ -97,7 +97,8 @@ def similar_to(products: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     and a row's place is the count of the ranges before plus its place in its range.
     """
     x = products.select(safe_str(F.col("category")).alias("category"), safe_str(F.col("product_id")).alias("id")).filter("category is not null and id is not null").distinct()
-    x = x.repartitionByRange("category", "id").withColumn("part", F.spark_partition_id())
+    # Kept, so that the count of each range and the rows in it come from one and the same cut.
+    x = x.repartitionByRange("category", "id").withColumn("part", F.spark_partition_id()).persist()
     counts = x.groupBy("category", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("category").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("category", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(W.partitionBy("category")).alias("size"))
