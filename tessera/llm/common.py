@@ -43,6 +43,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles that nothing refers to any more removed now.
+
+    Spark removes them when the driver happens to collect garbage. After a large
+    table is written, its shuffles would else lie beside those of the next step.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes of a batch of rows that goes to Python at once, unless the session's bound is lower; a single row may be larger.
 BATCH = 8 << 20
 

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import map_batches, materialise, raw_bytes
+from .common import map_batches, materialise, raw_bytes, release
 
 #: Fixed parameters of the parse. They steer cost only: any values give the same result.
-GRAM, CHUNK, FLUSH, BASE, SEED = 29, 1 << 19, 1 << 18, 0x9E3779B97F4A7C15, 20240229
+GRAM, CHUNK, FLUSH, BASE, SEED = 45, 1 << 19, 1 << 18, 0x9E3779B97F4A7C15, 20240229
 _PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _FLAT = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
@@ -243,7 +243,10 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         yield from _collected(_suffixes(length)(batches), buckets, length)
 
     def deal(rows: DataFrame, shared: bool) -> DataFrame:
-        return materialise(map_batches(rows.repartition(parts, "bucket").sortWithinPartitions("bucket"), _resolve(length, shared), flat))
+        made = materialise(map_batches(rows.repartition(parts, "bucket").sortWithinPartitions("bucket"), _resolve(length, shared), flat))
+        del rows
+        release(spark)
+        return made
 
     found = deal(map_batches(docs, parse, blob), True)
     lists = found.filter(f"kind = {SHARED}").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
