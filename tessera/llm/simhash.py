@@ -128,3 +128,98 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     gone = near_duplicates(df, id_col, text_col, width, most).filter(F.col("id") > F.col("component")).select(F.col("id").alias("__gone")).distinct()
     gone = materialise(gone)
     return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+
+
+# --- wide fingerprints, for texts that share most of their shingles ---
+
+WORDS = 8
+#: 1 - arccos(2 * 0.8 / 1.8) / pi: the share of equal bits at a Jaccard similarity of 0.8 between shingle sets.
+WIDE_MOST = round(64 * WORDS * 0.1515)
+#: The ring has boxes of STEP bits; CHAIN equal boxes in a row are a join key.
+STEP, CHAIN = 4, 6
+#: A bucket of more classes than this links each of them with the smallest one only.
+WIDE_PAIRS_UP_TO = 4
+
+
+def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
+    """A SimHash of 512 bits over the distinct shingles of a text, as eight numbers; zeros if there is no word."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(WORDS, np.uint64)
+    shingles = set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [words]
+    h = np.fromiter((xxh64_intdigest(b" ".join(s), 42) for s in shingles), np.uint64, len(shingles))
+    total = np.zeros(BITS * WORDS, np.int64)
+    for part in np.array_split(h, 1 + len(h) // 16384):
+        wide = np.empty((len(part), WORDS), np.uint64)
+        for k in range(WORDS):
+            x = part + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            wide[:, k] = x ^ x >> np.uint64(31)
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        # Sums of up to 255 rows fit a byte.
+        whole = len(bits) // 255 * 255
+        total += bits[:whole].reshape(-1, 255, BITS * WORDS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)
+
+
+def wide_links(classes: DataFrame) -> DataFrame:
+    """(src, dst) between classes (node, f0 to f7) at ``WIDE_MOST`` or fewer differing bits that share a key.
+
+    A pair of 0.9 nearly always has a run of CHAIN equal boxes, one of 0.8 in most
+    cases; candidates are then compared on all bits. Classes
+    in a bucket of up to ``WIDE_PAIRS_UP_TO`` are compared pair by pair, those in a
+    larger one with its smallest, so a bucket makes no more rows than it has.
+    """
+    f = [F.col(f"f{k}") for k in range(WORDS)]
+    keys = []
+    for s in range(BITS * WORDS // STEP):
+        word, off = divmod(s * STEP, BITS)
+        low = F.shiftrightunsigned(f[word], off)
+        if off + STEP * CHAIN > BITS:
+            low = low.bitwiseOR(F.shiftleft(f[(word + 1) % WORDS], BITS - off))
+        keys.append(low.bitwiseAND(F.lit((1 << STEP * CHAIN) - 1)) * 128 + s)
+    keyed = classes.select("node", F.explode(F.array(*keys)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    keyed = materialise(keyed.join(shared, "key"))
+    few = keyed.filter(F.col("n") <= WIDE_PAIRS_UP_TO)
+    pairs = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").filter("src > dst").select("src", "dst")
+    stars = keyed.filter((F.col("n") > WIDE_PAIRS_UP_TO) & (F.col("node") > F.col("least"))).select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    found = pairs.unionByName(stars).distinct()
+    side = lambda end: classes.select(F.col("node").alias(end), F.array(*f).alias(f"{end}_f"))
+    found = found.join(side("src"), "src").join(side("dst"), "dst")
+    differ = sum((F.bit_count(F.col("src_f")[k].bitwiseXOR(F.col("dst_f")[k])) for k in range(1, WORDS)), F.bit_count(F.col("src_f")[0].bitwiseXOR(F.col("dst_f")[0])))
+    return found.filter(differ <= WIDE_MOST).select("src", "dst")
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id, component) for each row: groups of texts with about 0.8 or more of their shingles in common, linked through others too.
+
+    The similarity is that of the 512-bit fingerprints. Exact copies, and texts
+    that differ only in case or white space, are always together. Defined cases are those of
+    ``near_duplicates``; wordless texts are one group.
+    """
+
+    def run(batches):
+        for batch in batches:
+            data, at = raw_bytes(batch.column(1))
+            fps = np.array([wide_fingerprint(data[a:b].tobytes(), width) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=["id", *(f"f{k}" for k in range(WORDS))])
+
+    f = [f"f{k}" for k in range(WORDS)]
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, " + ", ".join(f"{c} long" for c in f))
+    rows = materialise(rows.withColumn("node", F.xxhash64(*f)))
+    classes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in f]))
+    roots = materialise(components(wide_links(classes.select("node", *f))))
+    rooted = classes.select("node", "least").join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = materialise(rooted.join(named, "root").select("node", "component"))
+    return rows.select("id", "node").join(named, "node").select("id", "component")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """The rows of ``df`` without all but the smallest id of each group of ``similar``; rows without an id always stay."""
+    gone = similar(df, id_col, text_col, width).filter(F.col("id") > F.col("component")).select(F.col("id").alias("__gone")).distinct()
+    gone = materialise(gone)
+    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")

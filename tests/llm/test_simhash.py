@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm import simhash as sh
@@ -78,3 +79,37 @@ def test_copies_in_thousands_are_one_class(spark):
     rows = [(k, "the same text in every row of this group") for k in range(3000)] + [(5000 + k, f"text number {k} with words {k * 7}") for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.component for r in sh.near_duplicates(df).filter("id < 5000").collect()} == {0}
+
+
+def test_similar_texts_are_grouped_and_others_left_alone(spark):
+    """Copies with one word in 120 changed share over 0.8 of their five-word shingles; texts that share half do not count."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows, groups = [], {}
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(240)]
+        for c in range(rng.choice((1, 2, 5, 12))):
+            text = list(base)
+            for _ in range(2 if c else 0):
+                text[rng.randrange(240)] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+            groups.setdefault(k, []).append(rows[-1][0])
+        rows.append((len(rows), " ".join(base[:150] + [rng.choice(words) for _ in range(110)])))
+        groups[f"half {k}"] = [rows[-1][0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.id: r.component for r in sh.similar(df).collect()}
+    alone = [i for name, ids in groups.items() if isinstance(name, str) for i in ids]
+    assert all(got[i] == i for i in alone)
+    wrong = sum(got[i] != ids[0] for name, ids in groups.items() if not isinstance(name, str) for i in ids)
+    assert wrong <= 0.05 * len(rows)
+    assert all(got[i] in ids for ids in groups.values() for i in ids)
+
+
+def test_similar_nulls_repeats_and_clashing_columns(spark):
+    rows = [(5, None), (4, " "), (3, "Three words here"), (2, "three  words HERE"), (2, "three  words HERE"), (None, "three words here"), (9, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("f0", F.lit("x"))
+    got = sorted(((r.id, r.component) for r in sh.similar(df).collect()), key=str)
+    assert got == sorted([(5, 4), (4, 4), (3, 2), (2, 2), (2, 2), (None, 2), (9, 9)], key=str)
+    kept = sh.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([4, 2, 2, None, 9], key=str)
+    assert sh.similar(df.limit(0)).count() == 0
