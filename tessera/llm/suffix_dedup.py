@@ -30,6 +30,8 @@ from .common import map_batches, materialise, raw_bytes, release
 
 #: Fixed parameters of the parse. They steer cost only: any values give the same result.
 GRAM, CHUNK, FLUSH, BASE, SEED = 45, 1 << 19, 1 << 18, 0x9E3779B97F4A7C15, 20240229
+#: Bits of ``a``, uniform over their range. Sorted, they leave as differences, which are short.
+KEY_BITS = 48
 _PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _FLAT = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
@@ -86,7 +88,7 @@ class Parser:
             n = marks[np.searchsorted(marks, heads, "right")] - heads
             out = np.empty(len(heads), _PLACE)
             view = memoryview(np.ascontiguousarray(part))
-            out["a"] = h[trigger[heads]]
+            out["a"] = (h[trigger[heads]] * np.uint64(BASE)) >> np.uint64(64 - KEY_BITS)
             out["b"] = np.fromiter((xxh3_64_intdigest(view[s:e]) for s, e in zip(heads.tolist(), (heads + n + self.length - 1).tolist(), strict=True)), np.uint64, len(heads))
             out["doc"], out["start"], out["n"] = ids[row[heads]], low + heads - at[row[heads]], n
             yield out
@@ -108,12 +110,15 @@ def _packed(places: np.ndarray, buckets: int, length: int) -> Iterator[pa.Record
     rest = _runs(rest, length)
     for kind, x, key in ((SHARED, first, first["a"]), (REPEAT, rest, rest["doc"].view(np.uint64) if len(rest) else rest["a"])):
         if len(x):
-            key = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.argsort(key, kind="stable")
-            x, key = x[order], key[order]
+            if kind == SHARED:
+                # Ranges of a, so that a bucket's keys are in order and near each other.
+                key = ((key >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
+            else:
+                key = ((key * np.uint64(BASE)) >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(key, kind="stable")
+                x, key = x[order], key[order]
             cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            names = _PLACE.names if kind == SHARED else ("doc", "start", "n")
-            blobs = [b"".join(np.ascontiguousarray(part[c]).tobytes() for c in names) for part in np.split(x, cut[1:])]
+            blobs = [_blob(kind, part) for part in np.split(x, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(key[cut].astype(np.int32)), pa.array(np.full(len(cut), kind, np.int8)), pa.array(blobs, pa.binary())], schema=_BLOB)
 
 
@@ -129,13 +134,30 @@ def _runs(x: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _columns(kind: int) -> tuple[str, ...]:
+    return _PLACE.names if kind == SHARED else ("doc", "start", "n")
+
+
+def _blob(kind: int, x: np.ndarray) -> bytes:
+    """The columns as byte planes (all lowest bytes first), which the shuffle's codec compresses well; ``a`` as differences."""
+    out = []
+    for c in _columns(kind):
+        column = np.diff(x[c], prepend=np.uint64(0)) if c == "a" else np.ascontiguousarray(x[c])
+        out.append(column.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return b"".join(out)
+
+
 def _unpacked(kind: int, blob: bytes) -> np.ndarray:
-    names = _PLACE.names if kind == SHARED else ("doc", "start", "n")
+    names = _columns(kind)
     n = len(blob) // sum(_PLACE[c].itemsize for c in names)
     out, at = np.zeros(n, _PLACE), 0
     for c in names:
-        out[c] = np.frombuffer(blob, _PLACE[c], n, at)
-        at += n * _PLACE[c].itemsize
+        size = n * _PLACE[c].itemsize
+        planes = np.frombuffer(blob, np.uint8, size, at).reshape(-1, n)
+        out[c] = np.ascontiguousarray(planes.T).view(_PLACE[c]).ravel()
+        at += size
+    if kind == SHARED:
+        out["a"] = np.cumsum(out["a"], dtype=np.uint64)
     return out
 
 
@@ -203,7 +225,8 @@ def _suffixes(length: int):
                 head = np.append(True, suffixes[order][1:] != suffixes[order][:-1])
                 digests = np.frombuffer(b"".join([xxh3_128_digest(text[p : p + length]) for p in place[part][order[head]].tolist()]), "<u8").reshape(-1, 2)
                 out = np.empty(len(order), _PLACE)
-                out["a"][order], out["b"][order] = digests[np.cumsum(head) - 1].T
+                of = digests[np.cumsum(head) - 1]
+                out["a"][order], out["b"][order] = of[:, 0] >> np.uint64(64 - KEY_BITS), of[:, 1]
                 out["doc"], out["start"], out["n"] = doc[part], start[part], 1
                 yield out
 
