@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, map_batches, materialise, raw_bytes
+from .common import components, map_batches, materialise, raw_bytes, release
 
 BITS = 64
 #: A bucket of more fingerprints than this is linked by neighbour keys, not by pairs.
@@ -133,21 +133,29 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 # --- wide fingerprints, for texts that share most of their shingles ---
 
 WORDS = 8
-#: 1 - arccos(2 * 0.8 / 1.8) / pi: the share of equal bits at a Jaccard similarity of 0.8 between shingle sets.
-WIDE_MOST = round(64 * WORDS * 0.1515)
+#: arccos(2 * 0.8 / 1.8) / pi is the mean share of differing bits at a Jaccard similarity of 0.8 between shingle sets.
+WIDE_MEAN = round(64 * WORDS * 0.1515)
+#: Three standard deviations about that mean: pairs at fewer bits are similar, at more they aren't, and between them shingles are compared.
+WIDE_SURE, WIDE_MOST = WIDE_MEAN - 24, WIDE_MEAN + 24
 #: The ring has boxes of STEP bits; CHAIN equal boxes in a row are a join key.
 STEP, CHAIN = 4, 6
 #: A bucket of more classes than this links each of them with the smallest one only.
-WIDE_PAIRS_UP_TO = 4
+WIDE_PAIRS_UP_TO = 8
 
 
-def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
-    """A SimHash of 512 bits over the distinct shingles of a text, as eight numbers; zeros if there is no word."""
+def shingle_hashes(text: bytes, width: int = 5) -> np.ndarray:
+    """The hashes of the distinct shingles of a text; none if there is no word."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WORDS, np.uint64)
+        return np.zeros(0, np.uint64)
     shingles = set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [words]
-    h = np.fromiter((xxh64_intdigest(b" ".join(s), 42) for s in shingles), np.uint64, len(shingles))
+    return np.fromiter((xxh64_intdigest(b" ".join(s), 42) for s in shingles), np.uint64, len(shingles))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """A SimHash of 512 bits over the hashes of distinct shingles, as eight numbers; zeros if there are none."""
+    if not len(h):
+        return np.zeros(WORDS, np.uint64)
     total = np.zeros(BITS * WORDS, np.int64)
     for part in np.array_split(h, 1 + len(h) // 16384):
         wide = np.empty((len(part), WORDS), np.uint64)
@@ -164,7 +172,7 @@ def wide_fingerprint(text: bytes, width: int = 5) -> np.ndarray:
 
 
 def wide_links(classes: DataFrame) -> DataFrame:
-    """(src, dst) between classes (node, f0 to f7) at ``WIDE_MOST`` or fewer differing bits that share a key.
+    """(src, dst, bits) between classes (node, f0 to f7) at ``WIDE_MOST`` or fewer differing bits that share a key.
 
     A pair of 0.9 nearly always has a run of CHAIN equal boxes, one of 0.8 in most
     cases; candidates are then compared on all bits. Classes
@@ -182,6 +190,8 @@ def wide_links(classes: DataFrame) -> DataFrame:
     keyed = classes.select("node", F.explode(F.array(*keys)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     keyed = materialise(keyed.join(shared, "key"))
+    del shared
+    release(classes.sparkSession)
     few = keyed.filter(F.col("n") <= WIDE_PAIRS_UP_TO)
     pairs = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").filter("src > dst").select("src", "dst")
     stars = keyed.filter((F.col("n") > WIDE_PAIRS_UP_TO) & (F.col("node") > F.col("least"))).select(F.col("node").alias("src"), F.col("least").alias("dst"))
@@ -189,13 +199,49 @@ def wide_links(classes: DataFrame) -> DataFrame:
     side = lambda end: classes.select(F.col("node").alias(end), F.array(*f).alias(f"{end}_f"))
     found = found.join(side("src"), "src").join(side("dst"), "dst")
     differ = sum((F.bit_count(F.col("src_f")[k].bitwiseXOR(F.col("dst_f")[k])) for k in range(1, WORDS)), F.bit_count(F.col("src_f")[0].bitwiseXOR(F.col("dst_f")[0])))
-    return found.filter(differ <= WIDE_MOST).select("src", "dst")
+    return found.select("src", "dst", differ.alias("bits")).filter(F.col("bits") <= WIDE_MOST)
+
+
+def _alike(rows: DataFrame, maybe: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Of ``maybe`` (src, dst, bits): the pairs whose texts share 0.8 or more of their shingles. ``rows``: (id, text).
+
+    Only the texts named in a pair are read for their shingles. A class stands
+    for its text with the smallest id; without an id it is judged by its bits.
+    """
+    nodes = maybe.select(F.col("src").alias("node")).unionByName(maybe.select(F.col("dst").alias("node"))).distinct()
+    wanted = materialise(classes.join(nodes, "node").select("node", F.col("least").alias("of")))
+
+    def run(batches):
+        for batch in batches:
+            data, at = raw_bytes(batch.column(1))
+            sets = [shingle_hashes(data[a:b].tobytes(), width) for a, b in zip(at[:-1], at[1:], strict=True)]
+            fps = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            hashes = pa.array([np.sort(h.view(np.int64)) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=["node", "hashes", *(f"f{k}" for k in range(WORDS))])
+
+    texts = rows.join(wanted, F.col("id") == F.col("of")).select("node", "text")
+    sets = map_batches(texts, run, "node long, hashes array<long>, " + ", ".join(f"f{k} long" for k in range(WORDS)))
+    # Rows that share an id may have other fingerprints than the class that is meant.
+    sets = sets.filter(F.xxhash64(*(f"f{k}" for k in range(WORDS))) == F.col("node")).groupBy("node").agg(F.min("hashes").alias("hashes"))
+    sets = materialise(sets)
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_h"))
+    both = maybe.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    shared, total = F.size(F.array_intersect("src_h", "dst_h")), F.size("src_h") + F.size("dst_h")
+    fits = F.when(F.col("src_h").isNull() | F.col("dst_h").isNull(), F.col("bits") <= WIDE_MEAN).otherwise(9 * shared >= 4 * total)
+    return both.filter(fits).select(*maybe.columns)
+
+
+def _rooted(nodes: DataFrame, column: str, edges: DataFrame) -> DataFrame:
+    """``nodes`` with root: the smallest node that ``edges`` (src, dst) reach from ``column``, itself included."""
+    roots = materialise(components(edges)).select(F.col("node").alias("__of"), "root")
+    return nodes.join(roots, F.col(column) == F.col("__of"), "left").select(*nodes.columns, F.coalesce("root", column).alias("root"))
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, component) for each row: groups of texts with about 0.8 or more of their shingles in common, linked through others too.
+    """(id, component) for each row: groups of texts with 0.8 or more of their shingles in common, linked through others too.
 
-    The similarity is that of the 512-bit fingerprints. Exact copies, and texts
+    Fingerprints of 512 bits find the pairs and settle those far from 0.8; pairs
+    near it that nothing else links are compared by their shingles. Exact copies, and texts
     that differ only in case or white space, are always together. Defined cases are those of
     ``near_duplicates``; wordless texts are one group.
     """
@@ -203,16 +249,24 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     def run(batches):
         for batch in batches:
             data, at = raw_bytes(batch.column(1))
-            fps = np.array([wide_fingerprint(data[a:b].tobytes(), width) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).reshape(-1, WORDS).view(np.int64)
+            fps = np.array([wide_fingerprint(shingle_hashes(data[a:b].tobytes(), width)) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).reshape(-1, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=["id", *(f"f{k}" for k in range(WORDS))])
 
     f = [f"f{k}" for k in range(WORDS)]
     kind = df.schema[id_col].dataType.simpleString()
-    rows = map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, " + ", ".join(f"{c} long" for c in f))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = map_batches(texts, run, f"id {kind}, " + ", ".join(f"{c} long" for c in f))
     rows = materialise(rows.withColumn("node", F.xxhash64(*f)))
     classes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in f]))
-    roots = materialise(components(wide_links(classes.select("node", *f))))
-    rooted = classes.select("node", "least").join(roots.select(F.col("node").alias("of"), "root"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    found = materialise(wide_links(classes.select("node", *f)))
+    rooted = _rooted(classes.select("node", "least"), "node", found.filter(F.col("bits") <= WIDE_SURE).select("src", "dst"))
+    rooted = materialise(rooted)
+    maybe = found.filter(F.col("bits") > WIDE_SURE)
+    for end, top in (("src", "a"), ("dst", "b")):
+        maybe = maybe.join(rooted.select(F.col("node").alias(end), F.col("root").alias(top)), end)
+    maybe = materialise(maybe.filter("a <> b"))
+    more = _alike(texts, maybe, classes, width).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    rooted = _rooted(rooted.withColumnRenamed("root", "was"), "was", more).select("node", "least", "root")
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = materialise(rooted.join(named, "root").select("node", "component"))
     return rows.select("id", "node").join(named, "node").select("id", "component")

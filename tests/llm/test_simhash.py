@@ -113,3 +113,21 @@ def test_similar_nulls_repeats_and_clashing_columns(spark):
     kept = sh.keep_one(df)
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([4, 2, 2, None, 9], key=str)
     assert sh.similar(df.limit(0)).count() == 0
+
+
+def test_pairs_about_the_threshold_are_judged_by_their_shingles(spark):
+    """Two texts each, at 0.6 to 0.95: those linked are at 0.8 or more, and nearly all of those are linked."""
+    rng = random.Random(3)
+    words, rows, want = [f"w{k}" for k in range(3000)], [], {}
+    for k in range(400):
+        base = [rng.choice(words) for _ in range(200)]
+        other = base[: rng.randrange(150, 197)]
+        other += [rng.choice(words) for _ in range(200 - len(other))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(196)} for x in (base, other))
+        want[2 * k + 1] = 9 * len(a & b) >= 4 * (len(a) + len(b))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    rows += [(2 * 400, "x"), (2 * 400, "y")]
+    got = {r.id: r.component for r in sh.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    linked = {i for i in want if got[i] != i}
+    assert all(want[i] for i in linked)
+    assert len(linked) >= 0.9 * sum(want.values()) > 100
