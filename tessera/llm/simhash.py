@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, map_batches, materialise, raw_bytes, release
+from .common import components, discard, map_batches, materialise, raw_bytes, release
 
 BITS = 64
 #: A bucket of more fingerprints than this is linked by neighbour keys, not by pairs.
@@ -130,105 +130,174 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
 
 
-# --- wide fingerprints, for texts that share most of their shingles ---
+# --- texts that share most of their shingles ---
 
-WORDS = 8
-#: arccos(2 * 0.8 / 1.8) / pi is the mean share of differing bits at a Jaccard similarity of 0.8 between shingle sets.
-WIDE_MEAN = round(64 * WORDS * 0.1515)
-#: Three standard deviations about that mean: pairs at fewer bits are similar, at more they aren't, and between them shingles are compared.
-WIDE_SURE, WIDE_MOST = WIDE_MEAN - 24, WIDE_MEAN + 24
-#: The ring has boxes of STEP bits; CHAIN equal boxes in a row are a join key.
-STEP, CHAIN = 4, 6
-#: A bucket of more classes than this links each of them with the smallest one only.
-WIDE_PAIRS_UP_TO = 8
+#: Words of 64 bits in a parity.
+WORDS = 16
+#: And of the longer one that candidates are compared by before their shingles are.
+LONGER = 128
+#: Bits of the set that tells which texts to read again; it has the same size whatever the input's.
+MARKS = 1 << 24
+#: Texts of the sample that shows which shingles are common, how many of them make one common, and the most that are named.
+SAMPLE, COMMON, NAMED = 20000, 3, 1 << 17
+#: A bucket is compared in blocks of about this many classes.
+BLOCK = 64
 
 
 def shingle_hashes(text: bytes, width: int = 5) -> np.ndarray:
-    """The hashes of the distinct shingles of a text; none if there is no word."""
+    """The hashes of the distinct shingles of a text in ascending order; none if there is no word."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     shingles = set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [words]
-    return np.fromiter((xxh64_intdigest(b" ".join(s), 42) for s in shingles), np.uint64, len(shingles))
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), 42) for s in shingles), np.uint64, len(shingles)))
 
 
-def wide_fingerprint(h: np.ndarray) -> np.ndarray:
-    """A SimHash of 512 bits over the hashes of distinct shingles, as eight numbers; zeros if there are none."""
+def _node(h: np.ndarray) -> int:
+    """A number for a set of shingles."""
+    return xxh64_intdigest(h.tobytes(), 42)
+
+
+def parity(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """64 bits for each of ``words`` numbers, a power of 2: which parts of the range of hashes hold an odd number of them.
+
+    A hash that only one of two sets has flips one bit, so the bits that differ
+    between two sets are never more than the hashes that do.
+    """
+    odd = np.bincount((h >> np.uint64(65 - (BITS * words).bit_length())).astype(np.int64), minlength=BITS * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def prefix(h: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 of n hashes, in the order that all texts share: uncommon ones first, then by weight; ties by value.
+
+    A set that shares 0.8 with another one holds at least 4 n / 5 of its hashes, and
+    so does the other one for its own number: the first hash that both have is in both prefixes.
+    """
     if not len(h):
-        return np.zeros(WORDS, np.uint64)
-    total = np.zeros(BITS * WORDS, np.int64)
-    for part in np.array_split(h, 1 + len(h) // 16384):
-        wide = np.empty((len(part), WORDS), np.uint64)
-        for k in range(WORDS):
-            x = part + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            wide[:, k] = x ^ x >> np.uint64(31)
-        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
-        # Sums of up to 255 rows fit a byte.
-        whole = len(bits) // 255 * 255
-        total += bits[:whole].reshape(-1, 255, BITS * WORDS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
-    return np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)
-
-
-def wide_links(classes: DataFrame) -> DataFrame:
-    """(src, dst, bits) between classes (node, f0 to f7) at ``WIDE_MOST`` or fewer differing bits that share a key.
-
-    A pair of 0.9 nearly always has a run of CHAIN equal boxes, one of 0.8 in most
-    cases; candidates are then compared on all bits. Classes
-    in a bucket of up to ``WIDE_PAIRS_UP_TO`` are compared pair by pair, those in a
-    larger one with its smallest, so a bucket makes no more rows than it has.
+        return h
+    w = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        w = np.where(common[at] == h, weight[at], 0)
+    return h[np.lexsort((h, w))][: len(h) // 5 + 1]
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that a sample shows to be common, ascending, and in how many of its texts each is. This steers cost only."""
+
+    def run(batches):
+        for batch in batches:
+            data, at = raw_bytes(batch.column(0))
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(data[a:b].tobytes(), width).view(np.int64))], names=["h"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // SAMPLE))) == 0).select("text")
+    counts = map_batches(some, run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "h").limit(NAMED).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+_F = [f"f{k}" for k in range(WORDS)]
+
+
+def _may_share(a: str, b: str) -> Column:
+    """Whether sets ``a`` and ``b`` (prefixes of the columns size, f0 to f15) can share 0.8: false is proven.
+
+    They do if at most a ninth of both sizes together is in one of them only.
     """
-    f = [F.col(f"f{k}") for k in range(WORDS)]
-    keys = []
-    for s in range(BITS * WORDS // STEP):
-        word, off = divmod(s * STEP, BITS)
-        low = F.shiftrightunsigned(f[word], off)
-        if off + STEP * CHAIN > BITS:
-            low = low.bitwiseOR(F.shiftleft(f[(word + 1) % WORDS], BITS - off))
-        keys.append(low.bitwiseAND(F.lit((1 << STEP * CHAIN) - 1)) * 128 + s)
-    keyed = classes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    keyed = materialise(keyed.join(shared, "key"))
-    del shared
-    release(classes.sparkSession)
-    few = keyed.filter(F.col("n") <= WIDE_PAIRS_UP_TO)
-    pairs = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").filter("src > dst").select("src", "dst")
-    stars = keyed.filter((F.col("n") > WIDE_PAIRS_UP_TO) & (F.col("node") > F.col("least"))).select(F.col("node").alias("src"), F.col("least").alias("dst"))
-    found = pairs.unionByName(stars).distinct()
-    side = lambda end: classes.select(F.col("node").alias(end), F.array(*f).alias(f"{end}_f"))
-    found = found.join(side("src"), "src").join(side("dst"), "dst")
-    differ = sum((F.bit_count(F.col("src_f")[k].bitwiseXOR(F.col("dst_f")[k])) for k in range(1, WORDS)), F.bit_count(F.col("src_f")[0].bitwiseXOR(F.col("dst_f")[0])))
-    return found.select("src", "dst", differ.alias("bits")).filter(F.col("bits") <= WIDE_MOST)
-
-
-def _alike(rows: DataFrame, maybe: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """Of ``maybe`` (src, dst, bits): the pairs whose texts share 0.8 or more of their shingles. ``rows``: (id, text).
-
-    Only the texts named in a pair are read for their shingles. A class stands
-    for its text with the smallest id; without an id it is judged by its bits.
+    differ = sum((F.bit_count(F.col(a + f).bitwiseXOR(F.col(b + f))) for f in _F[1:]), F.bit_count(F.col(a + _F[0]).bitwiseXOR(F.col(b + _F[0]))))
+    x, y = F.col(f"{a}size"), F.col(f"{b}size")
+    return (5 * x >= 4 * y) & (5 * y >= 4 * x) & (9 * differ <= x + y)
+
+
+def _named(ahead: str, *cols: str) -> list[Column]:
+    return [F.col(c).alias(ahead + c) for c in cols]
+
+
+def keyed(classes: DataFrame) -> DataFrame:
+    """(key, node, n, least, most): a row for each class and hash of its prefix that other classes have in theirs; n of them, from least to most."""
+    each = classes.select("node", F.explode("prefix").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("n > 1")
+    return each.join(shared, "key")
+
+
+def stars(keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """(src, dst): each class of a bucket with its smallest and its largest one, where they can share 0.8. In buckets of 2 and 3 these are all pairs."""
+    down = keys.filter("node > least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    up = keys.filter("node < most").select(F.col("most").alias("src"), F.col("node").alias("dst"))
+    found = down.unionByName(up).distinct()
+    for end in ("src", "dst"):
+        found = found.join(classes.select(F.col("node").alias(end), *_named(f"{end}_", "size", *_F)), end)
+    return found.filter(_may_share("src_", "dst_")).select("src", "dst")
+
+
+def crossings(keys: DataFrame, classes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(src, dst, a, b): all pairs of a bucket that can share 0.8 and are under different roots a and b in ``rooted`` (node, root).
+
+    Buckets under one root are done. The others are compared in blocks: a class
+    is in one block of its bucket and is sent to all of them.
+    """
+    open_ = materialise(keys.filter("n > 3").select("key", "node").join(rooted.select("node", "root"), "node"))
+    mixed = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    left = open_.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(classes.select("node", "size", *_F), "node")
+    left = materialise(left)
+    discard(open_)
+    cols = ("node", "root", "size", *_F)
+    a = left.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *_named("a_", *cols))
+    b = left.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *_named("b_", *cols))
+    both = (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _may_share("a_", "b_")
+    on = [a["key"] == b["key"], a["block"] == b["block"], both]
+    found = materialise(a.join(b, on).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"), F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    discard(left)
+    return found
+
+
+def _mark(of: str, mark: str) -> Column:
+    """The bit of a text: by its id, or by its content if it has none."""
+    return F.pmod(F.xxhash64(of, F.when(F.col(of).isNull(), F.col(mark))), F.lit(MARKS))
+
+
+def _alike(texts: DataFrame, maybe: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Of ``maybe`` (src, dst): the pairs whose texts share 0.8 or more of their shingles. ``texts``: (id, text, mark).
+
+    A class stands for its text with the smallest id, or if none has an id with
+    the smallest mark. Only these and the few that share a bit with one of them
+    are read for their shingles, and no text is shuffled.
     """
     nodes = maybe.select(F.col("src").alias("node")).unionByName(maybe.select(F.col("dst").alias("node"))).distinct()
-    wanted = materialise(classes.join(nodes, "node").select("node", F.col("least").alias("of")))
+    wanted = materialise(classes.join(nodes, "node").select("node", _mark("least", "mark").alias("bit")))
+    parts = wanted.groupBy(F.expr("bit div 32768").alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).collect()
+    marked = np.zeros((MARKS // 32768, 4096), np.uint8)
+    for r in parts:
+        marked[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    marked = marked.ravel()
 
     def run(batches):
         for batch in batches:
+            bit = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((marked[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             data, at = raw_bytes(batch.column(1))
             sets = [shingle_hashes(data[a:b].tobytes(), width) for a, b in zip(at[:-1], at[1:], strict=True)]
-            fps = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            hashes = pa.array([np.sort(h.view(np.int64)) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=["node", "hashes", *(f"f{k}" for k in range(WORDS))])
-
-    texts = rows.join(wanted, F.col("id") == F.col("of")).select("node", "text")
-    sets = map_batches(texts, run, "node long, hashes array<long>, " + ", ".join(f"f{k} long" for k in range(WORDS)))
-    # Rows that share an id may have other fingerprints than the class that is meant.
-    sets = sets.filter(F.xxhash64(*(f"f{k}" for k in range(WORDS))) == F.col("node")).groupBy("node").agg(F.min("hashes").alias("hashes"))
-    sets = materialise(sets)
+            same = np.array([_node(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([parity(h, LONGER).view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "hashes", "bits"])
+
+    sets = map_batches(texts.select(_mark("id", "mark").alias("bit"), "text"), run, "node long, hashes array<long>, bits array<long>")
+    sets = materialise(sets.groupBy("node").agg(F.min("hashes").alias("hashes"), F.min("bits").alias("bits")))
+    release(texts.sparkSession)
+    # Most candidates are proven to share less by bits that are far shorter than their shingles.
+    bits = lambda end: sets.select(F.col("node").alias(end), F.size("hashes").alias(f"{end}_n"), F.col("bits").alias(f"{end}_b"))
+    differ = F.aggregate(F.zip_with("src_b", "dst_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    maybe = materialise(maybe.join(bits("src"), "src").join(bits("dst"), "dst").filter(9 * differ <= F.col("src_n") + F.col("dst_n")).select(*maybe.columns))
+    release(texts.sparkSession)
     side = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_h"))
-    both = maybe.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    both = maybe.join(side("src"), "src").join(side("dst"), "dst")
     shared, total = F.size(F.array_intersect("src_h", "dst_h")), F.size("src_h") + F.size("dst_h")
-    fits = F.when(F.col("src_h").isNull() | F.col("dst_h").isNull(), F.col("bits") <= WIDE_MEAN).otherwise(9 * shared >= 4 * total)
-    return both.filter(fits).select(*maybe.columns)
+    alike = materialise(both.filter(9 * shared >= 4 * total).select(*maybe.columns))
+    discard(sets, wanted)
+    return alike
 
 
 def _rooted(nodes: DataFrame, column: str, edges: DataFrame) -> DataFrame:
@@ -240,36 +309,47 @@ def _rooted(nodes: DataFrame, column: str, edges: DataFrame) -> DataFrame:
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(id, component) for each row: groups of texts with 0.8 or more of their shingles in common, linked through others too.
 
-    Fingerprints of 512 bits find the pairs and settle those far from 0.8; pairs
-    near it that nothing else links are compared by their shingles. Exact copies, and texts
-    that differ only in case or white space, are always together. Defined cases are those of
+    Exact: texts that share 0.8 share a hash of their prefixes, and every pair that
+    does is compared by its shingles, is proven to share less, or is linked through
+    others already. Texts that differ only in case or white space, or have the same
+    shingles, are always together. Defined cases are those of
     ``near_duplicates``; wordless texts are one group.
     """
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("mark", F.when(F.col("id").isNull(), F.xxhash64("text")))
+    common, weight = _common(texts, width)
 
     def run(batches):
         for batch in batches:
             data, at = raw_bytes(batch.column(1))
-            fps = np.array([wide_fingerprint(shingle_hashes(data[a:b].tobytes(), width)) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=["id", *(f"f{k}" for k in range(WORDS))])
-
-    f = [f"f{k}" for k in range(WORDS)]
-    kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = map_batches(texts, run, f"id {kind}, " + ", ".join(f"{c} long" for c in f))
-    rows = materialise(rows.withColumn("node", F.xxhash64(*f)))
-    classes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in f]))
-    found = materialise(wide_links(classes.select("node", *f)))
-    rooted = _rooted(classes.select("node", "least"), "node", found.filter(F.col("bits") <= WIDE_SURE).select("src", "dst"))
-    rooted = materialise(rooted)
-    maybe = found.filter(F.col("bits") > WIDE_SURE)
-    for end, top in (("src", "a"), ("dst", "b")):
-        maybe = maybe.join(rooted.select(F.col("node").alias(end), F.col("root").alias(top)), end)
-    maybe = materialise(maybe.filter("a <> b"))
-    more = _alike(texts, maybe, classes, width).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+            sets = [shingle_hashes(data[a:b].tobytes(), width) for a, b in zip(at[:-1], at[1:], strict=True)]
+            node = np.array([_node(h) for h in sets], np.uint64).view(np.int64)
+            first = pa.array([prefix(h, common, weight).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            bits = np.array([parity(h) for h in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), first, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], names=["id", "mark", "node", "size", "prefix", *_F])
+
+    rows = materialise(map_batches(texts, run, f"id {kind}, mark long, node long, size long, prefix array<long>, " + ", ".join(f"{c} long" for c in _F)))
+    classes = materialise(rows.groupBy("node").agg(*[F.min(c).alias(a) for c, a in (("id", "least"), *((c, c) for c in ("mark", "size", "prefix", *_F)))]))
+    ids = materialise(rows.select("id", "node"))
+    discard(rows)
+    release(df.sparkSession)
+    keys = materialise(keyed(classes))
+    release(df.sparkSession)
+    pairs = materialise(stars(keys, classes))
+    release(df.sparkSession)
+    found = _alike(texts, pairs, classes, width)
+    rooted = materialise(_rooted(classes.select("node", "least"), "node", found))
+    release(df.sparkSession)
+    pairs = crossings(keys, classes, rooted)
+    discard(keys)
+    release(df.sparkSession)
+    more = _alike(texts, pairs, classes, width).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     rooted = _rooted(rooted.withColumnRenamed("root", "was"), "was", more).select("node", "least", "root")
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = materialise(rooted.join(named, "root").select("node", "component"))
-    return rows.select("id", "node").join(named, "node").select("id", "component")
+    discard(classes)
+    return ids.join(named, "node").select("id", "component")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:

@@ -131,3 +131,72 @@ def test_pairs_about_the_threshold_are_judged_by_their_shingles(spark):
     linked = {i for i in want if got[i] != i}
     assert all(want[i] for i in linked)
     assert len(linked) >= 0.9 * sum(want.values()) > 100
+
+
+def similar_pairs(texts, width=5):
+    """All pairs at 0.8 or more, by brute force."""
+    sets = []
+    for text in texts:
+        words = text.lower().split()
+        sets.append({tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))})
+    return [(a, b) for a in range(len(sets)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+
+
+def groups_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.id: r.component for r in sh.similar(df).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    """Pairs alone in their group, most of them at 0.78 to 0.86."""
+    rng, texts = random.Random(12), []
+    words = [f"w{k}" for k in range(3000)]
+    for _ in range(300):
+        base = [rng.choice(words) for _ in range(200)]
+        cut = rng.randrange(174, 186)
+        texts += [" ".join(base), " ".join(base[:cut] + [rng.choice(words) for _ in range(200 - cut)])]
+    pairs = similar_pairs(texts)
+    assert len(pairs) > 100
+    assert groups_of(spark, texts) == roots(len(texts), pairs)
+
+
+def test_pairs_inside_a_large_family_are_found(spark, monkeypatch):
+    """Near copies among texts that share 60 to 87 % boilerplate, whose buckets take several blocks."""
+    monkeypatch.setattr(sh, "BLOCK", 8)
+    monkeypatch.setattr(sh, "NAMED", 0)
+    rng, texts = random.Random(13), []
+    words = [f"w{k}" for k in range(5000)]
+    for share in (60, 70, 80, 87):
+        boilerplate = [rng.choice(words) for _ in range(share)]
+        for _ in range(60):
+            base = boilerplate + [rng.choice(words) for _ in range(104 - share)]
+            cut = rng.randrange(90, 99)
+            texts += [" ".join(base), " ".join(base[:cut] + [rng.choice(words) for _ in range(104 - cut)])]
+    rng.shuffle(texts)
+    pairs = similar_pairs(texts)
+    assert len(pairs) > 150
+    assert groups_of(spark, texts) == roots(len(texts), pairs)
+    monkeypatch.undo()
+    assert groups_of(spark, texts) == roots(len(texts), pairs)
+
+
+def test_short_near_copies_are_found(spark):
+    """Texts of 1 to 14 words and copies with one word more: 0.8 from 4 against 5 shingles on, less below."""
+    rng, texts = random.Random(14), []
+    words = [f"w{k}" for k in range(3000)]
+    for k in range(280):
+        base = [rng.choice(words) for _ in range(1 + k % 14)]
+        texts += [" ".join(base), " ".join([*base, rng.choice(words)])]
+    pairs = similar_pairs(texts)
+    assert len(pairs) >= 140
+    assert groups_of(spark, texts) == roots(len(texts), pairs)
+
+
+def test_texts_without_ids_are_compared_too(spark):
+    """A text without an id links two that are at less than 0.8 of each other."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(words[:100])), (None, " ".join(words[:112])), (2, " ".join(words[:125])), (3, " ".join(words[200:]))]
+    got = {(r.id, r.component) for r in sh.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(similar_pairs([t for _, t in rows])) == 2
+    assert got == {(1, 1), (None, 1), (2, 1), (3, 3)}
