@@ -100,13 +100,22 @@ def invoice_reconciliation(g: Graph, limit: int = 10) -> DataFrame:
 
 
 def overdue_vendors(g: Graph) -> DataFrame:
-    """A row for each vendor with an invoice that isn't paid: how many, their sum, and how many products it supplies."""
-    unpaid = Traversal(g, "vendor").out("billed").pick(status="payment_status", amount="total_amount").where(~F.col("status").eqNullSafe("paid"))
+    """A row for each path from a vendor with an invoice that isn't paid to such an invoice or to a product it supplies.
+
+    ``kind`` says which; the other's values are null. Beside the path: how many
+    invoices, their sum, and how many products and how much stock.
+    """
+    values = {c: c for c in ("invoice_date", "due_date", "payment_date", "payment_terms")}
+    unpaid = Traversal(g, "vendor").out("billed").pick(status="payment_status", amount="total_amount", **values).where(~F.col("status").eqNullSafe("paid"))
     owed = unpaid.aggregate(F.count("*").alias("overdue_invoices"), F.sum("amount").alias("overdue_amount"))
-    stock = Traversal(g, "vendor").out("supplies").pick(stock="stock_quantity").aggregate(F.count("*").alias("supplied_products"), F.sum("stock").alias("supplied_stock"))
+    supplied = Traversal(g, "vendor").out("supplies").pick(product_name="product_name", stock="stock_quantity")
+    stock = supplied.aggregate(F.count("*").alias("supplied_products"), F.sum("stock").alias("supplied_stock"))
     x = g.nodes["vendor"].select("id", "vendor_name").join(owed, F.col("id") == F.col("start")).drop("start")
     x = x.join(stock, F.col("id") == F.col("start"), "left").drop("start")
-    return x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("supplied_products", "supplied_stock")})
+    x = x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("supplied_products", "supplied_stock")})
+    invoices = unpaid.rows().select("start", F.lit("invoice").alias("kind"), F.col("at").alias("path_id"), F.col("status").alias("payment_status"), F.col("amount").alias("total_amount"), *values)
+    products = supplied.rows().select("start", F.lit("product").alias("kind"), F.col("at").alias("path_id"), "product_name", F.col("stock").alias("stock_quantity"))
+    return x.join(invoices.unionByName(products, allowMissingColumns=True), F.col("id") == F.col("start")).drop("start")
 
 
 def vendor_payment_vs_sales(g: Graph) -> DataFrame:

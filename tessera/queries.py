@@ -489,10 +489,11 @@ def graph_degree_summary(a):
     return out
 
 
-def _joined(c: str, *parts: str):
+def _joined(c, *parts: str):
     """An array of structs as one sorted string."""
     text = F.transform(c, lambda s: F.concat_ws("|", *[F.coalesce(s[p].cast("string"), F.lit("")) for p in parts]))
-    return F.array_join(F.array_sort(text), ",").alias(c)
+    found = F.array_join(F.array_sort(text), ",")
+    return found.alias(c) if isinstance(c, str) else found
 
 
 def _graph_query(name: str, sql: str, post: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
@@ -535,24 +536,28 @@ _graph_query(
 )
 _graph_query(
     "invoice_reconciliation",
-    """SELECT i.invoice_id AS id, CAST(i.total_amount AS DOUBLE) AS invoice_total, COUNT(l.product_id) AS n_items, CAST(COALESCE(SUM(l.line_total), 0) AS DECIMAL(18,2)) AS calculated_total
-    FROM (SELECT * FROM invoices ORDER BY invoice_id LIMIT 10) i LEFT JOIN invoice_line_items l ON l.invoice_id = i.invoice_id GROUP BY ALL""",
-    lambda x: x.select("id", "invoice_total", F.size("line_items").cast("bigint").alias("n_items"), F.col("calculated_total").cast("decimal(18,2)").alias("calculated_total")),
+    f"""SELECT i.invoice_id AS id, CAST(i.total_amount AS DOUBLE) AS invoice_total, COUNT(l.product_id) AS n_items, {_list("(product_name || '|' || CAST(quantity AS BIGINT) || '|' || CAST(line_total AS DECIMAL(18,2)))")} AS line_items, CAST(COALESCE(SUM(l.line_total), 0) AS DECIMAL(18,2)) AS calculated_total
+    FROM (SELECT * FROM invoices ORDER BY invoice_id LIMIT 10) i LEFT JOIN invoice_line_items l ON l.invoice_id = i.invoice_id LEFT JOIN products p ON p.product_id = l.product_id GROUP BY ALL""",
+    lambda x: x.select("id", "invoice_total", F.size("line_items").cast("bigint").alias("n_items"), _joined(F.transform("line_items", lambda i: i.withField("line_total", i["line_total"].cast("decimal(18,2)"))), "product", "quantity", "line_total").alias("line_items"), F.col("calculated_total").cast("decimal(18,2)").alias("calculated_total")),
 )
 _graph_query(
     "overdue_vendors",
-    """SELECT v.vendor_id AS id, vendor_name, n AS overdue_invoices, CAST(amount AS DECIMAL(18,2)) AS overdue_amount, COALESCE(k, 0) AS supplied_products, COALESCE(stock, 0) AS supplied_stock FROM vendors v
+    """SELECT v.vendor_id AS id, vendor_name, n AS overdue_invoices, CAST(amount AS DECIMAL(18,2)) AS overdue_amount, COALESCE(k, 0) AS supplied_products, COALESCE(stock, 0) AS supplied_stock,
+    kind, path_id, payment_status, total_amount, invoice_date, due_date, payment_date, payment_terms, product_name, stock_quantity FROM vendors v
     JOIN (SELECT vendor_id, COUNT(*) AS n, SUM(total_amount) AS amount FROM invoices WHERE payment_status IS DISTINCT FROM 'paid' GROUP BY vendor_id) o ON o.vendor_id = v.vendor_id
-    LEFT JOIN (SELECT vendor_id, COUNT(*) AS k, CAST(SUM(stock_quantity) AS BIGINT) AS stock FROM products GROUP BY vendor_id) s ON s.vendor_id = v.vendor_id""",
+    LEFT JOIN (SELECT vendor_id, COUNT(*) AS k, CAST(SUM(stock_quantity) AS BIGINT) AS stock FROM products GROUP BY vendor_id) s ON s.vendor_id = v.vendor_id
+    JOIN (SELECT vendor_id, 'invoice' AS kind, invoice_id AS path_id, payment_status, CAST(total_amount AS DOUBLE) AS total_amount, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(due_date AS VARCHAR) AS due_date,
+    CAST(payment_date AS VARCHAR) AS payment_date, payment_terms, CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS BIGINT) AS stock_quantity FROM invoices WHERE payment_status IS DISTINCT FROM 'paid'
+    UNION ALL SELECT vendor_id, 'product', product_id, NULL, NULL, NULL, NULL, NULL, NULL, product_name, CAST(stock_quantity AS BIGINT) FROM products) q ON q.vendor_id = v.vendor_id""",
     lambda x: x.withColumn("overdue_amount", F.col("overdue_amount").cast("decimal(18,2)")),
 )
 _money = lambda c: F.round(F.col(c).cast("decimal(28,4)"), 2).cast("decimal(18,2)").alias(c)
 _graph_query(
     "vendor_payment_vs_sales",
-    """SELECT v.vendor_id AS id, vendor_name, CAST(COALESCE(b, 0) AS DECIMAL(18,2)) AS total_invoiced, CAST(COALESCE(r, 0) AS DECIMAL(18,2)) AS total_revenue, m IS NULL AS no_paid, s IS NULL AS no_sales FROM vendors v
-    LEFT JOIN (SELECT vendor_id, SUM(total_amount) AS b, SUM(total_amount) FILTER (WHERE payment_status = 'paid') AS m FROM invoices GROUP BY vendor_id) x ON x.vendor_id = v.vendor_id
+    """SELECT v.vendor_id AS id, vendor_name, CAST(COALESCE(b, 0) AS DECIMAL(18,2)) AS total_invoiced, CAST(COALESCE(r, 0) AS DECIMAL(18,2)) AS total_revenue, m IS NULL AS no_paid, s IS NULL AS no_sales, ROUND(CAST(m / mn AS DECIMAL(28,4)), 2)::DECIMAL(18,2) AS avg_paid_invoice, ROUND(CAST(r / s AS DECIMAL(28,4)), 2)::DECIMAL(18,2) AS avg_sale_amount FROM vendors v
+    LEFT JOIN (SELECT vendor_id, SUM(total_amount) AS b, SUM(total_amount) FILTER (WHERE payment_status = 'paid') AS m, COUNT(total_amount) FILTER (WHERE payment_status = 'paid') AS mn FROM invoices GROUP BY vendor_id) x ON x.vendor_id = v.vendor_id
     LEFT JOIN (SELECT vendor_id, SUM(total_amount) AS r, COUNT(*) AS s FROM products JOIN transactions USING (product_id) GROUP BY vendor_id) y ON y.vendor_id = v.vendor_id""",
-    lambda x: x.select("id", "vendor_name", _money("total_invoiced"), _money("total_revenue"), F.col("avg_paid_invoice").isNull().alias("no_paid"), F.col("avg_sale_amount").isNull().alias("no_sales")),
+    lambda x: x.select("id", "vendor_name", _money("total_invoiced"), _money("total_revenue"), F.col("avg_paid_invoice").isNull().alias("no_paid"), F.col("avg_sale_amount").isNull().alias("no_sales"), _money("avg_paid_invoice"), _money("avg_sale_amount")),
 )
 
 

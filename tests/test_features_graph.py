@@ -130,3 +130,11 @@ def test_graph_queries(silver):
     assert len(list_queries()) == 9
     with pytest.raises(KeyError, match="vendor_influence"):
         get_query("none")
+
+
+def test_overdue_vendors_name_invoices_and_products(silver):
+    found = get_query("overdue_vendors").run(build(silver)).filter("id = 'VND-1'").collect()
+    products = sorted(r.product_name for r in found if r.kind == "product")
+    invoices = [r for r in found if r.kind == "invoice"]
+    assert products == ["P0", "P2", "P4"] and len(invoices) == invoices[0].overdue_invoices == 1
+    assert invoices[0].path_id.startswith("INV-") and invoices[0].payment_status != "paid" and invoices[0].total_amount == invoices[0].overdue_amount
