@@ -162,6 +162,6 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", penalty: float
     return map_batches(df, run, schema)
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``df`` whose language is known with a score of ``least`` or more, with the columns of ``df``."""
-    return identify(df, model, text_col).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).select(*df.columns)
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` in which a language is found, with the columns of ``df``. Only null and letterless texts are rejected."""
+    return identify(df, model, text_col).filter(F.col("lang_pred") != UNKNOWN).select(*df.columns)

@@ -235,3 +235,7 @@ def test_licenses_equal_a_scan_of_all_blocks(spark):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) and r.other == 1
     assert license_scan.scan(df.limit(0)).count() == 0
 
+
+
+def test_keep_identified_promises_no_threshold():
+    assert "least" not in language_id.keep_identified.__code__.co_varnames
