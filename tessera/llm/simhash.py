@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, discard, map_batches, materialise, raw_bytes, release
+from .common import components, discard, free_names, map_batches, materialise, raw_bytes, release
 
 BITS = 64
 #: A bucket of more fingerprints than this is linked by neighbour keys, not by pairs.
@@ -30,9 +30,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64)
-    ones = sum((np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for part in np.array_split(h, 1 + len(h) // 65536)), np.zeros(BITS, np.int64))
-    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    return _simhash(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -125,9 +123,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows that share an id are one document and stay or go together; rows without
     an id always stay.
     """
-    gone = near_duplicates(df, id_col, text_col, width, most).filter(F.col("id") > F.col("component")).select(F.col("id").alias("__gone")).distinct()
-    gone = materialise(gone)
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    (name,) = free_names(df, "gone")
+    gone = near_duplicates(df, id_col, text_col, width, most).filter(F.col("id") > F.col("component")).select(F.col("id").alias(name)).distinct()
+    return df.join(materialise(gone), F.expr(f"`{id_col}` = `{name}`"), "left_anti")
 
 
 # --- texts that share most of their shingles ---
@@ -141,7 +139,7 @@ MARKS = 1 << 24
 #: Texts of the sample that shows which shingles are common, how many of them make one common, and the most that are named.
 SAMPLE, COMMON, NAMED = 20000, 3, 1 << 17
 #: A bucket is compared in blocks of about this many classes.
-BLOCK = 64
+BLOCK = 2048
 
 
 def shingle_hashes(text: bytes, width: int = 5) -> np.ndarray:
@@ -158,6 +156,12 @@ def _node(h: np.ndarray) -> int:
     return xxh64_intdigest(h.tobytes(), 42)
 
 
+def _simhash(h: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of hashes."""
+    ones = sum((np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for part in np.array_split(h, 1 + len(h) // 65536)), np.zeros(BITS, np.int64))
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
 def parity(h: np.ndarray, words: int = WORDS) -> np.ndarray:
     """64 bits for each of ``words`` numbers, a power of 2: which parts of the range of hashes hold an odd number of them.
 
@@ -176,11 +180,15 @@ def prefix(h: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """
     if not len(h):
         return h
-    w = np.zeros(len(h), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        w = np.where(common[at] == h, weight[at], 0)
-    return h[np.lexsort((h, w))][: len(h) // 5 + 1]
+    return h[np.lexsort((h, _weights(h, common, weight)))][: len(h) // 5 + 1]
+
+
+def _weights(h: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """In how many texts of the sample each hash is; 0 if it is not common."""
+    if not len(common):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    return np.where(common[at] == h, weight[at], 0)
 
 
 def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,18 +225,35 @@ def _named(ahead: str, *cols: str) -> list[Column]:
     return [F.col(c).alias(ahead + c) for c in cols]
 
 
+def ringed(classes: DataFrame, most: int = 2) -> DataFrame:
+    """(src, dst): classes whose SimHash fingerprints ``links`` joins by pigeonring, and classes of one fingerprint, each with its smallest."""
+    same = materialise(classes.groupBy("fp").agg(F.min("node").alias("first")))
+    within = classes.join(same, "fp").filter("node > first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    of = lambda end: same.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
+    across = links(same.select("fp"), most).join(of("src"), "src").join(of("dst"), "dst")
+    return within.unionByName(across.select(F.greatest("src_node", "dst_node").alias("src"), F.least("src_node", "dst_node").alias("dst")))
+
+
 def keyed(classes: DataFrame) -> DataFrame:
-    """(key, node, n, least, most): a row for each class and hash of its prefix that other classes have in theirs; n of them, from least to most."""
-    each = classes.select("node", F.explode("prefix").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("n > 1")
-    return each.join(shared, "key")
+    """(key, node, n, least, hub): a row for each class and hash of its prefix that other classes have in theirs.
+
+    n: how many they are; least: the smallest of them; hub: that with the fewest
+    hashes of its own, as the text that others are copies of has.
+    """
+    each = classes.select("node", "own", F.explode("prefix").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(F.struct("own", "node")).alias("hub")).filter("n > 1")
+    return each.drop("own").join(shared.select("key", "n", "least", F.col("hub.node").alias("hub")), "key")
+
+
+def stars(keys: DataFrame) -> DataFrame:
+    """(src, dst): each class of a bucket with its smallest one and its hub."""
+    to = lambda end: keys.filter(F.col("node") != F.col(end)).select(F.greatest("node", end).alias("src"), F.least("node", end).alias("dst"))
+    return to("least").unionByName(to("hub"))
 
 
-def stars(keys: DataFrame, classes: DataFrame) -> DataFrame:
-    """(src, dst): each class of a bucket with its smallest and its largest one, where they can share 0.8. In buckets of 2 and 3 these are all pairs."""
-    down = keys.filter("node > least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
-    up = keys.filter("node < most").select(F.col("most").alias("src"), F.col("node").alias("dst"))
-    found = down.unionByName(up).distinct()
+def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct (src, dst) of ``pairs`` that can share 0.8."""
+    found = pairs.distinct()
     for end in ("src", "dst"):
         found = found.join(classes.select(F.col("node").alias(end), *_named(f"{end}_", "size", *_F)), end)
     return found.filter(_may_share("src_", "dst_")).select("src", "dst")
@@ -238,19 +263,23 @@ def crossings(keys: DataFrame, classes: DataFrame, rooted: DataFrame) -> DataFra
     """(src, dst, a, b): all pairs of a bucket that can share 0.8 and are under different roots a and b in ``rooted`` (node, root).
 
     Buckets under one root are done. The others are compared in blocks: a class
-    is in one block of its bucket and is sent to all of them.
+    is in one block of its bucket and is sent to the blocks from there on. Only
+    pairs that can share 0.8 come out of the join.
     """
-    open_ = materialise(keys.filter("n > 3").select("key", "node").join(rooted.select("node", "root"), "node"))
+    open_ = materialise(keys.filter("n > 2").select("key", "node").join(rooted.select("node", "root"), "node"))
     mixed = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     left = open_.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").join(classes.select("node", "size", *_F), "node")
     left = materialise(left)
     discard(open_)
     cols = ("node", "root", "size", *_F)
-    a = left.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *_named("a_", *cols))
-    b = left.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *_named("b_", *cols))
-    both = (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _may_share("a_", "b_")
-    on = [a["key"] == b["key"], a["block"] == b["block"], both]
-    found = materialise(a.join(b, on).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"), F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    a = left.select("key", own.alias("block"), *_named("a_", *cols))
+    b = left.select(F.col("key").alias("b_key"), own.alias("home"), F.explode(F.sequence(own, F.col("blocks") - 1)).alias("sent"), *_named("b_", *cols))
+    both = ((F.col("home") != F.col("block")) | (F.col("a_node") > F.col("b_node"))) & (F.col("a_root") != F.col("b_root")) & _may_share("a_", "b_")
+    on = (F.col("key") == F.col("b_key")) & (F.col("block") == F.col("sent")) & both
+    ends = lambda f, of: f(F.col(f"a_{of}"), F.col(f"b_{of}"))
+    found = a.join(b, on).select(ends(F.greatest, "node").alias("src"), ends(F.least, "node").alias("dst"), ends(F.greatest, "root").alias("a"), ends(F.least, "root").alias("b"))
+    found = materialise(found.distinct())
     discard(left)
     return found
 
@@ -309,11 +338,13 @@ def _rooted(nodes: DataFrame, column: str, edges: DataFrame) -> DataFrame:
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(id, component) for each row: groups of texts with 0.8 or more of their shingles in common, linked through others too.
 
-    Exact: texts that share 0.8 share a hash of their prefixes, and every pair that
-    does is compared by its shingles, is proven to share less, or is linked through
-    others already. Texts that differ only in case or white space, or have the same
-    shingles, are always together. Defined cases are those of
-    ``near_duplicates``; wordless texts are one group.
+    Texts whose SimHash fingerprints lie within 2 bits are found by pigeonring and
+    compared by their shingles. Fingerprints prove nothing about texts further
+    apart, so those are found exactly: texts that share 0.8 share a hash of their
+    prefixes, and every pair that does is compared by its shingles, is proven to
+    share less, or is linked through others already. Texts that differ only in case
+    or white space, or have the same shingles, are always together. Defined cases
+    are those of ``near_duplicates``; wordless texts are one group.
     """
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -324,19 +355,20 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         for batch in batches:
             data, at = raw_bytes(batch.column(1))
             sets = [shingle_hashes(data[a:b].tobytes(), width) for a, b in zip(at[:-1], at[1:], strict=True)]
-            node = np.array([_node(h) for h in sets], np.uint64).view(np.int64)
+            node, fp = (pa.array(np.array([f(h) for h in sets], np.uint64).view(np.int64)) for f in (_node, _simhash))
             first = pa.array([prefix(h, common, weight).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            size, own = (pa.array([f(h) for h in sets], pa.int64()) for f in (len, lambda h: np.count_nonzero(_weights(h, common, weight) == 0)))
             bits = np.array([parity(h) for h in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), first, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], names=["id", "mark", "node", "size", "prefix", *_F])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), node, fp, size, own, first, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], names=["id", "mark", "node", "fp", "size", "own", "prefix", *_F])
 
-    rows = materialise(map_batches(texts, run, f"id {kind}, mark long, node long, size long, prefix array<long>, " + ", ".join(f"{c} long" for c in _F)))
-    classes = materialise(rows.groupBy("node").agg(*[F.min(c).alias(a) for c, a in (("id", "least"), *((c, c) for c in ("mark", "size", "prefix", *_F)))]))
+    rows = materialise(map_batches(texts, run, f"id {kind}, mark long, node long, fp long, size long, own long, prefix array<long>, " + ", ".join(f"{c} long" for c in _F)))
+    classes = materialise(rows.groupBy("node").agg(*[F.min(c).alias(a) for c, a in (("id", "least"), *((c, c) for c in ("mark", "fp", "size", "own", "prefix", *_F)))]))
     ids = materialise(rows.select("id", "node"))
     discard(rows)
     release(df.sparkSession)
     keys = materialise(keyed(classes))
     release(df.sparkSession)
-    pairs = materialise(stars(keys, classes))
+    pairs = materialise(promising(ringed(classes).unionByName(stars(keys)), classes))
     release(df.sparkSession)
     found = _alike(texts, pairs, classes, width)
     rooted = materialise(_rooted(classes.select("node", "least"), "node", found))
@@ -354,6 +386,6 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """The rows of ``df`` without all but the smallest id of each group of ``similar``; rows without an id always stay."""
-    gone = similar(df, id_col, text_col, width).filter(F.col("id") > F.col("component")).select(F.col("id").alias("__gone")).distinct()
-    gone = materialise(gone)
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    (name,) = free_names(df, "gone")
+    gone = similar(df, id_col, text_col, width).filter(F.col("id") > F.col("component")).select(F.col("id").alias(name)).distinct()
+    return df.join(materialise(gone), F.expr(f"`{id_col}` = `{name}`"), "left_anti")
