@@ -23,19 +23,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import map_batches, materialise, raw_bytes, release
+from .common import free_names, map_batches, materialise, raw_bytes, release
 
 #: Fixed parameters of the parse. They steer cost only: any values give the same result.
-GRAM, CHUNK, FLUSH, BASE, SEED = 45, 1 << 19, 1 << 18, 0x9E3779B97F4A7C15, 20240229
+GRAM, CHUNK, FLUSH, BASE, SEED = 45, 1 << 17, 1 << 18, 0x9E3779B97F4A7C15, 20240229
 #: Bits of ``a``, uniform over their range. Sorted, they leave as differences, which are short.
 KEY_BITS = 48
 _PLACE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _FLAT = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
-REPEAT, SHARED = 0, 1
+REPEAT, SHARED, HOT = 0, 1, 2
+#: Distinct phrases under one trigger that a part sends to one bucket; the others are dealt by content.
+CROWD = 256
+#: Bytes of text for each bucket.
+BUCKET = 1 << 29
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +113,13 @@ def _packed(places: np.ndarray, buckets: int, length: int) -> Iterator[pa.Record
     """The first places by bucket of a; the repeats, joined to runs, by bucket of their document."""
     first, rest = _firsts(places)
     rest = _runs(rest, length)
-    for kind, x, key in ((SHARED, first, first["a"]), (REPEAT, rest, rest["doc"].view(np.uint64) if len(rest) else rest["a"])):
+    # Phrases beyond CROWD under one trigger share it for certain: the others tell its bucket so.
+    lead = np.flatnonzero(np.append(True, first["a"][1:] != first["a"][:-1])) if len(first) else np.zeros(0, np.int64)
+    spot = np.arange(len(first)) - np.repeat(lead, np.diff(np.append(lead, len(first))))
+    kinds = ((SHARED, first[spot < CROWD], "a"), (HOT, first[spot >= CROWD], "b"), (REPEAT, rest, "doc"))
+    for kind, x, by in kinds:
         if len(x):
+            key = np.ascontiguousarray(x[by]).view(np.uint64)
             if kind == SHARED:
                 # Ranges of a, so that a bucket's keys are in order and near each other.
                 key = ((key >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -135,14 +145,14 @@ def _runs(x: np.ndarray, length: int) -> np.ndarray:
 
 
 def _columns(kind: int) -> tuple[str, ...]:
-    return _PLACE.names if kind == SHARED else ("doc", "start", "n")
+    return ("doc", "start", "n") if kind == REPEAT else _PLACE.names
 
 
 def _blob(kind: int, x: np.ndarray) -> bytes:
     """The columns as byte planes (all lowest bytes first), which the shuffle's codec compresses well; ``a`` as differences."""
     out = []
     for c in _columns(kind):
-        column = np.diff(x[c], prepend=np.uint64(0)) if c == "a" else np.ascontiguousarray(x[c])
+        column = np.diff(x[c], prepend=np.uint64(0)) if c == "a" and kind == SHARED else np.ascontiguousarray(x[c])
         out.append(column.view(np.uint8).reshape(len(x), -1).T.tobytes())
     return b"".join(out)
 
@@ -179,19 +189,19 @@ def _resolve(length: int, shared: bool):
     def flat(kind: int, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), *(pa.array(np.ascontiguousarray(x[c])) for c in ("doc", "start", "n"))], schema=_FLAT)
 
-    def settle(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if held:
-            first, rest = _firsts(np.concatenate(held))
+    def settle(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for kind, parts in held.items():
+            first, rest = _firsts(np.concatenate(parts))
             if len(rest):
                 yield flat(REPEAT, _runs(rest, length))
             if shared and len(first):
-                same = np.append(False, first["a"][1:] == first["a"][:-1])
+                same = np.append(False, first["a"][1:] == first["a"][:-1]) | (kind == HOT)
                 same[:-1] |= same[1:]
                 if same.any():
                     yield flat(SHARED, first[same])
 
     def run(batches):
-        held, now = [], None
+        held, now = {}, None
         for batch in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == REPEAT:
@@ -199,8 +209,8 @@ def _resolve(length: int, shared: bool):
                     continue
                 if bucket != now:
                     yield from settle(held)
-                    held, now = [], bucket
-                held.append(_unpacked(kind, blob))
+                    held, now = {}, bucket
+                held.setdefault(kind, []).append(_unpacked(kind, blob))
         yield from settle(held)
 
     return run
@@ -233,24 +243,34 @@ def _suffixes(length: int):
     return run
 
 
-def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with __text (null: empty) and __doc: the number of each document in order; rows with equal id and text are one document."""
-    df = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+def _numbered(keys: DataFrame) -> DataFrame:
+    """``keys`` (i, g) with doc: their places in order, null last. Ranges are sorted one by one and counted, and a range starts where those before it end."""
+    order = [F.col("i").asc_nulls_last(), F.col("g")]
+    keys = materialise(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    counts = keys.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
+    return keys.withColumn("place", place).join(counts.select("part", before.alias("start")), "part").select("i", "g", (F.col("start") + F.col("place")).alias("doc"))
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str, doc: str) -> DataFrame:
+    """``df`` with ``doc``: the number of each document in order; rows with equal id and text are one document."""
     seen = df.groupBy(id_col).agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col(id_col).isNull())).first()
     if df.schema[id_col].dataType.simpleString() in ("bigint", "int") and (seen[0] or 0) <= 1 and not seen[1]:
-        return df.withColumn("__doc", F.col(id_col).cast("long"))
-    df = df.withColumn("__hash", F.xxhash64("__text"))
-    keys = df.select(F.col(id_col).alias("__i"), F.col("__hash").alias("__g")).distinct().orderBy(F.col("__i").asc_nulls_last(), "__g")
-    kind = keys.schema["__i"].dataType.simpleString()
-    keys = df.sparkSession.createDataFrame(keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), f"__i {kind}, __g long, __doc long")
-    return df.join(materialise(keys), F.expr(f"`{id_col}` <=> __i and __hash = __g")).drop("__i", "__g", "__hash")
+        return df.withColumn(doc, F.col(id_col).cast("long"))
+    digest, i, g = free_names(df.withColumn(doc, F.lit(0)), "digest", "i", "g")
+    df = df.withColumn(digest, F.xxhash64(text_col))
+    keys = materialise(_numbered(df.select(F.col(id_col).alias("i"), F.col(digest).alias("g")).distinct()))
+    keys = keys.withColumnsRenamed({"i": i, "g": g, "doc": doc})
+    return df.join(keys, F.expr(f"`{id_col}` <=> `{i}` and `{digest}` = `{g}`")).drop(i, g, digest)
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc, start, n): n windows from ``start`` on occur earlier too. ``docs``: (doc, text)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * parts, size // BUCKET)
     blob, flat = "bucket int, kind byte, blob binary", "kind byte, doc long, start int, n int"
 
     def parse(batches):
@@ -292,9 +312,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     made = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long"}
     rest = [f for f in df.schema if f.name != text_col and f.name not in made]
-    docs = _documents(df.select(*(f"`{f.name}`" for f in rest), f"`{text_col}`"), id_col, text_col)
-    lists = repeats(docs.select(F.col("__doc").alias("doc"), F.col("__text").alias("text")), length)
-    lists = lists.groupBy(F.col("doc").alias("__of")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
+    doc, of, spans = free_names(df, "doc", "of", "spans")
+    df = df.select(*(f"`{f.name}`" for f in rest), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text_col))
+    docs = _documents(df, id_col, text_col, doc)
+    lists = repeats(docs.select(F.col(doc).alias("doc"), F.col(text_col).alias("text")), length)
+    lists = lists.groupBy(F.col("doc").alias(of)).agg(F.collect_list(F.struct("start", "n")).alias(spans))
 
     def run(batches):
         for batch in batches:
@@ -315,14 +337,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [*batch.columns[2:], pa.array(kept, pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in figures.T)]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in rest), *made])
 
-    joined = docs.join(lists, F.col("__doc") == F.col("__of"), "left").select("__text", "__spans", *(f"`{f.name}`" for f in rest))
+    joined = docs.join(lists, F.col(doc) == F.col(of), "left").select(F.col(f"`{text_col}`"), spans, *(f"`{f.name}`" for f in rest))
     return map_batches(joined, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {t}" for c, t in made.items()]))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """``df`` with its texts cut by ``remove_repeats``; what is left of a character cut in part goes too. Null texts become empty."""
-    cut = remove_repeats(df, id_col, text_col, length)
+    made = ("kept", "n_bytes", "n_removed", "n_spans")
+    clash = {c: c2 for c, c2 in zip(made, free_names(df, *[f"own_{c}" for c in made]), strict=True) if c in df.columns}
+    cut = remove_repeats(df.withColumnsRenamed(clash), id_col, text_col, length)
     valid = F.is_valid_utf8(F.col("kept").cast("string"))
     # Bytes that form no character become U+FFFD and are taken out; texts that hold U+FFFD themselves and are valid stay as they are.
     text = F.when(valid, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
-    return cut.withColumn(text_col, text).select(*df.columns)
+    return cut.withColumn(text_col, text).drop(*made).withColumnsRenamed({v: k for k, v in clash.items()}).select(*df.columns)

@@ -56,6 +56,25 @@ def test_small_parts_give_the_same(spark, monkeypatch):
     check(spark, docs)
 
 
+def test_crowded_triggers_are_dealt_by_content(spark, monkeypatch):
+    """A short passage in every document, before and behind which all differ: many phrases share its triggers."""
+    monkeypatch.setattr(sd, "CROWD", 2)
+    monkeypatch.setattr(sd, "FLUSH", 200)
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, long = text(60), text(140)
+    docs = [(k, text(90) + common + text(80) + (long if k % 3 == 0 else "") + text(30)) for k in range(90)]
+    check(spark, docs + [(200 + k, docs[k][1]) for k in range(0, 90, 7)])
+
+
+def test_ids_that_are_no_numbers_are_put_in_order(spark):
+    a = "".join(map(str, range(120)))
+    df = spark.createDataFrame([("b", a, 1), ("a", "x" + a, 2), (None, a, 3), ("c", None, 4)], "doc_id string, text string, i int").withColumns({"doc": F.lit(0), "of": F.lit(0), "spans": F.lit(0), "g": F.lit(0), "digest": F.lit(0), "kept": F.lit(7)})
+    cut = sd.without_repeats(df)
+    assert cut.columns == df.columns
+    assert {r.i: (r.text, r.kept) for r in cut.collect()} == {1: ("", 7), 2: ("x" + a, 7), 3: ("", 7), 4: ("", 7)}
+
+
 def test_repeated_rows_ids_nulls_and_clashing_columns(spark):
     a, b = "".join(map(str, range(200))), "".join(map(str, range(200, 400)))
     rows = [(1, a, "p"), (1, a, "q"), (1, b, None), (None, a + "!", "r"), (2, b + a, "s"), (3, None, "t")]
