@@ -14,33 +14,41 @@ from tessera.llm.suffix_dedup import without_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; the model is learned from the stage's own input."""
+    """Documents in one of the languages that their labels teach; a null label becomes the language found.
+
+    The model is learned from a bounded sample of the stage's own input. Null and
+    empty texts, those without a letter, and those that no language makes likelier
+    than chance go.
+    """
     return keep_identified(docs, fit(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group with 0.8 or more of their five-word shingles in common."""
+    """One document, that with the smallest id, of each group with 0.8 or more of their five-word shingles in common.
+
+    Documents without an id stay; rows that share an id stay or go together.
+    """
     return keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 100 bytes that start earlier too; n_chars follows the text."""
+    """Texts without passages of 100 bytes that start earlier too; n_chars follows the text. Null texts become empty; no document goes."""
     cut = without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its source takes it."""
+    """Each document as often as the mix of its source takes it; a null source is a source of its own."""
     return mix(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and the text that the ids decode to."""
+    """The columns of documents, the text as its ids decode, with n_tokens and ids. Null texts become empty, with the end id alone."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = encode(docs.select("doc_id", "lang", "source", "text"), model)
-    pieces = pieces.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "begins", "ends")]
+    pieces = encode(docs.select(*rest, "text"), model).select(*rest, F.size("ids").cast("long").alias("n_tokens"), "ids")
     return decode(pieces, model, out="text", keep_ids=True)
 
 
