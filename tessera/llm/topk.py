@@ -6,6 +6,9 @@ still add, and accumulators hold a proven lower bound of each score. What no
 segment has added yet is bounded by the best segment left in each dimension, so
 the k-th lower bound proves which candidates can't be among the first k. The rest,
 the possible members, are scored exactly.
+
+A query carries the k-th score that it has found in earlier blocks, so that a later
+block can be left out as a whole, or after few segments, if it can't reach it.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialise
 
 BLOCK, QUERIES, LEVELS = 4096, 256, 4
-#: Quantised components saturate here, so that any inner product of up to 128 dimensions fits a long.
-MOST = 1 << 28
 #: Shares of a block's postings after which the bound is looked at.
 STEPS = (0.3, 0.5, 0.7, 0.85, 1.0)
+#: Bytes of candidates that a task holds while queries pass by.
+HELD = 64 << 20
+_LONG = 1 << 63
 
 
 class Block:
@@ -31,7 +35,11 @@ class Block:
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
         n, dims = x.shape
-        shift = max(0, int(np.abs(x).max(initial=0)).bit_length() - LEVELS)
+        #: The largest component, for the check that sums fit.
+        self.most = max(-int(x.min(initial=0)), int(x.max(initial=0)))
+        if x.dtype == object:
+            return
+        shift = max(0, self.most.bit_length() - LEVELS)
         level = x >> shift
         order = np.argsort(level, axis=0, kind="stable").T
         self.postings = np.ascontiguousarray(order).ravel()
@@ -45,47 +53,78 @@ class Block:
         self.low, self.high = (f.reduceat(values, self.start) for f in (np.minimum, np.maximum))
         self.first = np.flatnonzero(np.append(True, self.dim[1:] != self.dim[:-1]))
 
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the first k candidates other than ``own``; ties to the smaller id."""
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact inner products: 64-bit whole numbers where no sum can leave them, else Python's."""
+        if self.x.dtype != object and self.most * sum(map(abs, q.tolist())) < _LONG:
+            return self.x[rows] @ q
+        return self.x[rows].astype(object) @ q.astype(object)
+
+    def search(self, own: int, q: np.ndarray, k: int, least_score: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the first k candidates other than ``own``; ties to the smaller id.
+
+        Candidates that are proven to score below ``least_score`` are left out. The
+        accumulators are whole numbers, so the bounds are proofs for components of
+        any size; where a sum could leave 64 bits, all candidates are scored.
+        """
         n = len(self.ids)
         other = self.ids != own
         possible = np.flatnonzero(other)
-        if self.x.shape[1] and len(possible) > k:
+        if self.x.dtype != object and self.x.shape[1] and len(possible) > k and 4 * self.most * sum(map(abs, q.tolist())) < _LONG:
             w = q[self.dim]
             a, b = w * self.low, w * self.high
             least, most = np.minimum(a, b), np.maximum(a, b)
+            if least_score is not None and np.maximum.reduceat(most, self.first).sum() < least_score:
+                return self.ids[:0], np.zeros(0, np.int64)
             floor = np.minimum.reduceat(least, self.first)[self.dim]
+            base = int(floor[self.first].sum())
             order = np.argsort(floor - most, kind="stable")
             ends = np.cumsum(self.size[order])
-            found, done, pending = np.zeros(n), 0, np.ones(len(order), bool)
+            found, done, pending = np.zeros(n, np.int64), 0, np.ones(len(order), bool)
             for share in STEPS:
                 upto = int(np.searchsorted(ends, share * ends[-1])) + 1
                 took, done = order[done:upto], max(done, upto)
-                if len(took):
-                    size = self.size[took]
-                    at = np.repeat(self.start[took] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
-                    found += np.bincount(self.postings[at], np.repeat((least - floor)[took], size), n)
-                    pending[took] = False
+                for s, gain in zip(took.tolist(), (least - floor)[took].tolist(), strict=True):
+                    if gain:
+                        # A candidate stands once in a dimension, so no index repeats.
+                        found[self.postings[self.start[s] : self.start[s] + self.size[s]]] += gain
+                pending[took] = False
                 # A dimension adds at most what its best segment left can, or what rounding kept back.
                 slack = np.maximum.reduceat(np.where(pending, most - floor, most - least), self.first).sum()
                 bound = np.partition(found[other], -k)[-k]
+                if least_score is not None:
+                    bound = max(bound, least_score - base)
                 possible = np.flatnonzero(other & (found + slack >= bound))
                 if len(possible) <= max(4 * k, n // 16):
                     break
-        score = self.x[possible] @ q
-        best = np.lexsort((self.ids[possible], -score))[:k]
+        score = self.scores(possible, q)
+        best = ranked(self.ids[possible], score)[:k]
         return self.ids[possible[best]], score[best]
 
 
+def ranked(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The order of candidates: by descending score, then by id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda r: (-scores[r], ids[r])), np.int64)
+    return np.lexsort((ids, -scores))
+
+
+def beyond(score: int) -> str:
+    """Empty for a score that fits 64 bits; else digits that sort as such scores do, for sums of up to 700 digits."""
+    return "" if -_LONG <= score < _LONG else f"{score if score > 0 else 10**700 + score:0700d}"
+
+
 def _blobs(size: int, scale: float):
     """Blocks of up to ``size`` usable vectors: ids and components as bytes. Shorter vectors are filled with zeros."""
 
     def packed(ids, vectors):
         dims = max(map(len, vectors), default=0)
-        x = np.zeros((len(vectors), dims), np.int64)
+        x = np.zeros((len(vectors), dims))
         for row, v in zip(x, vectors, strict=True):
-            row[: len(v)] = np.clip(np.floor(scale * v), -MOST, MOST)
-        return np.array(ids, np.int64).tobytes(), x.astype("<i4").tobytes(), dims
+            row[: len(v)] = v
+        # Whole numbers beyond 64 bits stay as they are: a double holds them exactly.
+        most = np.abs(x).max(initial=0)
+        kind = "<i4" if most < 1 << 31 else "<i8" if most < _LONG else "<f8"
+        return np.array(ids, np.int64).tobytes(), x.astype(kind).tobytes(), dims, kind
 
     def run(batches):
         ids, vectors, made = [], [], []
@@ -94,10 +133,10 @@ def _blobs(size: int, scale: float):
             for row, vec_id in enumerate(batch.column(0).to_pylist()):
                 if vec_id is None or not column[row].is_valid or column[row].values.null_count:
                     continue
-                v = np.asarray(column[row].values, np.float64)
+                v = scale * np.asarray(column[row].values, np.float64)
                 if np.isfinite(v).all():
                     ids.append(vec_id)
-                    vectors.append(v)
+                    vectors.append(np.floor(v))
                 if len(ids) == size:
                     made.append(packed(ids, vectors))
                     ids, vectors = [], []
@@ -107,47 +146,80 @@ def _blobs(size: int, scale: float):
 
     def flush(made):
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.int32())], names=["ids", "x", "dims"])
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.int32()), pa.array([m[3] for m in made])], names=["ids", "x", "dims", "form"])
 
     return run
 
 
+def _unpacked(ids: bytes, x: bytes, dims: int, form: str) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    x = np.frombuffer(x, form).reshape(len(ids), dims)
+    return ids, np.array([[int(c) for c in v] for v in x], object).reshape(x.shape) if form == "<f8" else x.astype(np.int64)
+
+
 def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries``, the k rows of ``df`` with the largest inner product.
 
-    Components become floor(scale * x), saturated at 2**28 either way. A row does
-    not find its own id. Ties go to the smaller id. Defined cases: null vectors,
-    null ids and vectors with a null or non-finite component take no part; a
-    shorter vector counts as filled with zeros; a query with fewer candidates
-    returns them all; rows that repeat an id and score count once.
+    Components become floor(scale * x) and are never cut, and ranks follow the exact
+    sums; only a returned score that does not fit 64 bits stands at their end. A row
+    does not find its own id. Ties go to the smaller id. Defined cases: null vectors, null ids and vectors
+    with a null or non-finite component, or one that ``scale`` makes so, take no part; a shorter vector counts as
+    filled with zeros; a query with fewer candidates returns them all; rows that
+    repeat an id and score count once; empty tables give no rows.
 
     Every block of queries meets every block of candidates once: candidate blocks
-    are dealt to groups, and query blocks are sent to each group. Each pair sends
-    on k rows for each query, so nothing of the size of all pairs is written.
+    are dealt to groups of about ``HELD`` bytes, a task indexes those of its group,
+    and query blocks are sent to each group, once for all its blocks. Each group
+    sends on k rows for each query, so nothing of the size of all pairs is written.
     """
-    blob = "ids binary, x binary, dims int"
-    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blob = "ids binary, x binary, dims int, form string"
+    spark = df.sparkSession
     blocks = materialise(map_batches(df.select(id_col, vector_col), _blobs(BLOCK, scale), blob))
-    blocks = blocks.select("*", F.monotonically_increasing_id().alias("block")).withColumn("g", F.pmod(F.hash("block"), F.lit(groups)))
-    asked = map_batches(queries.select(id_col, vector_col).repartition(max(1, groups // 4)), _blobs(QUERIES, scale), blob)
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = blocks.join(asked, "g").sortWithinPartitions("block").select("block", "ids", "x", "dims", "q_ids", "q", "q_dims")
+    size = blocks.agg(F.count("*"), F.sum(F.octet_length("x"))).first()
+    # A group for each core's worth of blocks, or more if a task could not hold them.
+    groups = max(1, min(size[0], max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size[1] or 0) // HELD)))
+    side = blocks.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "ids", "x", "dims", "form")
+    asked = map_batches(queries.select(id_col, vector_col).coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)), _blobs(QUERIES, scale), blob)
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "ids", "x", "dims", "form")
+    # Candidates of a group come before its queries.
+    both = side.unionByName(asked).repartition(groups, "g").sortWithinPartitions("g", "kind")
 
     def run(batches):
-        now, index = None, None
+        now, held, seen = None, [], []
         for batch in batches:
             for row in range(batch.num_rows):
-                block, ids, x, dims, q_ids, q, q_dims = (c[row].as_py() for c in batch.columns)
-                if block != now:
-                    now, ids = block, np.frombuffer(ids, np.int64)
-                    index = Block(ids, np.frombuffer(x, "<i4").reshape(len(ids), dims).astype(np.int64))
-                q_ids = np.frombuffer(q_ids, np.int64)
-                asked = np.zeros((len(q_ids), max(dims, q_dims)), np.int64)
-                asked[:, :q_dims] = np.frombuffer(q, "<i4").reshape(len(q_ids), q_dims)
-                found = [index.search(own, v[:dims], k) for own, v in zip(q_ids.tolist(), asked, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(f[0]) for f in found])), *(pa.array(np.concatenate([f[j] for f in found])) for j in range(2))], names=["query_id", "vec_id", "score"])
-
-    found = map_batches(pairs, run, "query_id long, vec_id long, score long")
-    first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                g, kind, *cells = (c[row].as_py() for c in batch.columns)
+                if g != now:
+                    now, held = g, []
+                if kind == 0:
+                    held.append(Block(*_unpacked(*cells)))
+                    continue
+                q_ids, q = _unpacked(*cells)
+                for own, v in zip(q_ids.tolist(), q, strict=True):
+                    ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    for index in held:
+                        dims = index.x.shape[1]
+                        v_fit = v[:dims] if len(v) >= dims else np.append(v, np.zeros(dims - len(v), np.int64))
+                        found = index.search(own, v_fit, k, int(scores[-1]) if len(ids) >= k else None)
+                        ids, scores = np.append(ids, found[0]), np.append(scores, found[1])
+                        best = ranked(ids, scores)
+                        # Rows that repeat an id and score count once.
+                        fresh = np.append(True, (ids[best][1:] != ids[best][:-1]) | (scores[best][1:] != scores[best][:-1])) if len(best) else np.zeros(0, bool)
+                        ids, scores = ids[best][fresh][:k], scores[best][fresh][:k]
+                    seen.append((np.full(len(ids), own), ids, scores))
+                if len(seen) >= QUERIES:
+                    yield flat(seen)
+                    seen = []
+        if seen:
+            yield flat(seen)
+
+    def flat(seen):
+        ids, found = (np.concatenate([s[j] for s in seen]) for j in range(2))
+        scores = [int(x) for s in seen for x in s[2]]
+        clipped = [min(max(x, -_LONG), _LONG - 1) for x in scores]
+        return pa.RecordBatch.from_arrays([pa.array(ids.tolist(), pa.int64()), pa.array(found.tolist(), pa.int64()), pa.array(clipped, pa.int64()), pa.array(map(beyond, scores), pa.string())], names=["query_id", "vec_id", "score", "beyond"])
+
+    found = map_batches(both, run, "query_id long, vec_id long, score long, beyond string")
+    first = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     found = found.withColumn("tied", F.dense_rank().over(first)).filter(F.col("tied") <= k).distinct()
     return found.select("query_id", F.col("tied").cast("int").alias("rank"), "vec_id", "score")

@@ -55,6 +55,35 @@ def test_top_k_of_odd_vectors(spark):
     assert search(spark, [(0, [1.0], 1)]) == []
 
 
+def test_components_and_sums_of_any_size(spark):
+    """Components past 2**28, sums past 2**53 and past 2**63 are told apart; only the returned score ends at 64 bits."""
+    rows = [(k, [2.0 ** (18 + k % 3), 2.0 ** (16 + k % 5), float(k % 7)], 0) for k in range(60)]
+    rows += [(100 + k, [float(np.float32(2.0**36 + 2.0**14 * k)), 1.0, -1.0], 0) for k in range(9)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = sorted(map(tuple, topk.top_k(df, df.filter("vec_id in (0, 7, 100)"), k=12).collect()))
+    most = (1 << 63) - 1
+    want = [(q, r, i, min(s, most)) for q, r, i, s in brute_top(rows, (0, 7, 100), 12)]
+    assert got == want
+    assert any(s == most for *_, s in want) and any(2**53 < s < most for *_, s in want)
+    huge = [(0, [1e30, 1.0], 0), (1, [1e30, 5.0], 0), (2, [2e30, 0.0], 0), (3, [-3e30, 1.0], 0), (4, [-1e30, 1.0], 0), (5, [1.0, 1.0], 0)]
+    assert [r.vec_id for r in topk.top_k(spark.createDataFrame(huge, VECTORS), spark.createDataFrame(huge[:1], VECTORS)).orderBy("rank").collect()] == [2, 1, 5, 4, 3]
+
+
+@pytest.mark.parametrize("held", [1, 1 << 26])
+def test_groups_of_blocks_carry_the_score_on(spark, held, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "HELD", held)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(c) for c in v], 0) for k, v in enumerate(rng.normal(size=(400, 6)) * rng.choice([0.1, 1, 30], size=(400, 1)))]
+    assert search(spark, rows, 5, 7) == brute_top(rows, range(0, 400, 5), 7)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        assert search(spark, rows, 5, 7) == brute_top(rows, range(0, 400, 5), 7)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_the_index_prunes_by_proof():
     """On skewed impacts most candidates are left out before the exact scores."""
     rng = np.random.default_rng(1)
