@@ -238,11 +238,15 @@ def keyed(classes: DataFrame) -> DataFrame:
     """(key, node, n, least, hub): a row for each class and hash of its prefix that other classes have in theirs.
 
     n: how many they are; least: the smallest of them; hub: that with the fewest
-    hashes of its own, as the text that others are copies of has.
+    hashes of its own, as the text that others are copies of has. Hashes that the
+    same classes have, as those of a passage have, are one key: two 64-bit sums over
+    the classes tell.
     """
     each = classes.select("node", "own", F.explode("prefix").alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(F.struct("own", "node")).alias("hub")).filter("n > 1")
-    return each.drop("own").join(shared.select("key", "n", "least", F.col("hub.node").alias("hub")), "key")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(seed))) for seed in (1, 2)]
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(F.struct("own", "node")).alias("hub"), *(x.alias(f"s{k}") for k, x in enumerate(same))).filter("n > 1")
+    one = shared.groupBy("n", "least", "s0", "s1").agg(F.min("key").alias("key"), F.min("hub").alias("hub"))
+    return each.drop("own").join(one.select("key", "n", "least", F.col("hub.node").alias("hub")), "key")
 
 
 def stars(keys: DataFrame) -> DataFrame:
