@@ -22,6 +22,7 @@ log = logging.getLogger(__name__)
 @dataclass
 class ProcessingResult:
     source: str
+    schema: str = ""
     total: int = 0
     valid: int = 0
     quarantined: int = 0
@@ -29,6 +30,7 @@ class ProcessingResult:
     orphaned: int = 0
     cleaned: list[str] = field(default_factory=list)
     errors: dict[str, int] = field(default_factory=dict)
+    quarantine_path: str = ""
 
     @property
     def pass_rate(self) -> float:
@@ -57,7 +59,7 @@ class SilverProcessor:
         return results
 
     def process(self, source: SourceSpec) -> ProcessingResult:
-        result, path = ProcessingResult(source.name), f"{self.bronze_dir}/{source.name}"
+        result, path = ProcessingResult(source.name, source.schema), f"{self.bronze_dir}/{source.name}"
         if not exists(self.spark, path):
             log.warning("%s: no Bronze table", source.name)
             return result
@@ -80,7 +82,8 @@ class SilverProcessor:
         judged = write_table(judged, f"{self.output_dir}/_judged/{name}")
         good = valid(judged).withColumnsRenamed({"_source_file": "source_file", "_loaded_at": "loaded_at"}).drop(ROW)
         good = write_table(good, f"{self.output_dir}/{name}")
-        write_quarantine(quarantined(judged), f"{self.quarantine_dir}/{name}")
+        result.quarantine_path = f"{self.quarantine_dir}/{name}"
+        write_quarantine(quarantined(judged), result.quarantine_path)
         if self.csv:
             export_csv(good, f"{self.output_dir}_csv/{name}")
         lost = F.exists("_errors", lambda e: e["type"] == "referential_integrity")
@@ -97,7 +100,7 @@ class SilverProcessor:
         if "line_items_json" not in bronze.columns:
             return None
         items = line_items(keep_first(bronze, ["invoice_id"], [ROW]), self.keys["invoice"])
-        result = ProcessingResult("invoice_line_items")
+        result = ProcessingResult("invoice_line_items", "invoice_line_item")
         self._finish(judge_line_items(items, self.keys.get("product"), self.reference_date), "invoice_line_items", result)
         result.total = result.valid + result.quarantined
         return result

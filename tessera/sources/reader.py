@@ -21,9 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings; quoted line breaks, doubled quotes and quoted empty cells are kept."""
-    df = spark.read.options(header=True, multiLine=True, escape='"', emptyValue="").csv(path)
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """All columns as strings; doubled quotes and quoted empty cells are kept, and so are quoted line breaks if ``multiline``.
+
+    A file whose cells may hold line breaks is read by one task; others are split.
+    """
+    df = spark.read.options(header=True, multiLine=multiline, escape='"', emptyValue="").csv(path)
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
@@ -45,6 +48,11 @@ def read_json(spark: SparkSession, path: str, data_key: str | None = None) -> Da
     return df.select(F.posexplode(key).alias(ROW, "r")).select("r.*", F.col(ROW).cast("long"))
 
 
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A record for each line: the form for large files, which Spark splits among tasks."""
+    return spark.read.json(path).withColumn(ROW, F.monotonically_increasing_id())
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn(ROW, F.col("_metadata.row_index"))
 
@@ -69,7 +77,12 @@ def with_lineage(df: DataFrame, file: str, loaded_at: dt.datetime | str) -> Data
     return df.withColumns({"_source_file": F.lit(file), "_loaded_at": F.lit(loaded_at if isinstance(loaded_at, str) else loaded_at.isoformat())})
 
 
-READERS = {"csv": lambda spark, path, _: read_csv(spark, path), "json": read_json, "parquet": lambda spark, path, _: read_parquet(spark, path)}
+READERS = {
+    "csv": lambda spark, path, spec: read_csv(spark, path, spec.multiline),
+    "json": lambda spark, path, spec: read_json(spark, path, spec.data_key),
+    "jsonl": lambda spark, path, spec: read_json_lines(spark, path),
+    "parquet": lambda spark, path, spec: read_parquet(spark, path),
+}
 
 
 def read_source(spark: SparkSession, spec: SourceSpec, input_dir: str) -> DataFrame:
@@ -79,4 +92,4 @@ def read_source(spark: SparkSession, spec: SourceSpec, input_dir: str) -> DataFr
         raise FileNotFoundError(path)
     if spec.format not in READERS:
         raise ValueError(f"unknown format: {spec.format}")
-    return flatten(READERS[spec.format](spark, path, spec.data_key))
+    return flatten(READERS[spec.format](spark, path, spec))

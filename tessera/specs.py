@@ -44,6 +44,8 @@ class SourceSpec:
     format: str
     schema: str
     data_key: str | None = None
+    #: Of CSV: whether cells may hold line breaks. Without them Spark splits a file among tasks.
+    multiline: bool = True
 
 
 def _text(names: str, **more) -> list[FieldSpec]:

@@ -27,20 +27,28 @@ def column(spark, values, f, kind="string"):
 
 @pytest.fixture
 def raw(tmp_path):
-    """Three sources: a repeated product and customer, a product of an unknown vendor, a quoted line break."""
-    (tmp_path / "products.csv").write_text(
-        "product_id,vendor_id,sku,product_name,category,price,cost,stock_quantity,rating,is_active\n"
-        'PRD-001,VND-001,S1,"Lamp, ""small""\nred",Home,10.5,4,3,4.5,yes\nPRD-002,VND-001,S2,Chair,Home,99,40,3.0,4,No\n'
-        "PRD-003,VND-002,S3,Desk,Office,300,100,1,5,1\nPRD-003,VND-002,S3,Desk again,Office,300,100,1,5,1\nPRD-004,VND-999,S4,Ghost,Office,3,1,1,2,true\n"
-    )
+    """A garden shop: a quoted line break, a price below zero, an unknown vendor, no sku, a spend that is no number, a repeat each of a product and a customer."""
+    lines = [
+        "sku,product_id,product_name,vendor_id,price,stock_quantity,is_active,category,rating,cost",
+        'TL-9,PRD-7010,"Spade, 30""\nsteel",VND-31,24.90,12.0,y,Tools,4.25,11',
+        "SE-1,PRD-7020,Bean seed,VND-58,2.5,400,FALSE,Seeds,5,1",
+        "PT-3,PRD-7030,Pot,VND-31,-8,30,1,Pots,3,2",
+        "SE-1b,PRD-7020,Bean seed (old),VND-58,2,1,TRUE,Seeds,5,1",
+        "XX,PRD-7040,Lost,VND-900,3,1,1,Pots,2,1",
+        ",PRD-7050,Unnamed,VND-31,3,1,1,Pots,2,1",
+    ]
+    (tmp_path / "products.csv").write_text("\n".join(lines) + "\n")
+    ines = {"customer_id": "CUS-80", "full_name": "Ines Holm", "email": "Ines.Holm@Post.EXAMPLE", "phone": "+47 (22) 33-44.55", "total_spend": 31, "is_active": "1", "address": {"city": "Bergen", "country": "Norway"}, "registration_date": "7-Feb-2023"}
     customers = [
-        {"customer_id": "CUS-001", "full_name": "A", "email": "A@Example.COM", "phone": "(555) 123-4567", "segment": "x", "total_spend": 5.0, "is_active": "yes", "address": {"city": "Rome", "country": "Italy"}, "registration_date": "03/25/2024"},
-        {"customer_id": "CUS-001", "full_name": "A twice", "email": "a@example.com", "phone": "1", "segment": "x", "total_spend": 5.0, "is_active": "no", "address": {"city": None, "country": None}},
-        {"customer_id": "CUS-002", "full_name": "B", "email": "not-an-email", "phone": None, "segment": "y", "total_spend": None, "is_active": "maybe", "address": None, "registration_date": "2099-12-31"},
+        ines,
+        {"customer_id": "CUS-81", "full_name": "Ola", "email": "none", "total_spend": 12.5, "is_active": "perhaps", "address": None, "registration_date": "2031-05-01"},
+        {"customer_id": "CUS-82", "full_name": "Per", "total_spend": "a lot", "address": {"city": None, "country": "Norway"}},
+        ines | {"full_name": "Ines again"},
     ]
-    (tmp_path / "customers.json").write_text(json.dumps({"total_count": 9, "customers": customers}))
-    vendors = [{"vendor_id": f"VND-00{k}", "vendor_name": f"V{k}", "country": "Italy", "region": "South & East", "reliability_score": 91.5 + k, "status": s, "categories": ["a", "b"]} for k, s in ((1, "ACTIVE"), (2, "Active"))]
-    (tmp_path / "vendors.json").write_text(json.dumps({"vendors": vendors}))
+    (tmp_path / "customers.json").write_text(json.dumps({"as_of": "today", "customers": customers}))
+    vendors = [("VND-31", "Alder", "Norway", "North & West", 97.25, "ACTIVE"), ("VND-58", "Birch", "Denmark", "South", 88.0, "Paused")]
+    names = ("vendor_id", "vendor_name", "country", "region", "reliability_score", "status")
+    (tmp_path / "vendors.json").write_text(json.dumps({"vendors": [dict(zip(names, v, strict=True)) | {"categories": ["tools", "pots"]} for v in vendors]}))
     return str(tmp_path)
 
 
@@ -53,16 +61,26 @@ THREE = (SourceSpec("vendors", "vendors.json", "json", "vendor", "vendors"), Sou
 def test_bronze_reads_flattens_and_isolates_failures(spark, raw, tmp_path):
     sources = (*THREE, SourceSpec("missing", "none.csv", "csv", "review"), SourceSpec("odd", "vendors.json", "xml", "vendor"))
     results = BronzeIngester(spark, raw, f"{tmp_path}/bronze", sources, csv=True).ingest_all()
-    assert {k: r.get("row_count") for k, r in results.items()} == {"vendors": 2, "products": 5, "customers": 3, "missing": None, "odd": None}
+    assert {k: r.get("row_count") for k, r in results.items()} == {"vendors": 2, "products": 6, "customers": 4, "missing": None, "odd": None}
     assert "none.csv" in results["missing"]["error"] and "xml" in results["odd"]["error"]
     customers = spark.read.parquet(f"{tmp_path}/bronze/customers")
     assert {"address_city", "address_country", "_source_file", "_loaded_at"} <= set(customers.columns) and customers.select("_loaded_at").distinct().count() == 1
-    assert spark.read.parquet(f"{tmp_path}/bronze/products").filter("product_id = 'PRD-001'").first().product_name == 'Lamp, "small"\nred'
-    assert json.loads(spark.read.parquet(f"{tmp_path}/bronze/vendors").first().categories) == ["a", "b"]
+    assert spark.read.parquet(f"{tmp_path}/bronze/products").filter("product_id = 'PRD-7010'").first().product_name == 'Spade, 30"\nsteel'
+    assert json.loads(spark.read.parquet(f"{tmp_path}/bronze/vendors").first().categories) == ["tools", "pots"]
     with pytest.raises(FileNotFoundError):
         read_source(spark, sources[3], raw)
 
 
+def test_json_lines_and_plain_csv_are_splittable(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"k": k, "s": {"t": "x\ny"}}) + "\n" for k in range(5)))
+    (tmp_path / "a.csv").write_text("k,t\n" + "".join(f'{k},"a ""b"""\n' for k in range(5)))
+    read = lambda *spec, **more: read_source(spark, SourceSpec("a", *spec, "none", **more), str(tmp_path)).orderBy("k").collect()
+    assert [(r.k, r.s_t) for r in read("a.jsonl", "jsonl")] == [(k, "x\ny") for k in range(5)]
+    assert [(r.k, r.t) for r in read("a.csv", "csv", multiline=False)] == [(str(k), 'a "b"') for k in range(5)]
+    (tmp_path / "none.jsonl").write_text("")
+    assert read_source(spark, SourceSpec("a", "none.jsonl", "jsonl", "none"), str(tmp_path)).count() == 0
+
+
 def test_json_forms(spark, tmp_path):
     for name, value in {"list": [{"a": 1}, {"a": 2}], "keyed": {"n": 3, "rows": [{"a": 1}]}, "empty": {"rows": []}}.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(value))
@@ -169,37 +187,43 @@ def test_silver(spark, raw, tmp_path):
     for _ in range(2):
         results = processor.process_all()
         figures = {k: (r.total, r.valid, r.quarantined, r.duplicates_removed, r.orphaned) for k, r in results.items()}
-        assert figures == {"vendors": (2, 2, 0, 0, 0), "products": (5, 3, 1, 1, 1), "customers": (3, 2, 0, 1, 0)}
+        assert figures == {"vendors": (2, 2, 0, 0, 0), "products": (6, 2, 3, 1, 1), "customers": (4, 2, 1, 1, 0)}
     products = {r.product_id: r for r in spark.read.parquet(f"{tmp_path}/silver/products").collect()}
-    assert products["PRD-003"].product_name == "Desk" and products["PRD-002"].is_active is False and products["PRD-002"].stock_quantity == 3
+    assert (products["PRD-7020"].product_name, products["PRD-7020"].is_active, products["PRD-7010"].stock_quantity, products["PRD-7010"].is_active) == ("Bean seed", False, 12, True)
     assert spark.read.parquet(f"{tmp_path}/silver/products").columns == [*ENTITIES["product"].columns, "source_file", "loaded_at"]
     customers = {r.customer_id: r for r in spark.read.parquet(f"{tmp_path}/silver/customers").collect()}
-    assert customers["CUS-001"].email == "a@example.com" and customers["CUS-001"].registration_date == "2024-03-25"
-    assert customers["CUS-002"].email is customers["CUS-002"].registration_date is customers["CUS-002"].is_active is None
-    bad = spark.read.json(f"{tmp_path}/quarantine/products").first()
-    assert bad.errors[0].type == "referential_integrity" and bad.record.product_id == "PRD-004" and bad.row_index is not None
-    assert results["products"].errors == {"referential_integrity": 1} and "status" in results["vendors"].cleaned and results["products"].pass_rate == 0.6
+    ines, ola = customers["CUS-80"], customers["CUS-81"]
+    assert (ines.full_name, ines.email, ines.phone, ines.registration_date, ines.total_spend) == ("Ines Holm", "ines.holm@post.example", "4722334455", "2023-02-07", 31.0)
+    assert ola.email is ola.registration_date is ola.is_active is None and ola.total_spend == 12.5
+    bad = {r.record.product_id: [e.type for e in r.errors] for r in spark.read.json(f"{tmp_path}/quarantine/products").collect()}
+    assert bad == {"PRD-7030": ["greater_than_equal"], "PRD-7040": ["referential_integrity"], "PRD-7050": ["missing"]}
+    assert results["products"].errors == {"greater_than_equal": 1, "referential_integrity": 1, "missing": 1} and results["customers"].errors == {"float_parsing": 1}
+    assert "status" in results["vendors"].cleaned and results["products"].pass_rate == pytest.approx(1 / 3)
 
 
 def test_whole_run_twice(spark, raw, tmp_path):
-    (tmp_path / "invoices.csv").write_text('invoice_id,vendor_id,invoice_date,due_date,total_amount,payment_status,payment_terms,line_items_json\nINV-A1,VND-001,2025-01-01,2025-01-31,21,Pending,NET30,"[{""line_number"": 1, ""product_id"": ""PRD-001"", ""quantity"": 2, ""line_total"": 21}]"\nINV-B2,VND-404,2025-01-01,2025-01-31,5,paid,NET30,[]\n')
-    spark.createDataFrame([("TXN-1", "CUS-001", "PRD-001", "2025-12-30", 2, 21.0), ("TXN-2", "CUS-404", "PRD-001", "2025-12-30", 2, 21.0)], "transaction_id string, customer_id string, product_id string, transaction_date string, quantity int, total_amount double").write.parquet(f"{raw}/sales_transactions.parquet")
-    (tmp_path / "product_reviews.json").write_text(json.dumps({"reviews": [{"review_id": "R1", "product_id": "PRD-001", "customer_id": "CUS-001", "rating": 4, "response": {"responder": "x", "response_text": "y"}}]}))
+    item = '"[{""line_number"": 1, ""product_id"": ""PRD-7020"", ""quantity"": 3, ""line_total"": 7.5}]"'
+    (tmp_path / "invoices.csv").write_text(f"invoice_id,vendor_id,invoice_date,due_date,total_amount,payment_status,payment_terms,line_items_json\nINV-0F,VND-31,2025-03-01,2025-03-31,7.5,Unpaid,NET30,{item}\nINV-1E,VND-900,2025-03-01,2025-03-31,1,paid,NET30,[]\n")
+    sales = [("TXN-A1", "CUS-80", "PRD-7010", "2025-11-03", 1, 24.9), ("TXN-B2", "CUS-99", "PRD-7010", "2025-11-04", 1, 24.9), ("TXN-C3", "CUS-81", "PRD-7020", "2025-11-05", -1, -2.5)]
+    spark.createDataFrame(sales, "transaction_id string, customer_id string, product_id string, transaction_date string, quantity int, total_amount double").write.parquet(f"{raw}/sales_transactions.parquet")
+    (tmp_path / "product_reviews.json").write_text(json.dumps({"reviews": [{"review_id": "R-5", "product_id": "PRD-7020", "customer_id": "CUS-81", "rating": 2, "response": {"responder": "shop", "response_text": "sorry"}}]}))
     sources = (*THREE, SourceSpec("transactions", "sales_transactions.parquet", "parquet", "transaction"), SourceSpec("invoices", "invoices.csv", "csv", "invoice"), SourceSpec("reviews", "product_reviews.json", "json", "review", "reviews"))
     config = load_config(env={"PIPELINE_DATA__INPUT_DIR": raw, "PIPELINE_DATA__OUTPUT_DIR": f"{tmp_path}/out"})
     results = [run_pipeline(spark, config, fresh=fresh, sources=sources) for fresh in (False, True)]
     counts = [{t: f.row_count for t, f in r["gold"].items()} | {t: g.records_loaded for t, g in r["graph"].items()} for r in results]
     assert counts[0] == counts[1]
     assert [len(f.columns) for f in results[0]["gold"].values()] == [20, 18, 16, 15]
-    assert counts[0]["customer_features"] == 2 and counts[0]["invoice_item"] == counts[0]["reviewed"] == counts[0]["purchased"] == 1 and counts[0]["region"] == 1
+    assert (counts[0]["customer_features"], counts[0]["purchased"], counts[0]["region"]) == (2, 2, 2) and counts[0]["invoice_item"] == counts[0]["reviewed"] == counts[0]["located_in"] == 1
     invoice = spark.read.parquet(f"{tmp_path}/out/processed/gold/invoice_features").first()
     assert (invoice.reconciliation_flag, invoice.line_item_diversity, invoice.is_overdue, invoice.payment_terms_days) == ("OK", 1, True, 30)
     report = results[0]["report"]["path"].read_text()
-    assert "| products | 5 | 3 | 1 | 1 | 1 | 60.0% |" in report and "referential_integrity" in report
-    assert overall_pass_rate(results[0]["bronze"], results[0]["silver"]) == pytest.approx(10 / 15)
+    assert "| products | 6 | 2 | 3 | 1 | 1 | 33.3% |" in report
+    assert "| referential integrity to vendor | products | 1 | quarantined |" in report and "| repeated customer_id | customers | 1 | the first row stays |" in report
+    assert "| email: no address | customers |  | set to null |" in report and f"- `{tmp_path}/out/quarantine/customers`: 1 records" in report
+    assert overall_pass_rate(results[0]["bronze"], results[0]["silver"]) == pytest.approx(10 / 18)
     assert set(run_pipeline(spark, config, ["bronze"], sources=sources)) == {"bronze"}
     graph = GraphLoader(spark, f"{tmp_path}/out/processed/silver", f"{tmp_path}/out/processed/graph").load()
-    assert graph.edges["located_in"].first().dst == "South_and_East"
+    assert graph.edges["located_in"].first().dst == "North_and_West"
     GoldProcessor(spark, f"{tmp_path}/out/processed/silver", f"{tmp_path}/out/processed/gold").close()
 
 
