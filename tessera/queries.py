@@ -58,9 +58,9 @@ def lineage_projection(a):
 # --- cleaning ------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, lower(p_brand || p_name) AS low, upper(p_name) AS up, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS title FROM part WHERE p_type NOT LIKE '% %'")
+@query("SELECT p_partkey, lower(p_brand || p_name) AS low, upper(p_name) AS up, array_to_string([upper(left(w, 1)) || lower(substr(w, 2)) FOR w IN string_split(p_type || ' oN ' || p_name, ' ')], ' ') AS title FROM part")
 def clean_case(a):
-    return a.table("part").filter("p_type not like '% %'").select("p_partkey", S.lowercase(F.concat("p_brand", "p_name")).alias("low"), S.uppercase(F.col("p_name")).alias("up"), S.titlecase(F.col("p_type")).alias("title"))
+    return a.table("part").select("p_partkey", S.lowercase(F.concat("p_brand", "p_name")).alias("low"), S.uppercase(F.col("p_name")).alias("up"), S.titlecase(F.concat_ws(" oN ", "p_type", "p_name")).alias("title"))
 
 
 @query("SELECT c_custkey, '555' || c_custkey || c_nationkey || CASE WHEN c_custkey % 7 = 0 THEN 'UNLISTED' ELSE '' END AS phone FROM customer")
