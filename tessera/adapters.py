@@ -26,10 +26,12 @@ def _cents(c: Column, kind: str = "decimal(18,2)") -> Column:
 
 class Adapters:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.read = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self.read:
+            self.read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.read[name]
 
     @cached_property
     def places(self) -> DataFrame:

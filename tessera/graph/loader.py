@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_bool, safe_float, safe_int, safe_str, sanitize_id, slug
 from ..sources.reader import exists
-from ..sources.sinks import write_table
+from ..sources.sinks import scratch, write_table
 from .schema import EDGES, NODES, properties
 
 _SAFE: dict[str, Callable[[Column], Column]] = {"string": safe_str, "double": safe_float, "bigint": safe_int, "boolean": safe_bool}
@@ -97,8 +97,8 @@ def similar_to(products: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     and a row's place is the count of the ranges before plus its place in its range.
     """
     x = products.select(safe_str(F.col("category")).alias("category"), safe_str(F.col("product_id")).alias("id")).filter("category is not null and id is not null").distinct()
-    # Kept, so that the count of each range and the rows in it come from one and the same cut.
-    x = x.repartitionByRange("category", "id").withColumn("part", F.spark_partition_id()).persist()
+    # Written, so that the count of each range and the rows in it come from one and the same cut, also if an executor is lost.
+    x = write_table(x.repartitionByRange("category", "id").withColumn("part", F.spark_partition_id()), scratch(x.sparkSession))
     counts = x.groupBy("category", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("category").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("category", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(W.partitionBy("category")).alias("size"))
@@ -110,28 +110,47 @@ def similar_to(products: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     return a.join(b, ["category", "place"]).select("src", "dst").filter("src <> dst").distinct()
 
 
+class Tables(Mapping[str, DataFrame]):
+    """Tables by name, each planned when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 class Graph:
     """Node and edge tables by name."""
 
-    def __init__(self, nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> None:
+    def __init__(self, nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame]) -> None:
         self.nodes, self.edges = nodes, edges
 
 
-def build(silver: dict[str, DataFrame]) -> Graph:
+def build(silver: Mapping[str, DataFrame]) -> Graph:
     """The graph of the Silver tables that are given; a table that is missing leaves out what needs it."""
     get = silver.get
-    nodes, edges = {}, {}
+    nodes: dict[str, Callable[[], DataFrame]] = {}
+    edges: dict[str, Callable[[], DataFrame]] = {}
     plain = {"vendor": ("vendors", "vendor_id"), "customer": ("customers", "customer_id"), "product": ("products", "product_id"), "invoice": ("invoices", "invoice_id"), "support_ticket": ("support_tickets", "ticket_id"), "call_transcript": ("call_transcripts", "call_id")}
     for table, (name, key) in plain.items():
         if name in silver:
-            nodes[table] = node(silver[name], table, key)
+            nodes[table] = lambda table=table, name=name, key=key: node(silver[name], table, key)
     if "products" in silver:
-        nodes["category"] = named(silver["products"], "category")
+        nodes["category"] = lambda: named(silver["products"], "category")
     if "vendors" in silver:
-        nodes["region"] = named(silver["vendors"], "region")
+        nodes["region"] = lambda: named(silver["vendors"], "region")
     if "support_tickets" in silver or "call_transcripts" in silver:
-        nodes["agent"] = agents(get("support_tickets"), get("call_transcripts"))
-    slugged = lambda c: slug(safe_str(F.col(c)))
+        nodes["agent"] = lambda: agents(get("support_tickets"), get("call_transcripts"))
+    slugged = lambda c: lambda: slug(safe_str(F.col(c)))
     simple = {
         "supplies": ("products", "vendor_id", "product_id", None),
         "belongs_to": ("products", "product_id", slugged("category"), None),
@@ -148,12 +167,12 @@ def build(silver: dict[str, DataFrame]) -> Graph:
     }
     for table, (name, src, dst, source) in simple.items():
         if name in silver and src in silver[name].columns and (not isinstance(dst, str) or dst in silver[name].columns):
-            edges[table] = edge(silver[name], table, src, dst, source)
+            edges[table] = lambda table=table, name=name, src=src, dst=dst, source=source: edge(silver[name], table, src, dst if isinstance(dst, str) else dst(), source)
     if "customers" in silver and "vendors" in silver:
-        edges["located_in"] = located_in(silver["customers"], silver["vendors"])
+        edges["located_in"] = lambda: located_in(silver["customers"], silver["vendors"])
     if "products" in silver:
-        edges["similar_to"] = similar_to(silver["products"])
-    return Graph(nodes, {e: edges[e] for e in EDGES if e in edges})
+        edges["similar_to"] = lambda: similar_to(silver["products"])
+    return Graph(Tables(nodes), Tables({e: edges[e] for e in EDGES if e in edges}))
 
 
 class GraphLoader:

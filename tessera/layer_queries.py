@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .adapters import DAY
@@ -16,21 +13,10 @@ from .plans.silver import SilverProcessor
 from .queries import _FIELD, _KIND, _products_raw, query
 from .report import overall_pass_rate
 from .sources.reader import read_csv, read_json, read_json_lines, read_parquet
-from .sources.sinks import export_csv, write_table
+from .sources.sinks import export_csv, scratch, write_table
 from .specs import ENTITIES, SourceSpec
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder where driver and executors both reach it."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # --- scans and sinks ---------------------------------------------------------------
 
 

@@ -16,6 +16,7 @@ from .operators.integrity import judge, judge_line_items, keep_first, line_items
 from .operators.validation import histogram, validate
 from .plans import features as G
 from .sources.reader import flatten, with_lineage
+from .sources.sinks import scratch, write_table
 from .specs import ENTITIES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -481,7 +482,8 @@ _register_graph()
     _RANKED | {f"node_{n}": s for n, s in _NODE_SQL.items()} | {f"edge_{e}": s for e, s in _EDGE_SQL.items()},
 )
 def graph_degree_summary(a):
-    g, out = _graph(a), None
+    # Each source is made once, not once for every table that comes from it.
+    g, out = build({n: write_table(df, scratch(a.spark)) for n, df in a.silver.items()}), None
     for kind, tables in (("node", g.nodes), ("edge", g.edges)):
         for name, df in tables.items():
             x = df.agg(F.count("*").alias("records")).select(F.lit(kind).alias("kind"), F.lit(name).alias("tbl"), "records")

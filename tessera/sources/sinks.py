@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder where driver and executors both reach it: under ``spark.checkpoint.dir``, or a temporary one on a local master that has none."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        top = spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Overwrite the table and read it back; an empty table is written too, so nothing stale stays."""
     df.write.mode("overwrite").parquet(path)
