@@ -166,15 +166,22 @@ spot AS (
 again AS (SELECT doc_id, i FROM spot QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
 line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM base),
-lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d, count(*) FILTER (WHERE regexp_matches(l, '^[\x20\x09-\x0D]*[*•-]')) AS bullets, count(*) FILTER (WHERE regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS cut
+    FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+pairs AS (SELECT doc_id, count(*) * max(length(a) + length(b)) AS chars FROM (SELECT doc_id, ws[i] AS a, ws[i + 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM base)) GROUP BY doc_id, a, b),
+top AS (SELECT doc_id, max(chars) AS chars FROM pairs GROUP BY doc_id),
+bare AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM base) WHERE NOT regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]') GROUP BY doc_id),
 figures AS (
     SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
            CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-           CAST(coalesce(lines.n - lines.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
-    FROM base LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+           CAST(coalesce(lines.n - lines.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines,
+           coalesce(bullets, 0) AS n_bullets, coalesce(cut, 0) AS n_cut, coalesce(top.chars, 0) AS top_chars, coalesce(bare.n, 0) AS n_bare
+    FROM base LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN bare USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 15 * n_words) AS kept
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 15 * n_words
+            OR 5 * n_bare > n_words OR 10 * n_bullets > 9 * n_lines OR 10 * n_cut > 3 * n_lines OR 5 * top_chars > word_chars) AS kept
 FROM judged
 """,
     "op10_warc": """

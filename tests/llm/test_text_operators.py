@@ -317,6 +317,55 @@ def test_quality_figures_and_cascade(spark):
     assert quality.cascade(df.limit(0), quality.order(df.limit(0), quality.MORE_RULES)).count() == 0
 
 
+def brute_more(text):
+    """Whether a rule beyond the base rejects, from regular expressions over the whole text."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    pairs = Counter(zip(w, w[1:], strict=False))
+    return (
+        10 * len(re.findall(r"[#*$%&|<>]", text)) > 3 * len(w) or 2 * (len(lines) - len(set(lines))) > len(lines) or not 5 * len(w) <= 2 * sum(map(len, w)) <= 30 * len(w)
+        or 5 * sum(not re.search(r"[A-Za-z]|[^\x00-\x7F]", x) for x in w) > len(w) or 10 * sum(bool(re.match(r"[\x20\x09-\x0D]*[*•-]", x)) for x in lines) > 9 * len(lines)
+        or 10 * sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0D]*\Z", x)) for x in lines) > 3 * len(lines) or 5 * max((n * len(a + b) for (a, b), n in pairs.items()), default=0) > sum(map(len, w))
+    )
+
+
+def test_each_further_rule_rejects_and_clean_texts_stay(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeéfgh") for _ in range(rng.randrange(3, 9)))
+    line = lambda: " ".join(word() for _ in range(9))
+    clean = [[line() for _ in range(12)] for _ in range(20)]
+    bad = [["- " + x for x in clean[0]], [" • " + x for x in clean[1]], [x + ("..." if k % 2 else "… ") for k, x in enumerate(clean[2])], [x + " 12 3.4 -- 99" for x in clean[3]], [x + " same-long-one second-long-one" + str(rng.random())[2:4] * (k % 2) for k, x in enumerate(clean[4])], clean[5][:1] * 6 + clean[5]]
+    texts = ["\n".join(x) for x in clean + bad] + ["\n".join(clean[0] * 400), clean[6][0] + " x" * 90000]
+    got = {r.doc_id: r for r in quality.cascade(table(spark, texts), quality.MORE_RULES).collect()}
+    assert [got[k].kept for k in range(len(texts))] == [not brute_more(t) for t in texts]
+    assert all(got[k].kept for k in range(20)) and not any(got[k].kept for k in range(20, 24))
+
+
+def test_rules_behind_a_failure_cost_nothing(spark):
+    """Each statistic is counted in each text that asks for it; with no base and nothing to show, the first failure is all there is."""
+    counts = Counter()
+
+    class Counted(quality.Features):
+        def __getattribute__(self, name):
+            if name.startswith(("n_", "top_")):
+                counts[name] += 1
+            return super().__getattribute__(name)
+
+    rules = sorted(quality.MORE_RULES, key=lambda r: r.name != "symbols")
+    for text in ("### " * 60, "word and other things to read " * 3):
+        f = Counted(text)
+        any(r.fails(f) for r in rules)
+    assert counts["n_symbols"] == 2 and counts["top_pair_chars"] == counts["n_bare_words"] == 1
+
+
+def test_repeated_rows_ties_and_the_sample(spark):
+    df = spark.createDataFrame([(1, "same words " * 40, "x")] * 300 + [(2, None, None)], "doc_id long, text string, place string")
+    rules = quality.order(df, quality.MORE_RULES, sample=10)
+    assert sorted(r.name for r in rules) == sorted(r.name for r in quality.MORE_RULES)
+    got = quality.cascade(df, rules).groupBy("doc_id", "place", "kept").count().collect()
+    assert sorted((r.doc_id, r.kept, r["count"]) for r in got) == [(1, False, 300), (2, True, 1)]
+
+
 def test_cascade_stops_at_the_first_failure(spark):
     def boom(_):
         raise AssertionError("ran after a failure")
