@@ -4,8 +4,9 @@ All DataFrame functions. Tokens of the templates are put in one global order, th
 rarest in the corpus first. A block that holds a template to the threshold shares a
 token of the template's prefix in that order, has enough tokens, and leaves room
 for the rest behind the shared token in both lists; what passes these filters is
-counted exactly. Blocks are windows of ``BLOCK`` words, one every ``STRIDE`` words,
-so that a passage of up to ``STRIDE`` words lies whole in one of them. The template
+counted exactly. Blocks are windows of twice a stride, one every stride of words,
+and a stride has the words of the longest template, so that a passage as long as any
+template lies whole in one of them. The template
 side is a short fixed list, so its index is part of the plan and the texts are not
 shuffled.
 """
@@ -17,26 +18,41 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, STRIDE, THRESHOLD = 64, 32, 0.8
+from .common import free_names
+
+#: The least words of a stride, and the share of a template's distinct words that a block must hold.
+STRIDE, THRESHOLD = 32, 0.8
 #: Phrases whose words must stand one after another, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: License notices and their labels.
 TEMPLATES = (
     ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "released under the terms of the creative commons attribution license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "released under the mit license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, in text of either case.
 _GAP, _WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
+def stride_of(templates=TEMPLATES) -> int:
+    return max([STRIDE, *(len(text.split()) for _, text in templates)])
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _GAP), lambda w: w != "")
 
@@ -72,13 +88,19 @@ def scan(df: DataFrame, text_col: str = "text", phrases=PHRASES, templates=TEMPL
     base_labels: of the phrases whose words stand one after another; labels: those
     and the templates held to ``threshold`` by a block, both distinct, sorted and
     comma-joined (empty if none). score: 1 with a base label, else the largest
-    containment that reached the threshold, else 0. A null text is empty: no
-    words, no places, no labels. Each row is judged by itself, so repeated rows
-    and ids give repeated results. Columns of these names in ``df`` are replaced.
+    containment that reached the threshold, else 0. Templates may have any length.
+    Defined cases: a null text is empty: no words, no places, no labels; texts count
+    whole; each row is judged by itself, so repeated rows and ids give repeated
+    results; of templates with one label the best counts; an empty table gives no
+    rows. Columns of these names in ``df`` are replaced, others stay whatever their
+    names.
     """
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     df = df.drop(*made)
-    rest = [c for c in df.columns if c != text_col]
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    stride = stride_of(templates)
+    base_words, all_words, some_words, found, *more_names = free_names(df, "base_words", "all_words", "some_words", "found", *(f"place{k}" for k in range(len(phrases))), *(f"share{k}" for k in range(len(templates))))
+    place_names, share_names = more_names[: len(phrases)], more_names[len(phrases) :]
     ranks = token_order(df, templates, text_col)
     place = {t: k for k, t in enumerate(ranks)}
     held = []
@@ -93,14 +115,14 @@ def scan(df: DataFrame, text_col: str = "text", phrases=PHRASES, templates=TEMPL
     x = df.select(
         *rest,
         F.regexp_count(text, F.lit(f"{_WORD}+")).cast("long").alias("n_words"),
-        F.when(text.rlike(f"(?i)(?<!{_WORD})(?:{phrase})(?!{_WORD})"), words_of(F.translate(text, _UPPER, _LOWER))).otherwise(F.array().cast("array<string>")).alias("__base"),
-        words_of(F.lower(text)).alias("__all"),
+        F.when(text.rlike(f"(?i)(?<!{_WORD})(?:{phrase})(?!{_WORD})"), words_of(F.translate(text, _UPPER, _LOWER))).otherwise(F.array().cast("array<string>")).alias(base_words),
+        words_of(F.lower(text)).alias(all_words),
     )
-    x = x.withColumn("__words", F.when(F.exists("__all", lambda w: w.isin(prefixes)), F.col("__all")).otherwise(F.array().cast("array<string>"))).drop("__all")
-    spots = F.filter(F.transform("__words", lambda w, i: F.when(w.isin(prefixes), i)), lambda i: i.isNotNull())
-    blocks = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.array(F.floor(i / STRIDE), F.greatest(F.floor(i / STRIDE) - 1, F.lit(0))))))
-    ordered = lambda b: F.array_intersect(_strings(ranks), F.slice("__words", (b * STRIDE + 1).cast("int"), F.lit(BLOCK)))
-    x = x.select(*rest, "n_words", *[_places(F.col("__base"), p).alias(f"__p{k}") for k, p in enumerate(phrases)], F.transform(blocks, ordered).alias("__blocks"))
+    x = x.withColumn(some_words, F.when(F.exists(all_words, lambda w: w.isin(prefixes)), F.col(all_words)).otherwise(F.array().cast("array<string>"))).drop(all_words)
+    spots = F.filter(F.transform(some_words, lambda w, i: F.when(w.isin(prefixes), i)), lambda i: i.isNotNull())
+    blocks = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.array(F.floor(i / stride), F.greatest(F.floor(i / stride) - 1, F.lit(0))))))
+    ordered = lambda b: F.array_intersect(_strings(ranks), F.slice(some_words, (b * stride + 1).cast("int"), F.lit(2 * stride)))
+    x = x.select(*rest, "n_words", *[_places(F.col(base_words), p).alias(name) for name, p in zip(place_names, phrases, strict=True)], F.transform(blocks, ordered).alias(found))
 
     def overlap_with(tokens: list[str], need: int, prefix: list[str]):
         def overlap(b: Column) -> Column:
@@ -113,14 +135,14 @@ def scan(df: DataFrame, text_col: str = "text", phrases=PHRASES, templates=TEMPL
 
     shares = []
     for label, tokens, need, prefix in held:
-        most = F.coalesce(F.array_max(F.transform("__blocks", overlap_with(tokens, need, prefix))), F.lit(0))
+        most = F.coalesce(F.array_max(F.transform(found, overlap_with(tokens, need, prefix))), F.lit(0))
         shares.append((label, F.when(most >= need, most / float(len(tokens))).otherwise(0.0)))
-    x = x.withColumns({f"__s{k}": share for k, (_, share) in enumerate(shares)})
+    x = x.withColumns({name: share for name, (_, share) in zip(share_names, shares, strict=True)})
 
-    places = [F.col(f"__p{k}") for k in range(len(phrases))]
+    places = [F.col(name) for name in place_names]
     joined = lambda cols: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*cols), lambda c: c.isNotNull()))), ",")
     base = [F.when(F.size(p) > 0, F.lit(label)) for p, label in zip(places, phrases.values(), strict=True)]
-    more = [F.when(F.col(f"__s{k}") > 0, F.lit(label)) for k, (label, _) in enumerate(shares)]
+    more = [F.when(F.col(name) > 0, F.lit(label)) for name, (label, _) in zip(share_names, shares, strict=True)]
     n_base = sum((F.size(p).cast("long") for p in places[1:]), F.size(places[0]).cast("long"))
     return x.select(
         *rest,
@@ -130,5 +152,5 @@ def scan(df: DataFrame, text_col: str = "text", phrases=PHRASES, templates=TEMPL
         F.array_max(F.flatten(F.array(*places))).cast("long").alias("last_word"),
         joined(base).alias("base_labels"),
         joined(base + more).alias("labels"),
-        F.when(n_base > 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), *(F.col(f"__s{k}") for k in range(len(shares))))).alias("score"),
+        F.when(n_base > 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), *map(F.col, share_names))).alias("score"),
     )

@@ -100,7 +100,7 @@ QUERIES = {
 _WORDS = r"(^|[^A-Za-z0-9])(spam|spam[-._]farm|cheap[-._]pills|online[-._]casino|casino|free[-._]porn|porn|xxx|viagra|payday[-._]loans|warez|phishing)([^A-Za-z0-9]|$)"
 
 def _license_sql() -> str:
-    from .license_scan import BLOCK, PHRASES, STRIDE, TEMPLATES, THRESHOLD
+    from .license_scan import PHRASES, TEMPLATES, THRESHOLD, stride_of
 
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
     templates = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
@@ -118,7 +118,7 @@ base AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, string_
 templates (k, label, words) AS (VALUES {templates}),
 tokens AS (SELECT DISTINCT k, label, unnest(string_split(words, ' ')) AS t FROM templates),
 sizes AS (SELECT k, label, count(*) AS n FROM tokens GROUP BY k, label),
-placed AS (SELECT doc_id, lw[i] AS t, (i - 1) // {STRIDE} AS b FROM (SELECT doc_id, lw, unnest(range(1, len(lw) + 1)) AS i FROM d)),
+placed AS (SELECT doc_id, lw[i] AS t, (i - 1) // {stride_of()} AS b FROM (SELECT doc_id, lw, unnest(range(1, len(lw) + 1)) AS i FROM d)),
 blocks AS (SELECT doc_id, b, t FROM placed UNION SELECT doc_id, b - 1, t FROM placed WHERE b > 0),
 held AS (SELECT doc_id, b, k, count(*) AS n FROM blocks JOIN tokens USING (t) GROUP BY doc_id, b, k),
 passed AS (SELECT doc_id, label, held.n / sizes.n AS share FROM held JOIN sizes USING (k) WHERE held.n >= ceil({THRESHOLD} * sizes.n - 1e-9)),

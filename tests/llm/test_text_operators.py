@@ -382,8 +382,9 @@ def brute_licenses(text):
     places = [(k, label) for phrase, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
     low = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
     labels = {label for _, label in places}
-    for b in range(0, max(1, len(low)), license_scan.STRIDE):
-        block = set(low[b : b + license_scan.BLOCK])
+    stride = license_scan.stride_of()
+    for b in range(0, max(1, len(low)), stride):
+        block = set(low[b : b + 2 * stride])
         for label, template in license_scan.TEMPLATES:
             t = set(template.split())
             if len(t & block) >= license_scan.THRESHOLD * len(t) - 1e-9:
@@ -392,6 +393,22 @@ def brute_licenses(text):
     return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels))
 
 
+def test_long_templates_score_in_full_at_any_offset(spark):
+    """A template of 90 words is held whole by a block wherever it stands, also at a threshold of 1, in short and in very long texts."""
+    words = [f"t{k}" for k in range(90)]
+    texts = [" ".join(["x"] * n + words + ["y"] * 50) for n in (0, 1, 31, 44, 89, 90, 133, 50000)] + [" ".join(["x"] * 40 + words[:89]), " ".join(words[:60])]
+    got = {r.doc_id: r for r in license_scan.scan(table(spark, texts), templates=(("long", " ".join(words)),), threshold=1.0).collect()}
+    assert [(got[k].labels, got[k].score) for k in range(10)] == [("long", 1.0)] * 8 + [("", 0.0)] * 2
+
+
+def test_license_columns_of_any_name_stay(spark):
+    clash = ("base_words", "all_words", "some_words", "found", "place0", "share0", "__base", "__words", "__p0", "__s1", "__blocks")
+    df = table(spark, ["MIT License here", None, "mit license " * 3, "MIT License here"], **{c: "own" for c in clash})
+    rows = license_scan.scan(df).collect()
+    assert sorted((r.doc_id, r.n_base) for r in rows) == [(0, 1), (1, 0), (2, 3), (3, 1)]
+    assert all(r[c] == "own" for r in rows for c in clash)
+
+
 def test_licenses_equal_a_scan_of_all_blocks(spark):
     rng = random.Random(6)
     noise = "the of and license software under terms mit cc by free this gnu x1 é".split()
