@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import free_names, map_batches, materialise, raw_bytes, release
+from .common import free_names, map_batches, materialise, raw_bytes, release, slices
 
 #: Fixed parameters of the parse. They steer cost only: any values give the same result.
 GRAM, CHUNK, FLUSH, BASE, SEED = 45, 1 << 17, 1 << 18, 0x9E3779B97F4A7C15, 20240229
@@ -220,7 +220,7 @@ def _suffixes(length: int):
     """The suffix array of each part of the dictionary, to the depth of ``length`` bytes; a, b: digest of the class of equal suffixes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             data, at = raw_bytes(batch.column(1))
             spans, counts = batch.column(2).flatten(), np.diff(np.asarray(batch.column(2).offsets))
             start, n = (np.asarray(spans.field(c)).astype(np.int64) for c in (0, 1))
