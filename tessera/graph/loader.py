@@ -121,6 +121,9 @@ class Tables(Mapping[str, DataFrame]):
             self.made[name] = self.makers[name]()
         return self.made[name]
 
+    def __or__(self, other: Mapping[str, DataFrame]) -> Tables:
+        return Tables(self.makers | {n: lambda n=n: other[n] for n in other})
+
     def __iter__(self) -> Iterator[str]:
         return iter(self.makers)
 
