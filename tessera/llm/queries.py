@@ -33,12 +33,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .sentencepiece_codec import decode, encode, ids_digest
+    from .sentencepiece_codec import encode, ids_digest
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    pieces = pieces.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"), "ids")
-    return decode(pieces, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "n_bytes")
+    pieces = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return pieces.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), decoded.alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,18 +151,24 @@ class Codec:
         last = end[stop - 1] if len(stop) else stop
         return ids, np.append(first, len(text)).astype(np.int32), np.append(last, len(text)).astype(np.int32)
 
+    def decode(self, ids: np.ndarray) -> str:
+        return self.decoder.decode(ids.tolist()) if len(ids) else ""
 
-def encode(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+
+def encode(df: DataFrame, model: str, text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """``df`` without its text, with ids, begins and ends (arrays of int) of each whole text.
 
     ids end with the end id. Piece k stands for the bytes begins[k] to ends[k] of
     the text in UTF-8; the end id and a dummy prefix have empty spans. A null text is empty: its only
-    id is the end id. Columns of these names in ``df`` are replaced. ``model`` is
+    id is the end id. With ``decoded``, a column of that name, which may be that of
+    the text, holds what the ids decode to: the same as ``decode`` gives, by the
+    same Python worker. Columns of these names in ``df`` are replaced. ``model`` is
     a path that every executor can open.
     """
     made = ("ids", "begins", "ends")
-    df = df.drop(*made)
-    rest = [f for f in df.schema if f.name != text_col]
+    back = [decoded] if decoded else []
+    rest = [f for f in df.schema if f.name != text_col and f.name not in (*made, *back)]
+    df = df.select(*(f"`{f.name}`" for f in rest), f"`{text_col}`")
 
     def run(batches):
         codec = Codec(model)
@@ -171,9 +177,11 @@ def encode(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
                 found = [codec.encode((t or "").encode()) for t in batch.column(text_col).to_pylist()]
                 cut = pa.array(np.append(0, np.cumsum([len(x[0]) for x in found])).astype(np.int32))
                 arrays = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([x[k] for x in found]))) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *arrays], names=[*(f.name for f in rest), *made])
+                if back:
+                    arrays.append(pa.array([codec.decode(x[0]) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *arrays], names=[*(f.name for f in rest), *made, *back])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} array<int>" for c in made])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} array<int>" for c in made] + [f"`{c}` string" for c in back])
     return map_batches(df, run, schema)
 
 
@@ -186,7 +194,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded"
         codec = Codec(model)
         for batch in batches:
             ids = batch.column(ids_col)
-            texts = [codec.decoder.decode(np.asarray(ids[k].values).tolist()) if ids[k].is_valid and len(ids[k]) else "" for k in range(len(ids))]
+            texts = [codec.decode(np.asarray(ids[k].values)) if ids[k].is_valid else "" for k in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(texts, pa.string())], names=[*(f.name for f in rest), out])
 
     return map_batches(df, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{out}` string"]))

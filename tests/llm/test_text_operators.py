@@ -139,6 +139,10 @@ def test_codec_equals_the_library_and_projects_to_bytes(spark):
         assert back[k] == sp.decode(r.ids)
         assert r.begins[-1] == r.ends[-1] == len(raw)
         assert b"".join(raw[a:b] for a, b in zip(r.begins, r.ends, strict=True)) == raw
+    for out in ("text", "clash"):
+        both = encode(table(spark, texts, ids="clash", clash="old"), MODEL, decoded=out)
+        assert {"ids", "begins", "ends", out} <= set(both.columns) and len(set(both.columns)) == len(both.columns)
+        assert {r.doc_id: (r.ids, r[out]) for r in both.collect()} == {k: (rows[k].ids, back[k]) for k in rows}
     assert encode(table(spark, ["x"]).limit(0), MODEL).count() == 0
 
 
