@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise
 from tessera.llm.language_id import fit, keep_identified
 from tessera.llm.mixing import mix
-from tessera.llm.sentencepiece_codec import decode, encode
+from tessera.llm.sentencepiece_codec import encode
 from tessera.llm.simhash import keep_one
 from tessera.llm.suffix_dedup import without_repeats
 
@@ -48,8 +48,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "begins", "ends")]
-    pieces = encode(docs.select(*rest, "text"), model).select(*rest, F.size("ids").cast("long").alias("n_tokens"), "ids")
-    return decode(pieces, model, out="text", keep_ids=True)
+    return encode(docs.select(*rest, "text"), model, decoded="text").select(*rest, F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [
