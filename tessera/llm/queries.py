@@ -83,6 +83,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: A conversation about the template itself, which op11_chat_format adds to the table.
+_CONTROL_CONV, _CONTROL_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_chat, read_chat
+    from .common import materialise
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = [(_CONTROL_CONV, turn, role, _CONTROL_TEXT) for turn, role in enumerate(("user", "assistant"))]
+    turns = turns.unionByName(spark.createDataFrame(control, "conv_id long, turn long, role string, text string"))
+    return read_chat(materialise(format_chat(turns)))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -94,6 +108,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_chat_format": op11_chat_format,
 }
 
 #: The words of url_filter.WORDS as one RE2 pattern over host + path.
@@ -131,7 +146,21 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN both_ USING (doc_id)
 """
 
 
+def _escaped(c: str) -> str:
+    return rf"replace(replace(replace(replace({c}, '\', '\\'), '### ', '#\## '), '<turn>', '<\turn>'), '</turn>', '<\/turn>')"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_chat_format": rf"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT {_CONTROL_CONV}, turn, role, '{_CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) t (turn, role))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(18 + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+""",
     "op3_topk": """
 WITH v AS (
     SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
