@@ -97,6 +97,12 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chat(materialise(format_chat(turns)))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_url_filter": op2_url_filter,
@@ -109,6 +115,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_chat_format": op11_chat_format,
+    "op12_divergence": op12_divergence,
 }
 
 #: The words of url_filter.WORDS as one RE2 pattern over host + path.
@@ -151,6 +158,32 @@ def _escaped(c: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_divergence": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS w FROM d),
+kept AS (SELECT lang, w, count(*) AS n FROM t GROUP BY lang, w HAVING count(DISTINCT r) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, w, count(*) AS n FROM t SEMI JOIN kept USING (lang, w) GROUP BY lang, source, w),
+groups AS (
+    SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(sizes.n, 0) AS lang_n, coalesce(own.n, 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sizes USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source) own USING (lang, source)),
+dense AS (
+    SELECT g.lang, g.source, k.w, coalesce(c.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * v) AS p, 1 + (1000000000::HUGEINT * (k.n + 2)) // (lang_n + 2 * v) AS q
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.w = k.w),
+sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM dense a JOIN dense b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+above AS (SELECT lang, source, w AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM dense WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM above) WHERE rank <= 10
+""",
     "op11_chat_format": rf"""
 WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
