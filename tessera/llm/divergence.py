@@ -84,7 +84,8 @@ def _scaled(count: str, total: str) -> str:
 class Tile:
     """The pairs of two blocks of sources, or of one with itself, over the chunks that one task passes."""
 
-    def __init__(self) -> None:
+    def __init__(self, block: int) -> None:
+        self.size = block
         self.groups: list[tuple[int, str, int, int]] = []
         self.row: dict[int, int] = {}
         self.seen = 0
@@ -101,7 +102,7 @@ class Tile:
         self.total = [n + 2 * size for _, _, n, size in self.groups]
         self.none = np.array([int(scaled(np.zeros(1), t)[0]) if t else 0 for t in self.total], np.int64)
         self.sums = np.zeros((len(self.groups),) * 2, np.int64)
-        self.block = np.array([place // BLOCK for place, *_ in self.groups])
+        self.block = np.array([place // self.size for place, *_ in self.groups])
 
     def chunk(self, vectors: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         """(place, numbers of terms, counts) of the sources that have any of a chunk's terms."""
@@ -133,43 +134,46 @@ class Tile:
                     yield (lang, *x, size, int(self.sums[a, b]), self.seen)
 
 
-def _tiles(batches):
+def _tiles(block: int):
     """Rows of (lang, low, high, stripe, chunk, place, source, n, size, terms), sorted, to sums of pairs; a chunk of -1 announces a source."""
-    key, tile, chunk, vectors, out = None, None, -1, [], []
-
-    def flush():
-        nonlocal vectors
-        if vectors:
-            tile.chunk(vectors)
-            vectors = []
-
-    def close():
-        flush()
-        out.extend(tile.rows(key[0]))
-
-    for batch in batches:
-        cells = [batch.column(k).to_pylist() for k in range(9)]
-        lists = batch.column(9)
-        flat, ends = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-        term, count = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-        for k, (*head, at, place, source, n, size) in enumerate(zip(*cells, strict=True)):
-            if head != key:
-                if tile is not None:
-                    close()
-                key, tile, chunk = head, Tile(), -1
-            if at == -1:
-                tile.add(place, source, n, size)
-                continue
-            if at != chunk:
-                flush()
-                chunk = at
-            vectors.append((place, term[ends[k] : ends[k + 1]], count[ends[k] : ends[k + 1]]))
-        while len(out) >= 8192:
-            yield _batch(out[:8192])
-            out = out[8192:]
-    if tile is not None:
-        close()
-    yield _batch(out)
+
+    def run(batches):
+        key, tile, chunk, vectors, out = None, None, -1, [], []
+
+        def flush():
+            if vectors:
+                tile.chunk(vectors)
+                vectors.clear()
+
+        def close():
+            flush()
+            out.extend(tile.rows(key[0]))
+
+        for batch in batches:
+            cells = [batch.column(k).to_pylist() for k in range(9)]
+            lists = batch.column(9)
+            flat, ends = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            term, count = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for k, (*head, at, place, source, n, size) in enumerate(zip(*cells, strict=True)):
+                if head != key:
+                    if tile is not None:
+                        close()
+                    key, tile, chunk = head, Tile(block), -1
+                if at == -1:
+                    tile.add(place, source, n, size)
+                    continue
+                if at != chunk:
+                    flush()
+                    chunk = at
+                vectors.append((place, term[ends[k] : ends[k + 1]], count[ends[k] : ends[k + 1]]))
+            while len(out) >= 8192:
+                yield _batch(out[:8192])
+                del out[:8192]
+        if tile is not None:
+            close()
+        yield _batch(out)
+
+    return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -224,7 +228,7 @@ def _pairs(found: DataFrame, groups: DataFrame, stripes: int) -> DataFrame:
     both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ("lang", "low", "high", "stripe")
     both = both.select("lang", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "stripe", "chunk", F.col("place").cast("long"), "source", "n", "size", "terms")
-    tiles = map_batches(both.repartition(*key).sortWithinPartitions(*key, "chunk", "place"), _tiles, _PAIRS)
+    tiles = map_batches(both.repartition(*key).sortWithinPartitions(*key, "chunk", "place"), _tiles(BLOCK), _PAIRS)
     pairs = tiles.groupBy("lang", "source", "item").agg(F.max("n").alias("n"), F.max("item_n").alias("item_n"), F.max("size").alias("size"), F.sum("part").alias("part"), F.sum("seen").alias("seen"))
     # Terms that no source of the tile has: each of its groups gives them one value.
     pairs = pairs.filter("size > 0").withColumns({"p": F.expr(_scaled("0", "n + 2 * size")), "q": F.expr(_scaled("0", "item_n + 2 * size"))}).withColumn("value", F.expr("part + (size - seen) * ((p - q) * (p - q) div (p + q))")).unionByName(pairs.filter("size = 0").withColumn("value", F.lit(0).cast("long")), allowMissingColumns=True)
