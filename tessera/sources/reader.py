@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..specs import SourceSpec
+from .places import ROW, with_place
+from .records import flatten_records
+from .split_csv import csv_records
+from .split_json import json_records
 
-#: The place of a record in its source, the total order behind "first".
-ROW = "_row_id"
 _NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
@@ -24,37 +27,40 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """All columns as strings; doubled quotes and quoted empty cells are kept, and so are quoted line breaks if ``multiline``.
 
-    A file whose cells may hold line breaks is read by one task; others are split.
+    Files are split among tasks either way. The first file's header names the columns.
     """
-    df = spark.read.options(header=True, multiLine=multiline, escape='"', emptyValue="").csv(path)
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    options = {"escape": '"', "emptyValue": ""}
+    if not multiline:
+        return with_place(spark.read.options(header=True, **options).csv(path))
+    files = sorted(spark.read.option("recursiveFileLookup", True).text(path).inputFiles())
+    headed = (spark.read.options(header=True, multiLine=True, **options).csv(unquote(f)).schema for f in files)
+    schema = next((s for s in headed if len(s)), T.StructType())
+    if not len(schema):
+        return spark.createDataFrame([], f"{ROW} long")
+    cells = F.from_csv("value", _ddl(schema), {"multiLine": "true", **options})
+    return csv_records(spark, path).select(cells.alias("r"), ROW).select("r.*", ROW)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
 
 
 def read_json(spark: SparkSession, path: str, data_key: str | None = None) -> DataFrame:
-    """Records of a JSON file: a bare list, or an object with a list under ``data_key`` or, without a key, with any list of records.
+    """Flat records of JSON documents: a bare list, or an object with a list under ``data_key`` or, without a key, the first list in it.
 
-    Spark sorts the fields it infers, so without a key the first list by name is
-    taken. A missing key or an empty list gives a table without rows.
+    A document is split among tasks. A missing key or an empty list gives a table without rows.
     """
-    df = spark.read.option("multiLine", True).json(path)
-    if df.columns == ["_corrupt_record"]:
-        raise ValueError(f"not JSON: {path}")
-    lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    if data_key is None and df.columns and not lists:
-        return df.withColumn(ROW, F.monotonically_increasing_id())
-    key = data_key if data_key in lists else lists[0] if data_key is None and lists else None
-    if key is None:
-        return spark.createDataFrame([], T.StructType([T.StructField(ROW, T.LongType())]))
-    return df.select(F.posexplode(key).alias(ROW, "r")).select("r.*", F.col(ROW).cast("long"))
+    return flatten_records(json_records(spark, path, data_key))
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A record for each line: the form for large files, which Spark splits among tasks."""
-    return spark.read.json(path).withColumn(ROW, F.monotonically_increasing_id())
+    """Flat records, one for each line that is not blank."""
+    lines = with_place(spark.read.text(path))
+    return flatten_records(lines.filter(F.trim("value") != ""))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn(ROW, F.col("_metadata.row_index"))
+    return with_place(spark.read.parquet(path))
 
 
 def flatten(df: DataFrame) -> DataFrame:
