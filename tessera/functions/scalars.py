@@ -92,17 +92,6 @@ def date_iso(c: Column, reference_date: dt.date = dt.date(2026, 2, 1), fallback:
 
 
 # The names of the cleaning rules.
-CLEANERS = {
-    "lowercase": lowercase,
-    "uppercase": uppercase,
-    "titlecase": titlecase,
-    "phone_normalize": phone,
-    "boolean_normalize": boolean,
-    "date_iso": date_iso,
-    "trim": trim_all,
-    "strip": strip,
-    "collapse_whitespace": collapse,
-}
 
 
 def lax_int(c: Column) -> Column:

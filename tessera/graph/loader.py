@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_bool, safe_float, safe_int, safe_str, sanitize_id, slug
+from ..sources.places import ROW
 from ..sources.reader import exists
 from ..sources.sinks import scratch, write_table
-from .schema import EDGES, NODES, properties
+from .schema import EDGES, NODES, get_schema_statements, properties, required
+
+log = logging.getLogger(__name__)
 
 _SAFE: dict[str, Callable[[Column], Column]] = {"string": safe_str, "double": safe_float, "bigint": safe_int, "boolean": safe_bool}
 #: How many of the next products of its category a product is similar to.
 NEIGHBOURS = 3
+#: How many rows of its source a row stands for.
+COUNT = "_rows"
 
 
 @dataclass
@@ -39,54 +45,84 @@ def _props(df: DataFrame, ddl: str, source: dict[str, str] | None = None) -> lis
     return out
 
 
+def _least(df: DataFrame, *columns: str) -> Column:
+    """The struct of ``columns`` of a group's first row by the place in its source; where that is not known, the least struct."""
+    return F.min_by(F.struct(*columns), ROW) if ROW in df.columns else F.min(F.struct(*columns))
+
+
+def _place(df: DataFrame) -> list[Column]:
+    return [F.col(ROW)] if ROW in df.columns else []
+
+
+def counted_nodes(df: DataFrame, table: str, id_col: str) -> DataFrame:
+    """(id, properties, _rows): each id once, with its first row and the number of its rows; all rows without an id are one with a null id."""
+    x = df.select(F.nullif(sanitize_id(safe_str(F.col(id_col))), F.lit("")).alias("id"), *_props(df, NODES[table]), *_place(df))
+    rest = [c for c in x.columns if c not in ("id", ROW)]
+    return x.groupBy("id").agg(_least(x, *rest).alias("p"), F.count("*").alias(COUNT)).select("id", "p.*", COUNT)
+
+
 def node(df: DataFrame, table: str, id_col: str) -> DataFrame:
-    """(id, properties): rows without an id are left out, and of rows with one id the first by all values stays."""
-    x = df.select(sanitize_id(safe_str(F.col(id_col))).alias("id"), *_props(df, NODES[table])).filter("id <> ''")
-    rest = [c for c in x.columns if c != "id"]
-    return x.groupBy("id").agg(F.min(F.struct(*rest)).alias("p")).select("id", "p.*")
+    """(id, properties): rows without an id are left out, and of rows with one id the first stays."""
+    return _plain(counted_nodes(df, table, id_col))
+
+
+def _plain(counted: DataFrame) -> DataFrame:
+    return counted.filter(F.col(counted.columns[0]).isNotNull()).drop(COUNT)
 
 
 def named(df: DataFrame, column: str) -> DataFrame:
-    """(id, name): the distinct values of a column under their slugs; of values with one slug the first stays."""
+    """(id, name, _rows): the distinct values of a column under their slugs; of values with one slug the first by name stays."""
     name = safe_str(F.col(column))
-    return df.select(slug(name).alias("id"), name.alias("name")).filter("name is not null").groupBy("id").agg(F.min("name").alias("name"))
+    x = df.select(slug(name).alias("id"), name.alias("name")).filter("name is not null")
+    return x.distinct().groupBy("id").agg(F.min("name").alias("name"), F.count("*").alias(COUNT))
 
 
 def agents(tickets: DataFrame | None, calls: DataFrame | None) -> DataFrame:
-    """(id, name): agents of tickets and calls; a name comes from the calls, the last by call_id, else it is made from the id."""
+    """(id, name): agents of tickets and calls; a name comes from the last of the calls that have one, else it is made from the id.
+
+    The last call is that with the largest place, or call_id where places are not known.
+    """
     parts = []
     if tickets is not None:
-        parts.append(tickets.select(safe_str(_cell(tickets, "agent_id")).alias("id"), F.lit(None).cast("string").alias("name"), F.lit("").alias("at")))
+        parts.append(tickets.select(safe_str(_cell(tickets, "agent_id")).alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("place"), F.lit("").alias("at")))
     if calls is not None:
-        parts.append(calls.select(safe_str(_cell(calls, "agent_id")).alias("id"), safe_str(_cell(calls, "agent_name")).alias("name"), F.coalesce(_cell(calls, "call_id"), F.lit("")).alias("at")))
+        place = F.col(ROW) if ROW in calls.columns else F.lit(None).cast("long")
+        parts.append(calls.select(safe_str(_cell(calls, "agent_id")).alias("id"), safe_str(_cell(calls, "agent_name")).alias("name"), place.alias("place"), F.coalesce(_cell(calls, "call_id"), F.lit("")).alias("at")))
     x = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    last = F.max_by("name", F.when(F.col("name").isNotNull(), F.struct("at", "name")))
+    last = F.max_by("name", F.when(F.col("name").isNotNull(), F.struct("place", "at", "name")))
     return x.filter("id is not null").groupBy("id").agg(last.alias("name")).select("id", F.coalesce("name", F.concat(F.lit("Agent "), F.col("id"))).alias("name"))
 
 
-def edge(df: DataFrame, table: str, src: str, dst: str | Column, source: dict[str, str] | None = None) -> DataFrame:
-    """(src, dst, properties): rows without both ends are left out, and what the schema calls unique is kept once."""
+def counted_edges(df: DataFrame, table: str, src: str, dst: str | Column, source: dict[str, str] | None = None) -> DataFrame:
+    """(src, dst, properties, _rows): what the schema calls unique once, with its first row and the number of its rows; rows without both ends are left out."""
     _, _, ddl, unique = EDGES[table]
     end = safe_str(F.col(dst)) if isinstance(dst, str) else dst
-    x = df.select(safe_str(F.col(src)).alias("src"), end.alias("dst"), *_props(df, ddl, source)).filter("src is not null and dst is not null")
+    x = df.select(safe_str(F.col(src)).alias("src"), end.alias("dst"), *_props(df, ddl, source), *_place(df)).filter("src is not null and dst is not null")
     if table in ("purchased", "reviewed"):
         x = x.filter(F.col("transaction_id" if table == "purchased" else "review_id").isNotNull())
-    if unique == "src,dst":
-        return x.distinct()
-    if unique:
-        rest = [c for c in x.columns if c != unique]
-        return x.groupBy(unique).agg(F.min(F.struct(*rest)).alias("p")).select("p.src", "p.dst", *[unique if c == unique else f"p.{c}" for c in x.columns[2:]])
-    return x
+    columns = [c for c in x.columns if c != ROW]
+    if not unique:
+        return x.select(*columns, F.lit(1).cast("long").alias(COUNT))
+    keys = unique.split(",")
+    rest = [c for c in columns if c not in keys]
+    if not rest:
+        return x.groupBy(*keys).agg(F.count("*").alias(COUNT)).select(*columns, COUNT)
+    return x.groupBy(*keys).agg(_least(x, *rest).alias("p"), F.count("*").alias(COUNT)).select(*[c if c in keys else f"p.{c}" for c in columns], COUNT)
+
+
+def edge(df: DataFrame, table: str, src: str, dst: str | Column, source: dict[str, str] | None = None) -> DataFrame:
+    """(src, dst, properties): rows without both ends are left out, and what the schema calls unique is kept once, its first row."""
+    return _plain(counted_edges(df, table, src, dst, source))
 
 
 def located_in(customers: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Customer to region: of the last vendor, by id, of the customer's country, else the customer's own region."""
-    country, region = safe_str(F.col("country")), safe_str(F.col("region"))
-    by_country = vendors.select(country.alias("c"), region.alias("r"), "vendor_id").filter("c is not null and r is not null").groupBy("c").agg(F.max_by("r", "vendor_id").alias("r"))
+    """Customer to region, counted: of the last vendor, by place or else by id, of the customer's country, else the customer's own region."""
+    country, region, last = safe_str(F.col("country")), safe_str(F.col("region")), ROW if ROW in vendors.columns else "vendor_id"
+    by_country = vendors.select(country.alias("c"), region.alias("r"), last).filter("c is not null and r is not null").groupBy("c").agg(F.max_by("r", last).alias("r"))
     own = F.coalesce(safe_str(_cell(customers, "address_country")), safe_str(_cell(customers, "country")))
-    x = customers.select("customer_id", own.alias("own"), safe_str(_cell(customers, "region")).alias("region"))
+    x = customers.select("customer_id", own.alias("own"), safe_str(_cell(customers, "region")).alias("region"), *_place(customers))
     x = x.join(by_country, x.own == by_country.c, "left").withColumn("to", F.coalesce("r", "region"))
-    return edge(x, "located_in", "customer_id", slug(F.col("to")))
+    return counted_edges(x, "located_in", "customer_id", slug(F.col("to")))
 
 
 def similar_to(products: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -138,15 +174,19 @@ class Graph:
         self.nodes, self.edges = nodes, edges
 
 
-def build(silver: Mapping[str, DataFrame]) -> Graph:
-    """The graph of the Silver tables that are given; a table that is missing leaves out what needs it."""
+def build(silver: Mapping[str, DataFrame], counted: bool = False) -> Graph:
+    """The graph of the Silver tables that are given; a table that is missing leaves out what needs it.
+
+    ``counted``: tables have a column _rows, the number of source rows that a row
+    stands for, and rows without an id are one with a null id.
+    """
     get = silver.get
     nodes: dict[str, Callable[[], DataFrame]] = {}
     edges: dict[str, Callable[[], DataFrame]] = {}
     plain = {"vendor": ("vendors", "vendor_id"), "customer": ("customers", "customer_id"), "product": ("products", "product_id"), "invoice": ("invoices", "invoice_id"), "support_ticket": ("support_tickets", "ticket_id"), "call_transcript": ("call_transcripts", "call_id")}
     for table, (name, key) in plain.items():
         if name in silver:
-            nodes[table] = lambda table=table, name=name, key=key: node(silver[name], table, key)
+            nodes[table] = lambda table=table, name=name, key=key: counted_nodes(silver[name], table, key)
     if "products" in silver:
         nodes["category"] = lambda: named(silver["products"], "category")
     if "vendors" in silver:
@@ -170,34 +210,96 @@ def build(silver: Mapping[str, DataFrame]) -> Graph:
     }
     for table, (name, src, dst, source) in simple.items():
         if name in silver and src in silver[name].columns and (not isinstance(dst, str) or dst in silver[name].columns):
-            edges[table] = lambda table=table, name=name, src=src, dst=dst, source=source: edge(silver[name], table, src, dst if isinstance(dst, str) else dst(), source)
+            edges[table] = lambda table=table, name=name, src=src, dst=dst, source=source: counted_edges(silver[name], table, src, dst if isinstance(dst, str) else dst(), source)
     if "customers" in silver and "vendors" in silver:
         edges["located_in"] = lambda: located_in(silver["customers"], silver["vendors"])
     if "products" in silver:
         edges["similar_to"] = lambda: similar_to(silver["products"])
-    return Graph(Tables(nodes), Tables({e: edges[e] for e in EDGES if e in edges}))
+
+    def given(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        def made() -> DataFrame:
+            df = make()
+            if COUNT not in df.columns:
+                return df.withColumn(COUNT, F.lit(1).cast("long")) if counted else df
+            return df if counted else _plain(df)
+
+        return made
+
+    return Graph(Tables({n: given(f) for n, f in nodes.items()}), Tables({e: given(edges[e]) for e in EDGES if e in edges}))
 
 
 class GraphLoader:
-    """Builds the graph of a Silver folder and writes its tables under ``output_dir``."""
+    """Builds the graph of a Silver folder and writes its tables under ``output_dir``, or into a database of the catalog once connected to one."""
 
     # The Silver tables.
     TABLES = ("vendors", "customers", "products", "transactions", "invoices", "invoice_line_items", "reviews", "support_tickets", "call_transcripts")
 
     def __init__(self, spark: SparkSession, silver_dir: str, output_dir: str) -> None:
-        self.spark, self.silver_dir, self.output_dir = spark, silver_dir, output_dir
+        self.spark, self.silver_dir, self.output_dir, self.database = spark, silver_dir, output_dir, None
+
+    def connect(self, database: str) -> None:
+        """Load into this database of the catalog from now on; it is made if it isn't there."""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        self.database = database
+
+    def close(self) -> None:
+        """Load into the folder again."""
+        self.database = None
+
+    def apply_schema(self, statements: list[str] | None = None) -> int:
+        """Make the tables of the schema in the database; how many statements went well. One that fails is logged, and the others go on."""
+        if self.database is None:
+            raise ValueError("not connected to a database")
+        done, before = 0, self.spark.catalog.currentDatabase()
+        self.spark.catalog.setCurrentDatabase(self.database)
+        try:
+            for statement in get_schema_statements() if statements is None else statements:
+                try:
+                    self.spark.sql(statement)
+                    done += 1
+                except Exception as e:
+                    log.warning("schema statement failed: %s: %s", statement[:60], e)
+        finally:
+            self.spark.catalog.setCurrentDatabase(before)
+        return done
+
+    def silver(self) -> dict[str, DataFrame]:
+        return {t: self.spark.read.parquet(f"{self.silver_dir}/{t}") for t in self.TABLES if exists(self.spark, f"{self.silver_dir}/{t}")}
 
     def graph(self) -> Graph:
-        return build({t: self.spark.read.parquet(f"{self.silver_dir}/{t}") for t in self.TABLES if exists(self.spark, f"{self.silver_dir}/{t}")})
+        return build(self.silver())
 
     def load_all(self) -> dict[str, LoadResult]:
-        graph, results = self.graph(), {}
+        """Write all tables. Rows without an id, repeated rows and rows that lack what must not be null are errors, counted while the table is written."""
+        graph, results = build(self.silver(), counted=True), {}
         for kind, tables in (("node", graph.nodes), ("edge", graph.edges)):
             for name, df in tables.items():
-                results[name] = LoadResult(name, kind, write_table(df, f"{self.output_dir}/{kind}s/{name}").count())
+                results[name] = self.insert(name, df)
         return results
 
+    def insert(self, name: str, rows: DataFrame) -> LoadResult:
+        """Write the rows of one node or edge table, in place of those it has. Rows that lack what must not be null are left out and counted as errors.
+
+        Spark's file tables take such rows from plain SQL, so the check is made here. A
+        column _rows says how many source rows a row stands for, of which one is loaded.
+        """
+        kind, counted = "node" if name in NODES else "edge", rows if COUNT in rows.columns else rows.withColumn(COUNT, F.lit(1).cast("long"))
+        seen, sound = Observation(), F.lit(True)
+        for column in required(name):
+            sound = sound & F.col(column).isNotNull()
+        # Behind the last shuffle, so that a stage that runs anew is not counted twice.
+        good = counted.observe(seen, F.count_if(sound).alias("loaded"), F.sum(F.col(COUNT) - sound.cast("int")).alias("errors")).filter(sound).drop(COUNT)
+        if self.database is None:
+            write_table(good, f"{self.output_dir}/{kind}s/{name}")
+        else:
+            good.select(*self.spark.table(f"`{self.database}`.`{name}`").columns).write.insertInto(f"`{self.database}`.`{name}`", overwrite=True)
+        return LoadResult(name, kind, seen.get["loaded"], seen.get["errors"] or 0)
+
     def load(self) -> Graph:
         """The graph as written."""
+        if self.database is not None:
+            here = {t.name for t in self.spark.catalog.listTables(self.database)}
+            table = lambda names: {n: self.spark.table(f"`{self.database}`.`{n}`") for n in names if n in here}
+            return Graph(table(NODES), table(EDGES))
         read = lambda kind, names: {n: self.spark.read.parquet(f"{self.output_dir}/{kind}/{n}") for n in names if exists(self.spark, f"{self.output_dir}/{kind}/{n}")}
         return Graph(read("nodes", NODES), read("edges", EDGES))

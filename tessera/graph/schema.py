@@ -41,8 +41,18 @@ def properties(ddl: str) -> list[tuple[str, str, bool]]:
     return [(n.lstrip("*"), t, n[0] == "*") for n, t in (p.strip().split() for p in ddl.split(",") if p.strip())]
 
 
+def required(table: str) -> list[str]:
+    """The columns of a node or edge table that must not be null."""
+    ends = ["id"] if table in NODES else ["src", "dst"]
+    return ends + [name for name, _, needed in properties(NODES[table] if table in NODES else EDGES[table][2]) if needed]
+
+
 def get_schema_statements() -> list[str]:
     """The tables as SQL statements for a Spark catalog."""
-    nodes = [f"CREATE OR REPLACE TABLE {n} (id STRING NOT NULL{''.join(f', {c} {t}' + ' NOT NULL' * req for c, t, req in properties(ddl))})" for n, ddl in NODES.items()]
-    edges = [f"CREATE OR REPLACE TABLE {e} (src STRING NOT NULL, dst STRING NOT NULL{''.join(f', {c} {t}' for c, t, _ in properties(ddl))})" for e, (_, _, ddl, _) in EDGES.items()]
-    return nodes + edges
+
+    def made(table: str, ends: tuple[str, ...], ddl: str) -> str:
+        needed = required(table)
+        columns = [(c, "string") for c in ends] + [(c, t) for c, t, _ in properties(ddl)]
+        return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(f'{c} {t}' + ' NOT NULL' * (c in needed) for c, t in columns)}) USING parquet"
+
+    return [made(n, ("id",), ddl) for n, ddl in NODES.items()] + [made(e, ("src", "dst"), ddl) for e, (_, _, ddl, _) in EDGES.items()]

@@ -74,9 +74,8 @@ def line_items(invoices: DataFrame, valid_invoices: DataFrame | None = None, ite
     return items.select("invoice_id", "item.*", *lineage, F.col("_row_id").cast("long"))
 
 
-def judge_line_items(items: DataFrame, products: DataFrame | None, reference_date: dt.date) -> DataFrame:
+def judge_line_items(items: DataFrame, products: DataFrame | None, reference_date: dt.date, entity: EntitySpec = ENTITIES["invoice_line_item"]) -> DataFrame:
     """Validated first; an item that passes and whose product is unknown is quarantined for that."""
-    entity = ENTITIES["invoice_line_item"]
     fields = {"product_id": products} if products is not None else {}
     checked = validate(orphans(items, fields), entity, reference_date, "_model")
     return checked.withColumn("_errors", F.when(F.size("_model") > 0, F.col("_model")).otherwise(F.col("_orphan"))).drop("_orphan", "_model")

@@ -9,12 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cleaning import clean
+from ..operators.cleaning import SilverCleaner
 from ..operators.integrity import judge, judge_line_items, keep_first, line_items, quarantined, valid
 from ..operators.validation import histogram
 from ..sources.reader import ROW, exists
-from ..sources.sinks import export_csv, write_quarantine, write_table
-from ..specs import ENTITIES, SOURCES, SourceSpec, in_order
+from ..sources.sinks import export_csv, write_json_array, write_quarantine, write_table
+from ..specs import ENTITIES, SOURCES, EntitySpec, SourceSpec, in_order
 
 log = logging.getLogger(__name__)
 
@@ -45,15 +45,19 @@ class SilverProcessor:
     has no valid rows, or that is not among the sources, is left out. The output
     of each source is written once and read back by what follows, so that no
     lineage is computed twice.
+
+    ``entities`` and ``rules`` take the place of the built-in schemas and cleaning
+    rules; they may come from files (``load_schemas``, ``load_rules``).
     """
 
-    def __init__(self, spark: SparkSession, bronze_dir: str, output_dir: str, quarantine_dir: str, sources: tuple[SourceSpec, ...] = SOURCES, reference_date: dt.date = dt.date(2026, 2, 1), csv: bool = False) -> None:
+    def __init__(self, spark: SparkSession, bronze_dir: str, output_dir: str, quarantine_dir: str, sources: tuple[SourceSpec, ...] = SOURCES, reference_date: dt.date = dt.date(2026, 2, 1), csv: bool = False, entities: dict[str, EntitySpec] = ENTITIES, rules: dict | None = None, quarantine_array: bool = False) -> None:
         self.spark, self.bronze_dir, self.output_dir, self.quarantine_dir = spark, bronze_dir, output_dir, quarantine_dir
         self.sources, self.reference_date, self.csv = sources, reference_date, csv
+        self.entities, self.cleaner, self.quarantine_array = entities, SilverCleaner(rules, reference_date), quarantine_array
         self.keys: dict[str, DataFrame] = {}
 
     def process_all(self) -> dict[str, ProcessingResult]:
-        results = {s.name: self.process(s) for s in in_order(self.sources)}
+        results = {s.name: self.process(s) for s in in_order(self.sources, self.entities)}
         if (found := self.process_line_items()) is not None:
             results["invoice_line_items"] = found
         return results
@@ -64,11 +68,11 @@ class SilverProcessor:
             log.warning("%s: no Bronze table", source.name)
             return result
         raw = self.spark.read.parquet(path)
-        entity = ENTITIES.get(source.schema)
+        entity = self.entities.get(source.schema)
         if entity is None:
             result.total = result.valid = write_table(raw, f"{self.output_dir}/{source.name}").count()
             return result
-        df, result.cleaned = clean(raw, entity, self.reference_date)
+        df, result.cleaned = self.cleaner.clean(raw, entity)
         if entity.key in df.columns:
             df = keep_first(df, [entity.key], [ROW])
         result.total = raw.count()
@@ -78,14 +82,16 @@ class SilverProcessor:
             self.keys[entity.name] = self.spark.read.parquet(f"{self.output_dir}/{source.name}").select(entity.key)
         return result
 
-    def _finish(self, judged: DataFrame, name: str, result: ProcessingResult) -> None:
+    def _finish(self, judged: DataFrame, name: str, result: ProcessingResult, placed: bool = True) -> None:
         judged = write_table(judged, f"{self.output_dir}/_judged/{name}")
-        good = valid(judged).withColumnsRenamed({"_source_file": "source_file", "_loaded_at": "loaded_at"}).drop(ROW)
+        good = valid(judged).withColumnsRenamed({"_source_file": "source_file", "_loaded_at": "loaded_at"})
+        # The place in the source stays: what follows takes first and last rows by it.
+        good = good.select(*[c for c in good.columns if c != ROW], *[c for c in good.columns if c == ROW and placed])
         good = write_table(good, f"{self.output_dir}/{name}")
         result.quarantine_path = f"{self.quarantine_dir}/{name}"
-        write_quarantine(quarantined(judged), result.quarantine_path)
+        (write_json_array if self.quarantine_array else write_quarantine)(quarantined(judged), result.quarantine_path)
         if self.csv:
-            export_csv(good, f"{self.output_dir}_csv/{name}")
+            export_csv(good.drop(ROW), f"{self.output_dir}_csv/{name}")
         lost = F.exists("_errors", lambda e: e["type"] == "referential_integrity")
         row = judged.agg(F.count_if(F.size("_errors") == 0), F.count_if(F.size("_errors") > 0), F.count_if(lost)).first()
         result.valid, result.quarantined, result.orphaned = row
@@ -101,6 +107,6 @@ class SilverProcessor:
             return None
         items = line_items(keep_first(bronze, ["invoice_id"], [ROW]), self.keys["invoice"])
         result = ProcessingResult("invoice_line_items", "invoice_line_item")
-        self._finish(judge_line_items(items, self.keys.get("product"), self.reference_date), "invoice_line_items", result)
+        self._finish(judge_line_items(items, self.keys.get("product"), self.reference_date, self.entities.get("invoice_line_item", ENTITIES["invoice_line_item"])), "invoice_line_items", result, placed=False)
         result.total = result.valid + result.quarantined
         return result

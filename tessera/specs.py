@@ -233,12 +233,12 @@ def get_schema(name: str) -> EntitySpec:
     return ENTITIES[name]
 
 
-def in_order(sources: tuple[SourceSpec, ...]) -> list[SourceSpec]:
+def in_order(sources: tuple[SourceSpec, ...], entities: dict[str, EntitySpec] = ENTITIES) -> list[SourceSpec]:
     """Sources with the entities they refer to first; otherwise in the given order."""
     left, done, out = list(sources), set(), []
     here = {s.schema for s in sources}
     while left:
-        free = [s for s in left if all(p in done or p not in here for p in (ENTITIES[s.schema].foreign if s.schema in ENTITIES else {}).values())]
+        free = [s for s in left if all(p in done or p not in here for p in (entities[s.schema].foreign if s.schema in entities else {}).values())]
         if not free:
             raise ValueError(f"sources refer to each other: {[s.name for s in left]}")
         out.append(free[0])

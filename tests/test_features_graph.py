@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.graph.loader import agents, build
+from tessera.graph.loader import GraphLoader, agents, build
 from tessera.graph.queries import get_query, list_queries
 from tessera.graph.schema import EDGE_TABLES, NODE_TABLES, get_schema_statements
 from tessera.graph.traverse import Traversal
@@ -138,3 +138,60 @@ def test_overdue_vendors_name_invoices_and_products(silver):
     invoices = [r for r in found if r.kind == "invoice"]
     assert products == ["P0", "P2", "P4"] and len(invoices) == invoices[0].overdue_invoices == 1
     assert invoices[0].path_id.startswith("INV-") and invoices[0].payment_status != "paid" and invoices[0].total_amount == invoices[0].overdue_amount
+
+
+# --- first and last rows, errors, the catalog ---
+
+
+def test_first_and_last_rows_by_place(spark):
+    """Places, not values, tell which row of an id stays; rows are dealt so that no task sees them in order."""
+    vendors = spark.createDataFrame([("VND-1", "Z", "NO", "North", 0), ("VND-1", "A", "NO", "South", 1), ("VND-0", "B", "NO", "West", 2), ("", "none", "SE", "East", 3), (None, "none", "SE", "East", 4)], "vendor_id string, vendor_name string, country string, region string, _row_id long").repartition(3)
+    customers = spark.createDataFrame([("CUS-1", "n", "NO", 0)], "customer_id string, full_name string, country string, _row_id long")
+    calls = spark.createDataFrame([("C-9", "A-1", "early", 0), ("C-1", "A-1", "late", 5), ("C-5", "A-1", None, 9)], "call_id string, agent_id string, agent_name string, _row_id long").repartition(3)
+    reviews = spark.createDataFrame([("R", "c2", "p9", 5, 0), ("R", "c1", "p1", 1, 7), (None, "c1", "p1", 1, 8)], "review_id string, customer_id string, product_id string, rating int, _row_id long").repartition(3)
+    g = build({"vendors": vendors, "customers": customers, "call_transcripts": calls, "reviews": reviews})
+    assert sorted((r.id, r.vendor_name) for r in g.nodes["vendor"].collect()) == [("VND-0", "B"), ("VND-1", "Z")]
+    assert [r.dst for r in g.edges["located_in"].collect()] == ["West"]
+    assert [tuple(r) for r in g.nodes["agent"].collect()] == [("A-1", "late")]
+    assert [(r.src, r.dst, r.rating) for r in g.edges["reviewed"].collect()] == [("c2", "p9", 5)]
+
+
+@pytest.fixture
+def odd_silver(spark, tmp_path):
+    vendors = [("VND-1", "a", "North & West"), ("VND-1", "b", "North and West"), ("VND-2", "c", "South"), (None, "d", None), (" ", "e", None)]
+    spark.createDataFrame([(*v, k) for k, v in enumerate(vendors)], "vendor_id string, vendor_name string, region string, _row_id long").write.parquet(f"{tmp_path}/silver/vendors")
+    products = [("PRD-1", "VND-1", "s", "p", "c", 0), ("PRD-1", "VND-1", "s", "p", "c", 1), ("PRD-2", None, "s", "p", "c", 2)]
+    spark.createDataFrame(products, "product_id string, vendor_id string, sku string, product_name string, category string, _row_id long").write.parquet(f"{tmp_path}/silver/products")
+    return f"{tmp_path}/silver"
+
+
+def test_errors_are_counted_while_loading(spark, odd_silver, tmp_path):
+    loader = GraphLoader(spark, odd_silver, f"{tmp_path}/graph")
+    found = {n: (r.table_type, r.records_loaded, r.errors) for n, r in loader.load_all().items()}
+    assert found["vendor"] == ("node", 2, 3) and found["product"] == ("node", 2, 1)
+    assert found["region"] == ("node", 2, 1) and found["category"] == ("node", 1, 0)
+    assert found["supplies"] == ("edge", 1, 1) and found["belongs_to"] == ("edge", 2, 1) and found["based_in"][1:] == (2, 1)
+    g = loader.load()
+    assert {n: df.count() for n, df in (g.nodes | g.edges).items()} == {n: r[1] for n, r in found.items()}
+
+
+def test_a_database_with_the_schema(spark, odd_silver, tmp_path, caplog):
+    loader = GraphLoader(spark, odd_silver, f"{tmp_path}/graph")
+    with pytest.raises(ValueError, match="connected"):
+        loader.apply_schema()
+    loader.connect("shop_graph")
+    try:
+        assert loader.apply_schema(["CREATE NONSENSE", "CREATE TABLE extra (a int) USING parquet"]) == 1 and "CREATE NONSENSE" in caplog.text
+        assert loader.apply_schema() == len(get_schema_statements()) == 23
+        results = loader.load_all()
+        assert results["vendor"].records_loaded == 2 and results["supplies"].errors == 1
+        results = loader.load_all()
+        g = loader.load()
+        assert g.nodes["vendor"].count() == 2 and dict(g.nodes["product"].dtypes)["stock_quantity"] == "bigint" and g.edges["supplies"].count() == 1
+        found = loader.insert("category", spark.createDataFrame([("a", "A"), (None, "B"), ("c", None)], "id string, name string"))
+        assert (found.records_loaded, found.errors) == (1, 2) and [tuple(r) for r in spark.table("shop_graph.category").collect()] == [("a", "A")]
+        assert [r.id for r in get_query("vendor_influence").run(g).collect()] and spark.catalog.currentDatabase() == "default"
+        loader.close()
+        assert loader.database is None
+    finally:
+        spark.sql("DROP DATABASE shop_graph CASCADE")

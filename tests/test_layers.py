@@ -6,8 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import BronzeIngester, GoldProcessor, GraphLoader, SilverProcessor
-from tessera.config import load_config, load_sources
+from tessera import BronzeIngester, GoldProcessor, GraphLoader, SilverCleaner, SilverProcessor
+from tessera.config import entities_of, load_config, load_rules, load_schemas, load_sources
 from tessera.functions import scalars as S
 from tessera.operators.cleaning import clean_column
 from tessera.operators.integrity import judge, judge_line_items, keep_first, line_items, orphans, quarantined, valid
@@ -15,6 +15,7 @@ from tessera.operators.validation import histogram, validate
 from tessera.plans.pipeline import get_logger, run_pipeline, setup_logging
 from tessera.report import overall_pass_rate
 from tessera.sources.reader import flatten, read_json, read_source
+from tessera.sources.sinks import write_json_array
 from tessera.specs import ENTITIES, SourceSpec, get_schema, in_order
 
 DAY = dt.date(2026, 2, 1)
@@ -190,7 +191,7 @@ def test_silver(spark, raw, tmp_path):
         assert figures == {"vendors": (2, 2, 0, 0, 0), "products": (6, 2, 3, 1, 1), "customers": (4, 2, 1, 1, 0)}
     products = {r.product_id: r for r in spark.read.parquet(f"{tmp_path}/silver/products").collect()}
     assert (products["PRD-7020"].product_name, products["PRD-7020"].is_active, products["PRD-7010"].stock_quantity, products["PRD-7010"].is_active) == ("Bean seed", False, 12, True)
-    assert spark.read.parquet(f"{tmp_path}/silver/products").columns == [*ENTITIES["product"].columns, "source_file", "loaded_at"]
+    assert spark.read.parquet(f"{tmp_path}/silver/products").columns == [*ENTITIES["product"].columns, "source_file", "loaded_at", "_row_id"]
     customers = {r.customer_id: r for r in spark.read.parquet(f"{tmp_path}/silver/customers").collect()}
     ines, ola = customers["CUS-80"], customers["CUS-81"]
     assert (ines.full_name, ines.email, ines.phone, ines.registration_date, ines.total_spend) == ("Ines Holm", "ines.holm@post.example", "4722334455", "2023-02-07", 31.0)
@@ -227,6 +228,71 @@ def test_whole_run_twice(spark, raw, tmp_path):
     GoldProcessor(spark, f"{tmp_path}/out/processed/silver", f"{tmp_path}/out/processed/gold").close()
 
 
+SCHEMAS = """
+schemas:
+  vendor:
+    primary_key: vendor_id
+    fields:
+      vendor_id: {type: string, required: true, pattern: '^VND-\\d+$'}
+      status: {type: string, clean: shout}
+      country: {clean: not_there}
+      score: {type: float, min: 0, max: 90}
+  product:
+    primary_key: product_id
+    fields:
+      product_id: {type: string, required: true}
+      vendor_id: {type: string, required: true, foreign_key: vendor}
+      is_active: {type: boolean, clean: yes_no}
+"""
+RULES = """
+cleaners:
+  shout: {type: case, case: upper}
+  yes_no: {type: boolean}
+  odd: {type: nothing}
+"""
+
+
+def test_silver_from_files_alone(spark, tmp_path):
+    """Schemas and rules come from files; an unknown rule, and one of an unknown type, change nothing."""
+    (tmp_path / "schemas.yaml").write_text(SCHEMAS)
+    (tmp_path / "rules.yaml").write_text(RULES)
+    vendors = [{"vendor_id": "VND-1", "status": "open", "country": " no ", "score": 90}, {"vendor_id": "VND-2", "status": "shut", "country": "se", "score": 90.5}, {"vendor_id": "VND-1", "status": "again", "country": "no", "score": 1}]
+    (tmp_path / "vendors.json").write_text(json.dumps(vendors))
+    (tmp_path / "products.csv").write_text("product_id,vendor_id,is_active,price\np1,VND-1,Yes,3\np2,VND-2,no,4\n,VND-1,no,5\n")
+    sources = (SourceSpec("products", "products.csv", "csv", "product"), SourceSpec("vendors", "vendors.json", "json", "vendor"))
+    BronzeIngester(spark, str(tmp_path), f"{tmp_path}/bronze", sources).ingest_all()
+    entities, rules = load_schemas(tmp_path / "schemas.yaml"), load_rules(tmp_path / "rules.yaml")
+    results = SilverProcessor(spark, f"{tmp_path}/bronze", f"{tmp_path}/silver", f"{tmp_path}/quarantine", sources, entities=entities, rules=rules, quarantine_array=True).process_all()
+    assert list(results) == ["vendors", "products"]
+    assert [tuple(r)[:4] for r in spark.read.parquet(f"{tmp_path}/silver/vendors").collect()] == [("VND-1", "OPEN", " no ", 90.0)]
+    assert [tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/silver/products").collect()] == [("p1", "VND-1", True)]
+    assert results["vendors"].cleaned == ["status"] and results["vendors"].errors == {"less_than_equal": 1}
+    found = json.loads((tmp_path / "quarantine/products").read_text())
+    assert [(r["row_index"], r["record"]["product_id"], [e["type"] for e in r["errors"]]) for r in found] == [(1, "p2", ["referential_integrity"]), (2, None, ["missing"])]
+    assert load_schemas(tmp_path / "none.yaml") == {} and load_rules(tmp_path / "none.yaml") == {"cleaners": {}}
+    with pytest.raises(ValueError, match="unknown type"):
+        entities_of({"schemas": {"a": {"fields": {"b": {"type": "money"}}}}})
+
+
+def test_cleaner_of_described_rules(spark):
+    described = {"cleaners": {"name": {"type": "case", "case": "title"}, "tidy": {"type": "string", "operations": ["normalize_whitespace", "trim", "other"]}, "odd": {"type": "case", "case": "none"}, "none": {"type": "string", "operations": []}}}
+    cleaner = SilverCleaner(described)
+    df = spark.createDataFrame([(" a  b ", 1)], "s string, n int")
+    assert cleaner.clean_column(df, "s", "name")[0].first().s == " A  B " and cleaner.clean_column(df, "s", "tidy")[0].first().s == "a b"
+    assert [cleaner.clean_column(df, c, r)[1] for c, r in (("s", "odd"), ("s", "none"), ("s", "lowercase"), ("n", "name"), ("x", "name"))] == [False] * 5
+    assert SilverCleaner({}).rules == {} and "date_iso" in SilverCleaner().rules
+
+
+def test_json_array_sink(spark, tmp_path):
+    df = spark.range(500).selectExpr("499 - id as row_index", "nullif(id % 3, 0) as v", "array(id) as l").repartition(7)
+    write_json_array(df, f"{tmp_path}/a.json")
+    assert json.loads((tmp_path / "a.json").read_text()) == [{"row_index": k, "v": (499 - k) % 3 or None, "l": [499 - k]} for k in range(500)]
+    write_json_array(df.limit(0), f"{tmp_path}/a.json")
+    assert json.loads((tmp_path / "a.json").read_text()) == []
+    write_json_array(df.withColumn("row_index", F.lit(1)), f"{tmp_path}/a.json")
+    assert len(json.loads((tmp_path / "a.json").read_text())) == 500
+
+
 # --- settings ---
 
 
@@ -243,7 +309,7 @@ def test_settings_and_specs(tmp_path):
 
 
 def test_logging(tmp_path):
-    path = setup_logging(str(tmp_path / "logs"), "INFO", console=False)
+    path = setup_logging(str(tmp_path / "logs"), "INFO", console=False, log_format="%(levelname)s <%(message)s>")
     get_logger("x").info("said")
-    assert "said" in path.read_text()
+    assert path.read_text() == "INFO <said>\n"
     setup_logging(None, console=False)
