@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
@@ -98,8 +99,8 @@ def counted_edges(df: DataFrame, table: str, src: str, dst: str | Column, source
     _, _, ddl, unique = EDGES[table]
     end = safe_str(F.col(dst)) if isinstance(dst, str) else dst
     x = df.select(safe_str(F.col(src)).alias("src"), end.alias("dst"), *_props(df, ddl, source), *_place(df)).filter("src is not null and dst is not null")
-    if table in ("purchased", "reviewed"):
-        x = x.filter(F.col("transaction_id" if table == "purchased" else "review_id").isNotNull())
+    if table in _KEYED:
+        x = x.filter(F.col(_KEYED[table]).isNotNull())
     columns = [c for c in x.columns if c != ROW]
     if not unique:
         return x.select(*columns, F.lit(1).cast("long").alias(COUNT))
@@ -146,6 +147,34 @@ def similar_to(products: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     return a.join(b, ["category", "place"]).select("src", "dst").filter("src <> dst").distinct()
 
 
+# Where nodes and edges come from: Silver table and columns.
+_NODES_OF = {"vendor": ("vendors", "vendor_id"), "customer": ("customers", "customer_id"), "product": ("products", "product_id"), "invoice": ("invoices", "invoice_id"), "support_ticket": ("support_tickets", "ticket_id"), "call_transcript": ("call_transcripts", "call_id")}
+_NAMES_OF = {"category": ("products", "category"), "region": ("vendors", "region")}
+_EDGES_OF = {
+    "supplies": ("products", "vendor_id", "product_id"),
+    "belongs_to": ("products", "product_id", "category"),
+    "based_in": ("vendors", "vendor_id", "region"),
+    "purchased": ("transactions", "customer_id", "product_id"),
+    "billed": ("invoices", "vendor_id", "invoice_id"),
+    "invoice_item": ("invoice_line_items", "invoice_id", "product_id"),
+    "reviewed": ("reviews", "customer_id", "product_id"),
+    "raised": ("support_tickets", "customer_id", "ticket_id"),
+    "about": ("support_tickets", "ticket_id", "product_id"),
+    "handled_by": ("support_tickets", "ticket_id", "agent_id"),
+    "includes_transcript": ("call_transcripts", "ticket_id", "call_id"),
+    "conducted_by": ("call_transcripts", "call_id", "agent_id"),
+}
+#: Edges that a row makes only if it has this column.
+_KEYED = {"purchased": "transaction_id", "reviewed": "review_id"}
+_RENAMED = {"reviewed": {"response_text": "response_response_text", "response_date": "response_response_date"}}
+
+
+def _end(table: str, column: str) -> Column:
+    """The id that an edge ends at: names stand under their slugs."""
+    value = safe_str(F.col(column))
+    return slug(value) if EDGES[table][1] in _NAMES_OF else value
+
+
 class Tables(Mapping[str, DataFrame]):
     """Tables by name, each planned when it is first asked for."""
 
@@ -183,34 +212,17 @@ def build(silver: Mapping[str, DataFrame], counted: bool = False) -> Graph:
     get = silver.get
     nodes: dict[str, Callable[[], DataFrame]] = {}
     edges: dict[str, Callable[[], DataFrame]] = {}
-    plain = {"vendor": ("vendors", "vendor_id"), "customer": ("customers", "customer_id"), "product": ("products", "product_id"), "invoice": ("invoices", "invoice_id"), "support_ticket": ("support_tickets", "ticket_id"), "call_transcript": ("call_transcripts", "call_id")}
-    for table, (name, key) in plain.items():
+    for table, (name, key) in _NODES_OF.items():
         if name in silver:
             nodes[table] = lambda table=table, name=name, key=key: counted_nodes(silver[name], table, key)
-    if "products" in silver:
-        nodes["category"] = lambda: named(silver["products"], "category")
-    if "vendors" in silver:
-        nodes["region"] = lambda: named(silver["vendors"], "region")
+    for table, (name, column) in _NAMES_OF.items():
+        if name in silver:
+            nodes[table] = lambda name=name, column=column: named(silver[name], column)
     if "support_tickets" in silver or "call_transcripts" in silver:
         nodes["agent"] = lambda: agents(get("support_tickets"), get("call_transcripts"))
-    slugged = lambda c: lambda: slug(safe_str(F.col(c)))
-    simple = {
-        "supplies": ("products", "vendor_id", "product_id", None),
-        "belongs_to": ("products", "product_id", slugged("category"), None),
-        "based_in": ("vendors", "vendor_id", slugged("region"), None),
-        "purchased": ("transactions", "customer_id", "product_id", None),
-        "billed": ("invoices", "vendor_id", "invoice_id", None),
-        "invoice_item": ("invoice_line_items", "invoice_id", "product_id", None),
-        "reviewed": ("reviews", "customer_id", "product_id", {"response_text": "response_response_text", "response_date": "response_response_date"}),
-        "raised": ("support_tickets", "customer_id", "ticket_id", None),
-        "about": ("support_tickets", "ticket_id", "product_id", None),
-        "handled_by": ("support_tickets", "ticket_id", "agent_id", None),
-        "includes_transcript": ("call_transcripts", "ticket_id", "call_id", None),
-        "conducted_by": ("call_transcripts", "call_id", "agent_id", None),
-    }
-    for table, (name, src, dst, source) in simple.items():
-        if name in silver and src in silver[name].columns and (not isinstance(dst, str) or dst in silver[name].columns):
-            edges[table] = lambda table=table, name=name, src=src, dst=dst, source=source: counted_edges(silver[name], table, src, dst if isinstance(dst, str) else dst(), source)
+    for table, (name, src, dst) in _EDGES_OF.items():
+        if name in silver and {src, dst} <= set(silver[name].columns):
+            edges[table] = lambda table=table, name=name, src=src, dst=dst: counted_edges(silver[name], table, src, _end(table, dst), _RENAMED.get(table))
     if "customers" in silver and "vendors" in silver:
         edges["located_in"] = lambda: located_in(silver["customers"], silver["vendors"])
     if "products" in silver:
@@ -228,6 +240,37 @@ def build(silver: Mapping[str, DataFrame], counted: bool = False) -> Graph:
     return Graph(Tables({n: given(f) for n, f in nodes.items()}), Tables({e: given(edges[e]) for e in EDGES if e in edges}))
 
 
+def sizes(silver: Mapping[str, DataFrame]) -> DataFrame:
+    """(kind, tbl, records): how many rows each table of the graph has, in one pass over each Silver table.
+
+    Only agents, located_in and similar_to, which come from two tables or from places
+    in an order, are made to be counted.
+    """
+    graph, wanted = build(silver), {}
+    for table, (name, key) in _NODES_OF.items():
+        wanted.setdefault(name, []).append(("node", table, F.countDistinct(F.nullif(sanitize_id(safe_str(F.col(key))), F.lit("")))))
+    for table, (name, column) in _NAMES_OF.items():
+        wanted.setdefault(name, []).append(("node", table, F.countDistinct(slug(safe_str(F.col(column))))))
+    for table, (name, src, dst) in _EDGES_OF.items():
+        if table not in graph.edges:
+            continue
+        start, end, unique = safe_str(F.col(src)), _end(table, dst), EDGES[table][3]
+        both, keyed = start.isNotNull() & end.isNotNull(), F.lit(True)
+        if table in _KEYED:
+            keyed = F.nullif(safe_str(F.col(_KEYED[table])), F.lit("")).isNotNull()
+        # A distinct pair counts if neither end is null.
+        count = F.countDistinct(start, end) if unique == "src,dst" else F.countDistinct(F.when(both, safe_str(F.col(unique)))) if unique else F.count_if(both & keyed)
+        wanted.setdefault(name, []).append(("edge", table, count))
+    out = []
+    for name, counts in wanted.items():
+        if name in silver:
+            found = silver[name].agg(*[c.alias(table) for _, table, c in counts])
+            out.append(found.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(table).alias("tbl"), F.col(table).alias("records")) for kind, table, _ in counts])).alias("r")).select("r.*"))
+    for kind, tables, made in (("node", graph.nodes, ("agent",)), ("edge", graph.edges, ("located_in", "similar_to"))):
+        out += [tables[t].agg(F.count("*").alias("records")).select(F.lit(kind).alias("kind"), F.lit(t).alias("tbl"), "records") for t in made if t in tables]
+    return reduce(DataFrame.unionByName, out)
+
+
 class GraphLoader:
     """Builds the graph of a Silver folder and writes its tables under ``output_dir``, or into a database of the catalog once connected to one."""
 

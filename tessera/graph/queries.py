@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.places import with_place
+from ..sources.sinks import scratch
 from .loader import Graph
 from .traverse import Traversal
 
@@ -28,6 +31,13 @@ def first_nodes(graph: Graph, table: str, n: int) -> DataFrame:
     return graph.nodes[table].orderBy("id").limit(n)
 
 
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` sorted, with the place of each row. The sorted table is written, and its files tell the places, so no task sees all rows."""
+    path = scratch(df.sparkSession)
+    df.orderBy(*order).write.parquet(path)
+    return with_place(df.sparkSession.read.schema(df.schema).parquet(path), "place").orderBy("place")
+
+
 def _lists(base: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
     """``base`` (with id) and a list for each name; starts without paths have an empty list."""
     for name, found in lists.items():
@@ -38,10 +48,14 @@ def _lists(base: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
 
 
 def reliable_vendor_products(g: Graph, above: float = 90) -> DataFrame:
-    vendors = g.nodes["vendor"].filter(F.col("reliability_score") > above)
-    products = Traversal(g, "vendor", vendors).out("supplies").pick(product_name="product_name", price="price", category="category", rating="rating")
-    found = _lists(vendors.select("id", "vendor_name", "reliability_score"), {"products": products.collect("products", "product_name", "price", "category", "rating")})
-    return found.orderBy(F.desc("reliability_score"), "id")
+    """A row for each product of a vendor above the score, and one without a product for a vendor that has none.
+
+    ``place`` numbers the rows by descending score, then by ids.
+    """
+    vendors = g.nodes["vendor"].filter(F.col("reliability_score") > above).select("id", "vendor_name", "reliability_score")
+    products = Traversal(g, "vendor", vendors).out("supplies").pick(product_name="product_name", price="price", category="category", rating="rating").rows()
+    found = vendors.join(products.withColumnRenamed("at", "product_id"), F.col("id") == F.col("start"), "left").drop("start")
+    return in_order(found, F.desc("reliability_score"), "id", "product_id")
 
 
 def customer_purchase_history(g: Graph, limit: int = 10) -> DataFrame:
@@ -59,13 +73,20 @@ def _also_bought(g: Graph, products: DataFrame) -> Traversal:
 
 
 def related_products(g: Graph, limit: int = 5) -> DataFrame:
-    """The product itself is in each list, and a name once for each path."""
+    """A row for each path from a product to one of its category, of its vendor, or bought by the same customers.
+
+    ``relation`` tells which; a product is reached from itself too, and once for each path.
+    """
     products = first_nodes(g, "product", limit)
-    category = Traversal(g, "product", products).out("belongs_to").in_("belongs_to").pick(name="product_name")
-    vendor = Traversal(g, "product", products).in_("supplies").out("supplies").pick(name="product_name")
-    names = lambda t, alias: t.aggregate(F.array_sort(F.collect_list("name")).alias(alias))
-    lists = {"same_category_products": names(category, "same_category_products"), "same_vendor_products": names(vendor, "same_vendor_products"), "co_purchased_products": names(_also_bought(g, products), "co_purchased_products")}
-    return _lists(products.select("id", "product_name"), lists).withColumnRenamed("id", "source_product")
+    start = lambda: Traversal(g, "product", products)
+    paths = {
+        "same_category": start().out("belongs_to").in_("belongs_to"),
+        "same_vendor": start().in_("supplies").out("supplies"),
+        "co_purchased": start().in_("purchased").out("purchased"),
+    }
+    found = reduce(DataFrame.unionByName, [t.pick(related_name="product_name").rows().withColumn("relation", F.lit(name)) for name, t in paths.items()])
+    x = products.select(F.col("id").alias("source_product"), "product_name").join(found.withColumnRenamed("at", "related_product"), F.col("source_product") == F.col("start"))
+    return x.drop("start")
 
 
 def co_purchased_products(g: Graph, limit: int = 5) -> DataFrame:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .adapters import DAY
+from .config import entities_of
+from .functions.scalars import boolean, phone, slug, strip, trim_all
+from .graph.loader import GraphLoader, build
+from .operators.integrity import judge, keep_first, quarantined
 from .operators.validation import validate
 from .plans.bronze import BronzeIngester
 from .plans.gold import GoldProcessor
+from .plans.pipeline import summary
 from .plans.silver import SilverProcessor
-from .queries import _FIELD, _KIND, _products_raw, query
+from .queries import _FIELD, _KIND, ORACLE_SQL, _products_raw, query
 from .report import overall_pass_rate
 from .sources.reader import read_csv, read_json, read_json_lines, read_parquet
-from .sources.sinks import export_csv, scratch, write_table
+from .sources.sinks import export_csv, scratch, write_json_array, write_table
 from .specs import ENTITIES, SourceSpec
 
 
@@ -33,34 +38,99 @@ def scan_json_lines(a):
     return read_json_lines(a.spark, path).drop("_row_id")
 
 
-def _one_document(a, table: str, key: str | None) -> str:
-    """The rows of a table of fixed size as one JSON document: a bare list, or an object with the list under ``key``."""
-    rows = a.table(table).agg(F.collect_list(F.struct("*")).alias(key or "rows"))
-    text = F.to_json(F.struct(F.lit(7).alias("count"), key)) if key else F.to_json("rows")
-    rows.select(text.alias("value")).coalesce(1).write.text(path := scratch(a.spark))
+def _document(a, lists: dict[str, tuple[DataFrame, str]]) -> str:
+    """An object with a count and a list of the rows of each table, in the order of the column named beside it, as one JSON document."""
+    line = lambda part, value: a.spark.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("at"), F.lit(value).alias("value"))
+    lines = line(0, '{"count": 7')
+    for k, (key, (df, order)) in enumerate(lists.items()):
+        least = df.agg(F.min(order)).first()[0]
+        text = F.concat(F.when(F.col(order) != least, ",").otherwise(""), F.to_json(F.struct("*")))
+        rows = df.select(F.lit(3 * k + 2).alias("part"), F.col(order).cast("long").alias("at"), text.alias("value"))
+        lines = lines.unionByName(line(3 * k + 1, f', "{key}": [')).unionByName(rows).unionByName(line(3 * k + 3, "]"))
+    lines = lines.unionByName(line(1 << 20, "}"))
+    lines.repartition(1).sortWithinPartitions("part", "at").select("value").write.text(path := scratch(a.spark))
     return path
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def scan_json_envelope(a):
-    return read_json(a.spark, _one_document(a, "nation", "nations"), "nations").select("n_nationkey", "n_name", "n_regionkey")
+    return read_json(a.spark, _document(a, {"nations": (a.table("nation"), "n_nationkey")}), "nations").select("n_nationkey", "n_name", "n_regionkey")
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders")
 def scan_json_list(a):
-    return read_json(a.spark, _one_document(a, "region", None)).select("r_regionkey", "r_name")
+    write_json_array(a.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), path := scratch(a.spark), "o_orderkey")
+    return read_json(a.spark, path).select("o_orderkey", "o_custkey", "o_orderpriority", F.col("_row_id").alias("place"))
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier")
 def scan_json_first_list(a):
-    return read_json(a.spark, _one_document(a, "region", "found")).select("r_regionkey", "r_name")
+    """The first list is the last by name."""
+    path = _document(a, {"zones": (a.table("supplier"), "s_suppkey"), "areas": (a.table("region"), "r_regionkey")})
+    return read_json(a.spark, path).select("s_suppkey", "s_name", F.col("_row_id").alias("place"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS rows_of_empty_list, CAST(0 AS BIGINT) AS rows_of_missing_key")
+@query("SELECT COUNT(*) FILTER (WHERE r_regionkey < 0) AS rows_of_empty_list, COUNT(*) FILTER (WHERE r_regionkey IS NULL) AS rows_of_missing_key, COUNT(*) AS rows_of_other_list FROM region")
 def scan_json_empty(a):
-    a.spark.createDataFrame([('{"count": 0, "rows": []}',)], "value string").write.text(path := scratch(a.spark))
-    count = lambda key, name: read_json(a.spark, path, key).agg(F.count("*").alias(name))
-    return count("rows", "rows_of_empty_list").join(count("none", "rows_of_missing_key"))
+    region = a.table("region")
+    path = _document(a, {"rows": (region.filter("r_regionkey < 0"), "r_regionkey"), "others": (region, "r_regionkey")})
+    counts = [read_json(a.spark, path, key).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for key, name in (("rows", "rows_of_empty_list"), ("none", "rows_of_missing_key"), ("others", "rows_of_other_list"))]
+    found = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return found.groupBy().pivot("name", ["rows_of_empty_list", "rows_of_missing_key", "rows_of_other_list"]).agg(F.first("n"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN m = 0 THEN event_type END AS r_by, CASE WHEN m = 0 THEN CAST(user_id AS BIGINT) END AS r_n, CASE m WHEN 2 THEN 'plain ' || event_type WHEN 3 THEN '{"by":[' || user_id || ']}' END AS r
+    FROM (SELECT *, event_id % 5 AS m FROM events)""")
+def flatten_by_record(a):
+    """An object of plain values, null, a plain value, a nested object, or nothing, by record."""
+    by, n, m = F.col("event_type"), F.col("user_id"), F.col("event_id") % 5
+    shapes = (F.to_json(F.struct(by.alias("by"), n.alias("n"))), F.lit("null"), F.concat(F.lit('"plain '), by, F.lit('"')), F.to_json(F.struct(F.array(n).alias("by"))))
+    value = F.when(m == 4, F.lit(""))
+    for k, shape in enumerate(shapes):
+        value = value.when(m == k, F.concat(F.lit(', "r": '), shape))
+    a.table("events").select(F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), value, F.lit("}")).alias("value")).write.text(path := scratch(a.spark))
+    return read_json_lines(a.spark, path).select("id", "r_by", "r_n", "r")
+
+
+# --- places over files of uneven size ------------------------------------------------
+
+_FILE = "CAST(floor(sqrt(o_orderkey % 100)) AS INT)"
+
+
+def _filed(a, form: str, **options) -> str:
+    """Orders in ten files, of which each is larger than the one before, in the order of their keys."""
+    note = F.concat("o_orderpriority", F.lit('"\n,'), "o_orderstatus")
+    x = a.table("orders").select("o_orderkey", "o_custkey", note.alias("note"), F.expr(_FILE).alias("f"))
+    x.repartition("f").sortWithinPartitions("f", "o_orderkey").write.partitionBy("f").options(**options).format(form).save(path := scratch(a.spark))
+    return path
+
+
+_PLACES = f"SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderpriority || '\"' || chr(10) || ',' || o_orderstatus AS note, row_number() OVER (ORDER BY {_FILE}, o_orderkey) - 1 AS place FROM orders"
+
+
+def _placed(df):
+    return df.select(F.col("o_orderkey").cast("long"), "note", F.col("_row_id").alias("place"))
+
+
+@query(_PLACES)
+def place_csv(a):
+    return _placed(read_csv(a.spark, _filed(a, "csv", header=True, quote='"', escape='"')))
+
+
+@query(_PLACES)
+def place_json_lines(a):
+    return _placed(read_json_lines(a.spark, _filed(a, "json")))
+
+
+@query(_PLACES)
+def place_parquet(a):
+    return _placed(read_parquet(a.spark, _filed(a, "parquet")))
+
+
+@query(f"SELECT CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_FILE}, o_orderkey) = 1")
+def first_row_over_files(a):
+    x = keep_first(read_csv(a.spark, _filed(a, "csv", header=True, quote='"', escape='"')), ["o_custkey"], ["_row_id"])
+    return x.select(F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long"))
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -167,6 +237,190 @@ def gold_tables(a):
     return a.spark.createDataFrame(rows, "feature_table string, n long, n_columns int")
 
 
+_CARDS = """
+schemas:
+  buyer:
+    primary_key: c_custkey
+    fields:
+      c_custkey: {type: integer, required: true}
+  card:
+    primary_key: o_orderkey
+    fields:
+      o_orderkey: {type: integer, required: true, min: 1}
+      o_custkey: {type: integer, foreign_key: buyer}
+      o_orderpriority: {type: string, clean: shout, pattern: '^[^4].*$'}
+      o_orderstatus: {type: string, clean: not_there}
+      o_totalprice: {type: float, max: 200000}
+cleaners:
+  shout: {type: case, case: upper}
+"""
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, upper(o_orderpriority) AS o_orderpriority, o_orderstatus FROM orders WHERE o_orderkey >= 1 AND o_custkey % 4 <> 0 AND o_totalprice <= 200000 AND o_orderpriority NOT LIKE '4%'")
+def silver_from_files(a):
+    """Schemas and cleaning rules as a file describes them, over two sources of its own."""
+    import yaml
+
+    found, top = yaml.safe_load(_CARDS), scratch(a.spark)
+    a.table("customer").filter("c_custkey % 4 <> 0").write.parquet(f"{top}/in/buyers")
+    a.table("orders").write.parquet(f"{top}/in/cards")
+    sources = (SourceSpec("cards", "cards", "parquet", "card"), SourceSpec("buyers", "buyers", "parquet", "buyer"))
+    BronzeIngester(a.spark, f"{top}/in", f"{top}/bronze", sources).ingest_all()
+    SilverProcessor(a.spark, f"{top}/bronze", f"{top}/silver", f"{top}/quarantine", sources, DAY, entities=entities_of(found), rules=found).process_all()
+    return a.spark.read.parquet(f"{top}/silver/cards").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+
+
+@query(f"SELECT CAST(substr(product_id, 5) AS BIGINT) AS row_index, {_FIELD} AS field, {_KIND} AS type, row_number() OVER (ORDER BY CAST(substr(product_id, 5) AS BIGINT)) - 1 AS place FROM products WHERE {_KIND} IS NOT NULL")
+def quarantine_array(a):
+    """Quarantined rows as one JSON array, in the order of their places, read back."""
+    write_json_array(quarantined(judge(_products_raw(a), ENTITIES["product"], {}, DAY)), path := scratch(a.spark))
+    first = lambda name: F.get_json_object("errors", f"$[0].{name}").alias(name)
+    return read_json(a.spark, path).select("row_index", first("field"), first("type"), F.col("_row_id").alias("place"))
+
+
+@query(
+    f"""SELECT 'bronze' AS layer, 'sources' AS what, 5 AS n UNION ALL SELECT 'bronze', 'rows', (SELECT COUNT(*) FROM shop) + (SELECT COUNT(*) + COUNT(*) FILTER (WHERE {_N} % 10 = 0) FROM products) + (SELECT COUNT(*) FROM nation)
+    UNION ALL SELECT 'silver', 'valid', (SELECT COUNT(*) FROM shop) + (SELECT COUNT(*) FROM judged_products WHERE kind IS NULL AND NOT orphan) + (SELECT COUNT(*) FROM nation)
+    UNION ALL SELECT 'silver', 'quarantined', (SELECT COUNT(*) FROM judged_products WHERE kind IS NOT NULL OR orphan)
+    UNION ALL SELECT 'silver', 'duplicates_removed', (SELECT COUNT(*) FROM judged_products WHERE n % 10 = 0) UNION ALL SELECT 'silver', 'orphaned', (SELECT COUNT(*) FROM judged_products WHERE orphan)""",
+    _SILVER,
+)
+def run_totals(a):
+    _, bronze, silver = _silver(a)
+    rows = [(layer, what, n) for layer, totals in summary({"bronze": bronze, "silver": silver}).items() for what, n in totals.items()]
+    return a.spark.createDataFrame(rows, "layer string, what string, n long")
+
+
+def _gold(a) -> str:
+    top = scratch(a.spark)
+    for name, df in a.silver.items():
+        write_table(df, f"{top}/silver/{name}")
+    found = GoldProcessor(a.spark, f"{top}/silver", f"{top}/gold", DAY)
+    found.process_all()
+    found.close()
+    return f"{top}/gold"
+
+
+@query(None)
+def gold_customer_table(a):
+    """The feature table as it stands in the Gold folder."""
+    return a.spark.read.parquet(f"{_gold(a)}/customer_features")
+
+
+@query(None)
+def gold_invoice_table(a):
+    return a.spark.read.parquet(f"{_gold(a)}/invoice_features")
+
+
+ORACLE_SQL |= {"gold_customer_table": ORACLE_SQL["customer_features"], "gold_invoice_table": ORACLE_SQL["invoice_features"]}
+
+
+# --- graph loads ---------------------------------------------------------------------
+
+_LINE_NAME, _LINE_PLACE = "l_orderkey || '-' || l_linenumber", "l_orderkey * 10 + l_linenumber"
+
+
+def _lines(a, **columns: str) -> DataFrame:
+    return a.table("lineitem").select(*[F.expr(sql).alias(name) for name, sql in columns.items()], F.expr(f"CAST({_LINE_PLACE} AS BIGINT)").alias("_row_id"))
+
+
+@query(f"SELECT 'VND-' || l_suppkey AS id, arg_min({_LINE_NAME}, {_LINE_PLACE}) AS vendor_name FROM lineitem GROUP BY l_suppkey")
+def nodes_first_row(a):
+    """Many rows of each id: the first by place stays."""
+    return build({"vendors": _lines(a, vendor_id="'VND-' || l_suppkey", vendor_name=_LINE_NAME, region="CAST(NULL AS STRING)")}).nodes["vendor"].select("id", "vendor_name")
+
+
+@query(f"SELECT 'A' || l_suppkey AS id, arg_max({_LINE_NAME}, {_LINE_PLACE}) AS name FROM lineitem GROUP BY l_suppkey")
+def agents_last_row(a):
+    return build({"call_transcripts": _lines(a, call_id="'c'", agent_id="'A' || l_suppkey", agent_name=_LINE_NAME)}).nodes["agent"]
+
+
+@query(f"SELECT 'c' || arg_min(l_orderkey, {_LINE_PLACE}) AS src, 'p' || arg_min(l_partkey, {_LINE_PLACE}) AS dst, 'R' || l_suppkey AS review_id, CAST(arg_min(l_linenumber, {_LINE_PLACE}) AS BIGINT) AS rating FROM lineitem GROUP BY l_suppkey")
+def edges_first_row(a):
+    reviews = _lines(a, review_id="'R' || l_suppkey", customer_id="'c' || l_orderkey", product_id="'p' || l_partkey", rating="l_linenumber")
+    return build({"reviews": reviews}).edges["reviewed"].select("src", "dst", "review_id", "rating")
+
+
+def _repeated(a, path: str) -> None:
+    """A Silver folder with vendors of which every fifth is there twice and every seventh once more without an id, and their products."""
+    n = F.substring("vendor_id", 5, 20).cast("bigint")
+    again = a.vendors.filter(n % 5 == 0).withColumn("vendor_name", F.lit("again"))
+    lost = a.vendors.filter(n % 7 == 0).withColumn("vendor_id", F.lit(None).cast("string"))
+    every = a.vendors.withColumn("_row_id", n).unionByName(again.withColumn("_row_id", n + (1 << 40))).unionByName(lost.withColumn("_row_id", F.lit(1 << 41)))
+    write_table(every, f"{path}/vendors")
+    write_table(a.products.withColumn("_row_id", F.substring("product_id", 5, 20).cast("bigint")), f"{path}/products")
+
+
+_LOADED = """SELECT 'vendor' AS tbl, 'node' AS kind, COUNT(*) AS loaded, COUNT(*) FILTER (WHERE n % 5 = 0) + COUNT(*) FILTER (WHERE n % 7 = 0) AS errors FROM numbered
+    UNION ALL SELECT 'based_in', 'edge', COUNT(*), COUNT(*) FILTER (WHERE n % 5 = 0) FROM numbered UNION ALL SELECT 'region', 'node', COUNT(DISTINCT region), 0 FROM numbered
+    UNION ALL SELECT 'product', 'node', COUNT(*), 0 FROM products UNION ALL SELECT 'category', 'node', COUNT(DISTINCT category), 0 FROM products
+    UNION ALL SELECT 'supplies', 'edge', COUNT(vendor_id), 0 FROM products UNION ALL SELECT 'belongs_to', 'edge', COUNT(category), 0 FROM products
+    UNION ALL SELECT 'similar_to', 'edge', CAST(SUM(LEAST(3, k - 1) * k) AS BIGINT), 0 FROM (SELECT COUNT(*) AS k FROM products WHERE category IS NOT NULL GROUP BY category)"""
+_NUMBERED = {"numbered": "SELECT *, CAST(substr(vendor_id, 5) AS BIGINT) AS n FROM vendors"}
+
+
+@query(_LOADED, _NUMBERED)
+def graph_load_errors(a):
+    """What the loader counts while it writes."""
+    _repeated(a, f"{(top := scratch(a.spark))}/silver")
+    results = GraphLoader(a.spark, f"{top}/silver", f"{top}/graph").load_all()
+    return a.spark.createDataFrame([(r.table, r.table_type, r.records_loaded, r.errors) for r in results.values()], "tbl string, kind string, loaded long, errors long")
+
+
+@query(f"SELECT tbl, CASE WHEN loaded > 0 THEN loaded ELSE 0 END AS records FROM ({_LOADED})", _NUMBERED)
+def graph_catalog(a):
+    """The schema applied to a database of the catalog, the graph loaded into it, and its tables counted there."""
+    _repeated(a, f"{(top := scratch(a.spark))}/silver")
+    loader = GraphLoader(a.spark, f"{top}/silver", f"{top}/graph")
+    loader.connect(name := f"graph_{top.rpartition('/')[2]}")
+    try:
+        loader.apply_schema()
+        loader.load_all()
+        g = loader.load()
+        counts = [(t, df.count()) for t, df in (g.nodes | g.edges).items()]
+    finally:
+        a.spark.sql(f"DROP DATABASE `{name}` CASCADE")
+    return a.spark.createDataFrame([c for c in counts if c[1]], "tbl string, records long")
+
+
+# --- cleaning of cells that vary -----------------------------------------------------
+
+
+def _chosen(key, options: list[Column]) -> Column:
+    """The option whose number is the key's remainder."""
+    out = F.when(F.lit(False), options[0])
+    for k, option in enumerate(options):
+        out = out.when(key % len(options) == k, option)
+    return out
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 8 = 5 THEN 'ext' || d[1:3] || '/' || d[4:6] || 'x' || d[7:9] ELSE d END AS phone FROM (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS d FROM customer)")
+def clean_phone_varied(a):
+    d = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    forms = ["(%s) %s-%s", "%s.%s.%s", "+%s %s %s", "%s\t%s\n%s", "%s%s%s", "ext%s/%sx%s", "%s--%s..%s", " %s ((%s)) %s "]
+    raw = _chosen(F.col("c_custkey"), [F.format_string(f, F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 3)) for f in forms])
+    return a.table("customer").select("c_custkey", phone(raw).alias("phone"))
+
+
+_WORDS = {"true": True, "True": True, "TRUE": True, "tRuE": True, "yes": True, "YES": True, "1": True, "y": True, "Y": True, "false": False, "FALSE": False, "no": False, "No": False, "0": False, "n": False, "N": False, "maybe": None, "": None, " yes": None, "t": None, "2": None, "on": None, "nein": None}
+
+
+@query(f"SELECT o_orderkey, ([{', '.join('NULL' if v is None else str(v).lower() for v in _WORDS.values())}])[o_orderkey % {len(_WORDS)} + 1] AS flag FROM orders")
+def clean_boolean_varied(a):
+    return a.table("orders").select("o_orderkey", boolean(_chosen(F.col("o_orderkey"), [F.lit(w) for w in _WORDS])).alias("flag"))
+
+
+@query("""SELECT p_partkey, p_name || ([' a b', chr(9) || 'b', chr(10) || chr(10) || ' c', '', '  d'])[p_partkey % 5 + 1] AS stripped, p_name || ([' a b', ' b', ' c', '', ' d'])[p_partkey % 5 + 1] AS trimmed,
+    replace(p_name, ' ', '_') || ([ '_and_', '__and__', '&'])[p_partkey % 3 + 1].replace('&', 'and') AS slug FROM part""")
+def clean_text_varied(a):
+    key = F.col("p_partkey")
+    before, after = [F.lit(x) for x in ("", " ", "\t\n", " \r\n ")], [F.lit(x) for x in ("", "\n", "  \t")]
+    middle = [F.lit(x) for x in (" a b", "\tb", "\n\n c", "", "  d")]
+    raw = F.concat(_chosen(key, before), "p_name", _chosen(key, middle), _chosen(key, after))
+    ends = [F.lit(x) for x in (" & ", "  &  ", "&")]
+    return a.table("part").select("p_partkey", strip(raw).alias("stripped"), trim_all(raw).alias("trimmed"), slug(F.concat("p_name", _chosen(key, ends))).alias("slug"))
+
+
 # --- models ------------------------------------------------------------------------
 
 

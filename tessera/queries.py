@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .adapters import DAY, Adapters, with_views
 from .functions import scalars as S
-from .graph.loader import build
+from .graph.loader import build, sizes
 from .graph.queries import GRAPH_QUERIES
 from .graph.schema import EDGES, NODES
 from .operators.integrity import judge, judge_line_items, keep_first, line_items, orphans, quarantined, valid
@@ -482,13 +482,7 @@ _register_graph()
     _RANKED | {f"node_{n}": s for n, s in _NODE_SQL.items()} | {f"edge_{e}": s for e, s in _EDGE_SQL.items()},
 )
 def graph_degree_summary(a):
-    # Each source is made once, not once for every table that comes from it.
-    g, out = build({n: write_table(df, scratch(a.spark)) for n, df in a.silver.items()}), None
-    for kind, tables in (("node", g.nodes), ("edge", g.edges)):
-        for name, df in tables.items():
-            x = df.agg(F.count("*").alias("records")).select(F.lit(kind).alias("kind"), F.lit(name).alias("tbl"), "records")
-            out = x if out is None else out.unionByName(x)
-    return out
+    return sizes(a.silver)
 
 
 def _joined(c, *parts: str):
@@ -505,8 +499,8 @@ def _graph_query(name: str, sql: str, post: Callable[[DataFrame], DataFrame] = l
 _list = lambda x: f"COALESCE(string_agg({x}, ',' ORDER BY {x}), '')"
 _graph_query(
     "reliable_vendor_products",
-    f"SELECT v.vendor_id AS id, vendor_name, reliability_score, {_list('product_name')} AS products FROM vendors v LEFT JOIN products p ON v.vendor_id = p.vendor_id WHERE reliability_score > 90 GROUP BY ALL",
-    lambda x: x.select("id", "vendor_name", "reliability_score", _joined("products", "product_name")),
+    """SELECT *, row_number() OVER (ORDER BY reliability_score DESC, id, product_id NULLS FIRST) - 1 AS place
+    FROM (SELECT v.vendor_id AS id, vendor_name, reliability_score, p.product_id, product_name, CAST(price AS DOUBLE) AS price, category, rating FROM vendors v LEFT JOIN products p ON v.vendor_id = p.vendor_id WHERE reliability_score > 90)""",
 )
 _graph_query(
     "customer_purchase_history",
@@ -519,11 +513,9 @@ _ALSO = f"SELECT f.product_id, {_list('q.product_name')} AS l FROM {_FIVE} f JOI
 _text_list = lambda c: F.array_join(c, ",").alias(c)
 _graph_query(
     "related_products",
-    f"""SELECT f.product_id AS source_product, f.product_name, c.l AS same_category_products, v.l AS same_vendor_products, COALESCE(b.l, '') AS co_purchased_products FROM {_FIVE} f
-    JOIN (SELECT f.product_id, {_list('q.product_name')} AS l FROM {_FIVE} f JOIN products q ON q.category = f.category GROUP BY f.product_id) c ON c.product_id = f.product_id
-    JOIN (SELECT f.product_id, {_list('q.product_name')} AS l FROM {_FIVE} f LEFT JOIN products q ON q.vendor_id = f.vendor_id GROUP BY f.product_id) v ON v.product_id = f.product_id
-    LEFT JOIN ({_ALSO}) b ON b.product_id = f.product_id""",
-    lambda x: x.select("source_product", "product_name", *map(_text_list, ("same_category_products", "same_vendor_products", "co_purchased_products"))),
+    f"""SELECT f.product_id AS source_product, f.product_name, 'same_category' AS relation, q.product_id AS related_product, q.product_name AS related_name FROM {_FIVE} f JOIN products q ON q.category = f.category
+    UNION ALL SELECT f.product_id, f.product_name, 'same_vendor', q.product_id, q.product_name FROM {_FIVE} f JOIN products q ON q.vendor_id = f.vendor_id
+    UNION ALL SELECT f.product_id, f.product_name, 'co_purchased', q.product_id, q.product_name FROM {_FIVE} f JOIN transactions t ON t.product_id = f.product_id JOIN transactions u ON u.customer_id = t.customer_id JOIN products q ON q.product_id = u.product_id""",
 )
 _graph_query("co_purchased_products", f"SELECT f.product_id AS source_product, f.product_name, COALESCE(b.l, '') AS also_bought FROM {_FIVE} f LEFT JOIN ({_ALSO}) b ON b.product_id = f.product_id", lambda x: x.select("source_product", "product_name", _text_list("also_bought")))
 _graph_query(

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.graph.loader import GraphLoader, agents, build
+from tessera.graph.loader import GraphLoader, agents, build, sizes
 from tessera.graph.queries import get_query, list_queries
 from tessera.graph.schema import EDGE_TABLES, NODE_TABLES, get_schema_statements
 from tessera.graph.traverse import Traversal
@@ -86,6 +86,7 @@ def test_graph(silver):
     assert {r.id for r in g.nodes["region"].collect()} == {"South", "South_and_West"}
     assert {(r.src, r.dst) for r in g.edges["similar_to"].collect()} == {(f"PRD-{a}", f"PRD-{b}") for a in range(4) for b in range(4) if a != b}
     assert agents(silver["support_tickets"], None).count() == 1
+    assert {r.tbl: r.records for r in sizes(silver).collect()} == counts
     assert set(build({"vendors": silver["vendors"]}).edges) == {"based_in"}
     assert len(get_schema_statements()) == 23
 
@@ -110,12 +111,13 @@ def test_graph_queries(silver):
     g = build(silver)
     run = lambda name: get_query(name).run(g)
     found = run("reliable_vendor_products").collect()
-    assert [(r.id, [p.product_name for p in r.products]) for r in found] == [("VND-1", ["P0", "P2", "P4"])]
+    assert [(r.place, r.id, r.product_name) for r in found] == [(0, "VND-1", "P0"), (1, "VND-1", "P2"), (2, "VND-1", "P4")]
     found = by(run("customer_purchase_history"), "id")
     assert [(p.product_name, p.vendor) for p in found["CUS-1"].purchases] == [("P0", "V1"), ("P1", "V2")] and found["CUS-3"].purchases == []
-    found = by(run("related_products"), "source_product")
-    assert found["PRD-0"].same_category_products == ["P0", "P1", "P2", "P3"] and found["PRD-0"].same_vendor_products == ["P0", "P2", "P4"]
-    assert found["PRD-1"].co_purchased_products == ["P0", "P1"] and found["PRD-4"].co_purchased_products == []
+    found = run("related_products").collect()
+    related = lambda product, relation: sorted(r.related_name for r in found if (r.source_product, r.relation) == (product, relation))
+    assert related("PRD-0", "same_category") == ["P0", "P1", "P2", "P3"] and related("PRD-0", "same_vendor") == ["P0", "P2", "P4"]
+    assert related("PRD-1", "co_purchased") == ["P0", "P1"] and related("PRD-4", "co_purchased") == []
     assert by(run("co_purchased_products"), "source_product")["PRD-0"].also_bought == ["P0"] * 5 + ["P1"]
     assert sorted((r.id, r.customer_id) for r in run("top_customers_by_vendor").collect()) == [("VND-1", "CUS-1"), ("VND-1", "CUS-2"), ("VND-1", "CUS-2"), ("VND-2", "CUS-1")]
     found = by(run("vendor_influence"), "id")
