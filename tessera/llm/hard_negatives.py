@@ -11,6 +11,8 @@ Positives come first; their scores set the windows in which negatives are sought
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,7 +28,7 @@ BUCKET, HELD, ANCHORS = 2048, 32 << 20, 256
 _EXACT, _LONG = 1 << 53, 1 << 63
 _ROW = "id long, label string, x binary, form string, norm double, anchor boolean"
 _BUCKETS = "part long, ids binary, labels array<string>, x binary, form string, norm double, anchors binary, rows int"
-_ASKS = "uid long, id long, label string, x binary, form string, norm double, scores array<long>, wides array<string>, tags array<long>"
+_ASKS = "uid long, id long, label string, x binary, form string, norm double, scores array<long>, wides array<string>, tags array<long>, floors map<long, struct<score: long, wide: string>>"
 _FOUND = "anchor long, anchor_id long, tag long, id long, uid long, score long, wide string"
 _NO_LIMIT = -(10**700)
 
@@ -192,18 +194,27 @@ def _clip(score: int) -> int:
     return max(-_LONG, min(_LONG - 1, score))
 
 
+_FLOOR = pa.map_(pa.int64(), pa.struct([("score", pa.int64()), ("wide", pa.string())]))
+
+
 def _ask_batch(out: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()))
-    names = ["uid", "id", "label", "x", "form", "norm", "scores", "wides", "tags"]
-    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
+    names = ["uid", "id", "label", "x", "form", "norm", "scores", "wides", "tags", "floors"]
+    return pa.RecordBatch.from_arrays([*(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)), pa.nulls(len(out), _FLOOR)], names=names)
 
 
-def _windows(scores: list[int], wides: list[str], tags: list[int], low: int | None, high: int) -> list[tuple[int, int, int]]:
-    """(least score, largest score, tag) of an anchor's windows; without ``low``, one window from its first limit on."""
+def _windows(scores: list[int], wides: list[str], tags: list[int], floors: list[tuple] | None, low: int | None, high: int) -> list[tuple[int, int, int]]:
+    """(least score, largest score, tag) of an anchor's windows; without ``low``, one window from its first limit on.
+
+    ``floors``: k-th scores that some groups gave, by tag, below which nothing can be among the first k.
+    """
     whole = [exact(s, w) for s, w in zip(scores, wides, strict=True)]
     if low is None:
-        return [(whole[0] if whole else _NO_LIMIT, -_NO_LIMIT, 0)]
-    made = [(-(-low * s // 100), high * s // 100, tag) for s, tag in zip(whole, tags, strict=True)]
+        made = [(whole[0] if whole else _NO_LIMIT, -_NO_LIMIT, 0)]
+    else:
+        made = [(-(-low * s // 100), high * s // 100, tag) for s, tag in zip(whole, tags, strict=True)]
+    known = {tag: exact(f["score"], f["wide"]) for tag, f in floors or ()}
+    made = [(max(least, known.get(tag, least)), most, tag) for least, most, tag in made]
     return [w for w in made if w[0] <= w[1]]
 
 
@@ -213,7 +224,7 @@ def _reach(groups: np.ndarray, low: int | None, high: int):
     def run(batches):
         for batch in batches:
             out = []
-            for norm, *lists in zip(*(batch.column(n).to_pylist() for n in ("norm", "scores", "wides", "tags")), strict=True):
+            for norm, *lists in zip(*(batch.column(n).to_pylist() for n in ("norm", "scores", "wides", "tags", "floors")), strict=True):
                 windows = _windows(*lists, low, high)
                 limit = min((w[0] for w in windows), default=None)
                 if limit is None:
@@ -246,14 +257,14 @@ def _pass(k: int, low: int | None, high: int, together: int):
             asks = []
 
         for batch in batches:
-            for g, kind, part, ids, labels, x, form, norm, rows, uid, own, label, scores, wides, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, kind, part, ids, labels, x, form, norm, rows, uid, own, label, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != now:
                     flush()
                     now, buckets, book = g, [], {}
                 if kind == 0:
                     buckets.append(Bucket(part, ids, labels, x, form, norm, rows, book))
                     continue
-                asks.append((uid, own, label, _vector(x, form), norm, _windows(scores, wides, tags, low, high)))
+                asks.append((uid, own, label, _vector(x, form), norm, _windows(*lists, low, high)))
                 if len(asks) == together:
                     flush()
             while len(out) >= 8192:
@@ -272,16 +283,34 @@ def _found_batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _searched(buckets: DataFrame, groups: list[float], asks: DataFrame, k: int, low: int | None, high: int) -> DataFrame:
-    """The first k of each window of each anchor: each group sends on its own, and the best of them stay."""
+    """The first k of each window of each anchor, in two passes.
+
+    The first pass asks about the square root of all groups, other ones for each
+    anchor; the k-th score found there is the limit with which the others are asked.
+    A group sends on no more than k rows a window, and in the second pass those alone
+    that reach the limit, so the rows sent grow with the root of the groups.
+    """
+    stride = math.isqrt(max(0, len(groups) - 1)) + 1
+    home = F.pmod(F.col("g"), F.lit(stride)) == F.pmod(F.xxhash64("uid"), F.lit(stride))
+    first = materialise(_asked(buckets, groups, asks, home, k, low, high))
+    floors = first.filter(F.col("rank") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("score", "wide")))).alias("floors"))
+    later = asks.drop("floors").join(floors, F.col("uid") == F.col("anchor"), "left").drop("anchor").select(*asks.columns)
+    return _best(first.drop("rank").unionByName(_asked(buckets, groups, later, ~home, k, low, high).drop("rank")), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    first = W.partitionBy("anchor", "tag").orderBy(F.desc("score"), F.desc("wide"), "id", "uid")
+    return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+
+
+def _asked(buckets: DataFrame, groups: list[float], asks: DataFrame, where: Column, k: int, low: int | None, high: int) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asks.schema) + ", reach int"
-    sent = map_batches(asks, _reach(np.array(groups), low, high), schema).filter("reach > 0").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("reach") - 1)))
-    sent = sent.select("g", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<string>").alias("labels"), "x", "form", "norm", F.lit(None).cast("int").alias("rows"), "uid", F.col("id").alias("own"), "label", "scores", "wides", "tags")
+    sent = map_batches(asks, _reach(np.array(groups), low, high), schema).filter("reach > 0").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("reach") - 1))).filter(where)
+    sent = sent.select("g", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<string>").alias("labels"), "x", "form", "norm", F.lit(None).cast("int").alias("rows"), "uid", F.col("id").alias("own"), "label", "scores", "wides", "tags", "floors")
     held = buckets.select("g", F.lit(0).alias("kind"), "part", "ids", "labels", "x", "form", "norm", "rows")
     both = held.unionByName(sent, allowMissingColumns=True).repartition(max(1, len(groups)), "g")
-    both = both.sortWithinPartitions("g", "kind", F.desc("norm"), "part").select(*[c for c in sent.columns])
-    found = map_batches(both, _pass(k, low, high, ANCHORS), _FOUND)
-    first = W.partitionBy("anchor", "tag").orderBy(F.desc("score"), F.desc("wide"), "id", "uid")
-    return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+    both = both.sortWithinPartitions("g", "kind", F.desc("norm"), "part").select(*sent.columns)
+    return _best(map_batches(both, _pass(k, low, high, ANCHORS), _FOUND), k)
 
 
 def hard_negatives(df: DataFrame, anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -300,19 +329,24 @@ def hard_negatives(df: DataFrame, anchor: Column, positives: int = 5, negatives:
     positive score has no window; fewer rows than asked for are all returned; an
     empty table gives no rows; further columns are left out.
 
-    The driver holds a number for each group of buckets, which is 32 MB of vectors.
+    The driver holds a number for each group of buckets, which is up to 32 MB of vectors.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
+    spark = df.sparkSession
     rows = map_batches(rows, _rows(scale), _ROW)
     # Many norms are equal, so ranges are cut by the id too.
     order = (F.desc("norm"), F.xxhash64("id"))
     packed = map_batches(rows.repartitionByRange(*order).sortWithinPartitions(*order, "id", "label", "x"), _buckets(BUCKET), _BUCKETS)
     packed = materialise(packed)
-    in_part = W.partitionBy(F.shiftright("part", 33)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    light = packed.select("part", "norm", F.octet_length("x").alias("size"))
-    light = light.withColumn("cut", F.struct(F.shiftright("part", 33).alias("p"), F.floor(F.coalesce(F.sum("size").over(in_part), F.lit(0)) / HELD).alias("n")))
-    groups = materialise(light.groupBy("cut").agg(F.max("norm").alias("norm"), F.min("part").alias("start"), F.max("part").alias("stop")))
-    listed = groups.orderBy(F.desc("norm"), "start").select("start", "norm").collect()
+    # Groups are stretches of buckets in the order of their norms: two for each core, or more if a task could not hold them.
+    light = packed.select("part", F.shiftright("part", 33).alias("p"), "norm", F.octet_length("x").cast("long").alias("size"))
+    parts = light.groupBy("p").agg(F.sum("size").alias("size")).orderBy("p").toPandas()
+    target = max(1, min(HELD, int(parts["size"].sum()) // (2 * spark.sparkContext.defaultParallelism)))
+    parts["before"] = parts["size"].cumsum() - parts["size"]
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("p").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    light = light.withColumn("inside", inside).join(spark.createDataFrame(parts[["p", "before"]], "p long, before long"), "p")
+    groups = materialise(light.groupBy(F.floor((F.col("before") + F.col("inside")) / target).alias("cut")).agg(F.max("norm").alias("norm"), F.min("part").alias("start")))
+    listed = groups.orderBy("start").collect()
     place = {r["start"]: g for g, r in enumerate(listed)}
     starts = np.array(sorted(place), np.int64)
     numbers = np.array([place[s] for s in starts.tolist()], np.int32)
@@ -327,7 +361,7 @@ def hard_negatives(df: DataFrame, anchor: Column, positives: int = 5, negatives:
     asks = materialise(map_batches(packed.select("part", "ids", "labels", "x", "form", "norm", "anchors", "rows"), _anchors(positives, ANCHORS), _ASKS))
     liked = materialise(_searched(buckets, norms, asks, positives, None, high).drop("rank", "tag"))
     windows = liked.groupBy("anchor").agg(F.collect_list("score").alias("scores"), F.collect_list("wide").alias("wides"), F.collect_list("uid").alias("tags"))
-    asks2 = asks.drop("scores", "wides", "tags").join(windows, F.col("uid") == F.col("anchor")).drop("anchor")
+    asks2 = asks.drop("scores", "wides", "tags").join(windows, F.col("uid") == F.col("anchor")).drop("anchor").select(*asks.columns)
     found = _searched(buckets, norms, asks2, negatives, low, high)
     pairs = liked.select("anchor", F.col("uid").alias("tag"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     out = found.join(pairs, ["anchor", "tag"]).select("anchor_id", "positive_id", F.col("rank").cast("int"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
