@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, map_batches, materialise
-from .topk import beyond, ranked
+from .topk import beyond, exact, ranked
 
 #: Vectors of a bucket, bytes of the buckets that a task holds at once, anchors that pass them together.
 BUCKET, HELD, ANCHORS = 2048, 32 << 20, 256
@@ -33,11 +33,6 @@ _FOUND = "anchor long, anchor_id long, tag long, id long, uid long, score long,
 _NO_LIMIT = -(10**700)
 
 
-def exact(score: int, wide: str | None) -> int:
-    """The score that ``beyond`` wrote beside its 64 bits."""
-    return score if not wide else int(wide) - (0 if score > 0 else 10**700)
-
-
 def _rows(scale: float):
     """Usable rows: components as whole numbers, with the norm."""
 

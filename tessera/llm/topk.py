@@ -8,18 +8,24 @@ the k-th lower bound proves which candidates can't be among the first k. The res
 the possible members, are scored exactly.
 
 A query carries the k-th score that it has found in earlier blocks, so that a later
-block can be left out as a whole, or after few segments, if it can't reach it.
+block can be left out as a whole, or after few segments, if it can't reach it. Blocks
+are dealt to groups; a first pass asks about the square root of all groups, and the
+k-th score found there is the limit with which the others are asked, or not asked at
+all where the largest norm of a group proves that it can't be reached.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise
+from .common import discard, map_batches, materialise
 
 BLOCK, QUERIES, LEVELS = 4096, 256, 4
 #: Shares of a block's postings after which the bound is looked at.
@@ -60,21 +66,25 @@ class Block:
         return self.x[rows].astype(object) @ q.astype(object)
 
     def search(self, own: int, q: np.ndarray, k: int, least_score: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the first k candidates other than ``own``; ties to the smaller id.
+        """(ids, scores) of the first k candidates other than those with the id ``own``; ties to the smaller id."""
+        rows, scores = self.best_of(self.ids != own, q, k, least_score)
+        return self.ids[rows], scores
+
+    def best_of(self, other: np.ndarray, q: np.ndarray, k: int, least_score: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the first k candidates among those marked; ties to the smaller id.
 
         Candidates that are proven to score below ``least_score`` are left out. The
         accumulators are whole numbers, so the bounds are proofs for components of
         any size; where a sum could leave 64 bits, all candidates are scored.
         """
         n = len(self.ids)
-        other = self.ids != own
         possible = np.flatnonzero(other)
         if self.x.dtype != object and self.x.shape[1] and len(possible) > k and 4 * self.most * sum(map(abs, q.tolist())) < _LONG:
             w = q[self.dim]
             a, b = w * self.low, w * self.high
             least, most = np.minimum(a, b), np.maximum(a, b)
             if least_score is not None and np.maximum.reduceat(most, self.first).sum() < least_score:
-                return self.ids[:0], np.zeros(0, np.int64)
+                return possible[:0], np.zeros(0, np.int64)
             floor = np.minimum.reduceat(least, self.first)[self.dim]
             base = int(floor[self.first].sum())
             order = np.argsort(floor - most, kind="stable")
@@ -98,7 +108,7 @@ class Block:
                     break
         score = self.scores(possible, q)
         best = ranked(self.ids[possible], score)[:k]
-        return self.ids[possible[best]], score[best]
+        return possible[best], score[best]
 
 
 def ranked(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
@@ -113,8 +123,17 @@ def beyond(score: int) -> str:
     return "" if -_LONG <= score < _LONG else f"{score if score > 0 else 10**700 + score:0700d}"
 
 
+def exact(score: int, wide: str | None) -> int:
+    """The score that ``beyond`` wrote beside its 64 bits."""
+    return score if not wide else int(wide) - (0 if score > 0 else 10**700)
+
+
+#: Rows of a block are numbered below this; a block's number is that of its task and its place there.
+_SPAN = 16
+
+
 def _blobs(size: int, scale: float):
-    """Blocks of up to ``size`` usable vectors: ids and components as bytes. Shorter vectors are filled with zeros."""
+    """Blocks of up to ``size`` usable vectors: a number, ids and components as bytes, and the largest norm. Shorter vectors are filled with zeros."""
 
     def packed(ids, vectors):
         dims = max(map(len, vectors), default=0)
@@ -124,10 +143,12 @@ def _blobs(size: int, scale: float):
         # Whole numbers beyond 64 bits stay as they are: a double holds them exactly.
         most = np.abs(x).max(initial=0)
         kind = "<i4" if most < 1 << 31 else "<i8" if most < _LONG else "<f8"
-        return np.array(ids, np.int64).tobytes(), x.astype(kind).tobytes(), dims, kind
+        with np.errstate(over="ignore"):
+            norm = float(np.sqrt((x * x).sum(1)).max(initial=0))
+        return np.array(ids, np.int64).tobytes(), x.astype(kind).tobytes(), dims, kind, norm
 
     def run(batches):
-        ids, vectors, made = [], [], []
+        ids, vectors, made, number = [], [], [], TaskContext.get().partitionId() << 24
         for batch in batches:
             column = batch.column(1)
             for row, vec_id in enumerate(batch.column(0).to_pylist()):
@@ -140,13 +161,14 @@ def _blobs(size: int, scale: float):
                 if len(ids) == size:
                     made.append(packed(ids, vectors))
                     ids, vectors = [], []
-            yield from flush(made)
-            made = []
-        yield from flush([packed(ids, vectors)] if ids else [])
+            yield from flush(number, made)
+            number, made = number + len(made), []
+        yield from flush(number, [packed(ids, vectors)] if ids else [])
 
-    def flush(made):
+    def flush(number, made):
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.int32()), pa.array([m[3] for m in made])], names=["ids", "x", "dims", "form"])
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(made)), pa.int64()), *(pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds))], names=["block", "ids", "x", "dims", "form", "norm"])
 
     return run
 
@@ -157,69 +179,131 @@ def _unpacked(ids: bytes, x: bytes, dims: int, form: str) -> tuple[np.ndarray, n
     return ids, np.array([[int(c) for c in v] for v in x], object).reshape(x.shape) if form == "<f8" else x.astype(np.int64)
 
 
-def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``queries``, the k rows of ``df`` with the largest inner product.
+_BLOB = "block long, ids binary, x binary, dims int, form string, norm double"
+_FLOORS = "map<long, struct<score: long, wide: string>>"
+_FOUND = "query long, query_id long, vec_id long, own boolean, score long, beyond string"
 
-    Components become floor(scale * x) and are never cut, and ranks follow the exact
-    sums; only a returned score that does not fit 64 bits stands at their end. A row
-    does not find its own id. Ties go to the smaller id. Defined cases: null vectors, null ids and vectors
-    with a null or non-finite component, or one that ``scale`` makes so, take no part; a shorter vector counts as
-    filled with zeros; a query with fewer candidates returns them all; rows that
-    repeat an id and score count once; empty tables give no rows.
-
-    Every block of queries meets every block of candidates once: candidate blocks
-    are dealt to groups of about ``HELD`` bytes, a task indexes those of its group,
-    and query blocks are sent to each group, once for all its blocks. Each group
-    sends on k rows for each query, so nothing of the size of all pairs is written.
-    """
-    blob = "ids binary, x binary, dims int, form string"
-    spark = df.sparkSession
-    blocks = materialise(map_batches(df.select(id_col, vector_col), _blobs(BLOCK, scale), blob))
-    size = blocks.agg(F.count("*"), F.sum(F.octet_length("x"))).first()
-    # A group for each core's worth of blocks, or more if a task could not hold them.
-    groups = max(1, min(size[0], max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size[1] or 0) // HELD)))
-    side = blocks.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "ids", "x", "dims", "form")
-    asked = map_batches(queries.select(id_col, vector_col).coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)), _blobs(QUERIES, scale), blob)
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "ids", "x", "dims", "form")
-    # Candidates of a group come before its queries.
-    both = side.unionByName(asked).repartition(groups, "g").sortWithinPartitions("g", "kind")
+
+def _reached(norms: np.ndarray):
+    """The groups, by their largest norms, that some query of a block could have its first k changed by."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for ids, x, dims, form, floors in zip(*(batch.column(n).to_pylist() for n in ("ids", "x", "dims", "form", "floors")), strict=True):
+                q = np.frombuffer(x, form).reshape(len(ids) // 8, dims).astype(np.float64)
+                limits = np.full(len(q), -np.inf)
+                for row, f in floors or ():
+                    limits[row] = float(max(-(10**300), min(10**300, exact(f["score"], f["wide"]))))
+                # Rounding is far below the slack; norms beyond doubles reach everything.
+                with np.errstate(over="ignore", invalid="ignore"):
+                    bound = np.nan_to_num(np.sqrt((q * q).sum(1))[:, None] * norms[None] * (1 + 1e-12) + 1e-6, nan=np.inf)
+                out.append(np.flatnonzero((bound >= limits[:, None]).any(0)).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "reach"])
+
+    return run
+
+
+def _pass(k: int, together: int):
+    """The task of a group: its blocks come first and are indexed, then the blocks of queries pass them."""
 
     def run(batches):
         now, held, seen = None, [], []
         for batch in batches:
-            for row in range(batch.num_rows):
-                g, kind, *cells = (c[row].as_py() for c in batch.columns)
+            for g, kind, block, ids, x, dims, form, floors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != now:
                     now, held = g, []
                 if kind == 0:
-                    held.append(Block(*_unpacked(*cells)))
+                    held.append(Block(*_unpacked(ids, x, dims, form)))
                     continue
-                q_ids, q = _unpacked(*cells)
-                for own, v in zip(q_ids.tolist(), q, strict=True):
-                    ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                q_ids, q = _unpacked(ids, x, dims, form)
+                limits = {row: exact(f["score"], f["wide"]) for row, f in floors or ()}
+                for row, (own, v) in enumerate(zip(q_ids.tolist(), q, strict=True)):
+                    found, mine, scores, limit = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), limits.get(row)
                     for index in held:
                         dims = index.x.shape[1]
                         v_fit = v[:dims] if len(v) >= dims else np.append(v, np.zeros(dims - len(v), np.int64))
-                        found = index.search(own, v_fit, k, int(scores[-1]) if len(ids) >= k else None)
-                        ids, scores = np.append(ids, found[0]), np.append(scores, found[1])
-                        best = ranked(ids, scores)
-                        # Rows that repeat an id and score count once.
-                        fresh = np.append(True, (ids[best][1:] != ids[best][:-1]) | (scores[best][1:] != scores[best][:-1])) if len(best) else np.zeros(0, bool)
-                        ids, scores = ids[best][fresh][:k], scores[best][fresh][:k]
-                    seen.append((np.full(len(ids), own), ids, scores))
-                if len(seen) >= QUERIES:
+                        rows, new = index.best_of(np.ones(len(index.ids), bool), v_fit, k, limit)
+                        same = (index.ids[rows] == own) & (index.x[rows] == v_fit).all(1) & (not v[dims:].any())
+                        found, mine, scores = np.append(found, index.ids[rows]), np.append(mine, same), np.append(scores, new)
+                        best = ranked(found, scores)[:k]
+                        found, mine, scores = found[best], mine[best], scores[best]
+                        if len(best) == k:
+                            limit = max(int(scores[-1]), limit) if limit is not None else int(scores[-1])
+                    if limits.get(row) is not None:
+                        fits = np.array([s >= limits[row] for s in scores.tolist()], bool)
+                        found, mine, scores = found[fits], mine[fits], scores[fits]
+                    seen.append(((block << _SPAN) + row, own, found, mine, scores))
+                if len(seen) >= together:
                     yield flat(seen)
                     seen = []
         if seen:
             yield flat(seen)
 
     def flat(seen):
-        ids, found = (np.concatenate([s[j] for s in seen]) for j in range(2))
-        scores = [int(x) for s in seen for x in s[2]]
+        sizes = [len(s[2]) for s in seen]
+        column = lambda k: [x for s in seen for x in s[k].tolist()]
+        scores = [int(x) for x in column(4)]
         clipped = [min(max(x, -_LONG), _LONG - 1) for x in scores]
-        return pa.RecordBatch.from_arrays([pa.array(ids.tolist(), pa.int64()), pa.array(found.tolist(), pa.int64()), pa.array(clipped, pa.int64()), pa.array(map(beyond, scores), pa.string())], names=["query_id", "vec_id", "score", "beyond"])
+        cells = (np.repeat([s[0] for s in seen], sizes), np.repeat([s[1] for s in seen], sizes), column(2), column(3), clipped, list(map(beyond, scores)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["query", "query_id", "vec_id", "own", "score", "beyond"])
+
+    return run
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``queries``, the k rows of ``df`` with the largest inner product.
+
+    Components become floor(scale * x) and are never cut, and ranks follow the exact
+    sums; only a returned score that does not fit 64 bits stands at their end. Every
+    row is a candidate but the query's own: one row with its id and vector is left
+    out. Ties go to the smaller id. Defined cases: null vectors, null ids and vectors
+    with a null or non-finite component, or one that ``scale`` makes so, take no part; a
+    shorter vector counts as filled with zeros; a query with fewer candidates returns
+    them all; repeated rows are candidates of their own, and repeated queries are
+    answered each; empty tables give no rows.
+
+    Candidate blocks are dealt to groups of up to about ``HELD`` bytes, and a task
+    indexes those of its group. Each group sends on no more than k + 1 rows for each
+    query that is sent to it, and of all but the root of the groups those alone that
+    reach the limit found there. The driver sees a number for each group.
+    """
+    spark = df.sparkSession
+    blocks = materialise(map_batches(df.select(id_col, vector_col), _blobs(BLOCK, scale), _BLOB))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = blocks.agg(F.count("*"), F.sum(F.octet_length("x"))).first()
+    # A group for each core's worth of blocks, or more if a task could not hold them.
+    groups = max(1, min(size[0], max(partitions, (size[1] or 0) // HELD)))
+    held = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    norms = np.zeros(groups)
+    for r in held.groupBy("g").agg(F.max("norm").alias("norm")).collect():
+        norms[r["g"]] = r["norm"]
+    asked = materialise(map_batches(queries.select(id_col, vector_col).coalesce(max(1, partitions // 4)), _blobs(QUERIES, scale), _BLOB))
+    stride = math.isqrt(groups - 1) + 1
+    home = F.pmod(F.col("g"), F.lit(stride)) == F.pmod(F.xxhash64("block"), F.lit(stride))
+
+    def passed(asks: DataFrame, where: Column) -> DataFrame:
+        sent = map_batches(asks, _reached(norms), f"{_BLOB}, floors {_FLOORS}, reach array<int>").withColumn("g", F.explode("reach")).filter(where)
+        columns = ("g", "kind", "block", "ids", "x", "dims", "form", "floors")
+        both = held.withColumns({"kind": F.lit(0), "floors": F.lit(None).cast(_FLOORS)}).select(*columns).unionByName(sent.withColumn("kind", F.lit(1)).select(*columns))
+        # Candidates of a group come before its queries.
+        both = both.repartition(groups, "g").sortWithinPartitions("g", "kind", "block")
+        return _best(map_batches(both, _pass(k + 1, QUERIES), _FOUND), k + 1)
 
-    found = map_batches(both, run, "query_id long, vec_id long, score long, beyond string")
-    first = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
-    found = found.withColumn("tied", F.dense_rank().over(first)).filter(F.col("tied") <= k).distinct()
-    return found.select("query_id", F.col("tied").cast("int").alias("rank"), "vec_id", "score")
+    first = materialise(passed(asked.withColumn("floors", F.lit(None).cast(_FLOORS)), home))
+    limit = F.struct(F.col("query").bitwiseAND((1 << _SPAN) - 1), F.struct("score", F.col("beyond").alias("wide")))
+    floors = first.filter(F.col("rank") == k + 1).groupBy(F.shiftright("query", _SPAN).alias("of")).agg(F.map_from_entries(F.collect_list(limit)).alias("floors"))
+    later = passed(asked.join(floors, F.col("block") == F.col("of"), "left").drop("of"), ~home)
+    found = first.drop("rank").unionByName(later.drop("rank"))
+    # The query's own row is one of those with its id and vector, which rank alike.
+    own = F.row_number().over(W.partitionBy("query", "own").orderBy("vec_id"))
+    out = _best(found.withColumn("copy", own).filter("not (own and copy = 1)"), k)
+    out = materialise(out.select("query_id", F.col("rank").cast("int"), "vec_id", "score"))
+    discard(blocks, asked, first)
+    return out

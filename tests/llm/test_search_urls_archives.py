@@ -8,11 +8,14 @@ import os
 import random
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import topk, url_filter, warc
+from tessera.llm.queries import ORACLE_SQL
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -84,6 +87,20 @@ def test_groups_of_blocks_carry_the_score_on(spark, held, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+@pytest.mark.parametrize("block", [topk.BLOCK, 5])
+def test_repeated_rows_equal_their_sql(spark, block, monkeypatch):
+    """Candidates and queries that repeat an id, with one vector or several, are rows of their own; a query leaves out nothing but itself."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(c) for c in rng.normal(size=4)], 0) for k in range(60)]
+    rows += [rows[5]] * 3 + [rows[0]] * 2 + [(0, rows[7][1], 0), (100, rows[0][1], 0), (100, rows[0][1], 0), (200, rows[5][1], 0)]
+    table = pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})
+    con = duckdb.connect()
+    con.register("embeddings", table)
+    want = con.execute(ORACLE_SQL["op3_topk"]).fetchall()
+    assert search(spark, rows, 100) == sorted(want) and len(want) == 70
+
+
 def test_the_index_prunes_by_proof():
     """On skewed impacts most candidates are left out before the exact scores."""
     rng = np.random.default_rng(1)
