@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .adapters import DAY
-from .config import entities_of
+from .config import DataConfig, FeatureConfig, LayerConfig, PipelineConfig, entities_of
 from .functions.scalars import boolean, phone, slug, strip, trim_all
 from .graph.loader import GraphLoader, build
 from .operators.integrity import judge, keep_first, quarantined
 from .operators.validation import validate
 from .plans.bronze import BronzeIngester
 from .plans.gold import GoldProcessor
-from .plans.pipeline import summary
+from .plans.pipeline import run_pipeline, summary
 from .plans.silver import SilverProcessor
-from .queries import _FIELD, _KIND, ORACLE_SQL, _products_raw, query
+from .queries import _FIELD, _KIND, ORACLE_SQL, _products_raw, _with_json, query
 from .report import overall_pass_rate
 from .sources.reader import read_csv, read_json, read_json_lines, read_parquet
 from .sources.sinks import export_csv, scratch, write_json_array, write_table
@@ -315,6 +315,48 @@ def gold_invoice_table(a):
 ORACLE_SQL |= {"gold_customer_table": ORACLE_SQL["customer_features"], "gold_invoice_table": ORACLE_SQL["invoice_features"]}
 
 
+_RUN = (
+    SourceSpec("vendors", "vendors", "jsonl", "vendor"),
+    SourceSpec("products", "products", "csv", "product"),
+    SourceSpec("customers", "customers", "json", "customer"),
+    SourceSpec("transactions", "transactions", "parquet", "transaction"),
+    SourceSpec("invoices", "invoices", "csv", "invoice"),
+    SourceSpec("reviews", "reviews", "jsonl", "review"),
+)
+_RUN_VIEWS = {
+    "sound": "SELECT * FROM products WHERE vendor_id IS NOT NULL",
+    "bought": "SELECT DISTINCT transaction_id FROM transactions WHERE product_id IN (SELECT product_id FROM sound)",
+    "billed": "SELECT * FROM invoices WHERE vendor_id IS NOT NULL",
+    "told": "SELECT * FROM reviews WHERE product_id IN (SELECT product_id FROM sound) AND customer_id IN (SELECT customer_id FROM customers)",
+    "items": "SELECT * FROM invoice_line_items WHERE invoice_id IN (SELECT invoice_id FROM billed)",
+}
+
+
+@query(
+    """SELECT 'bronze' AS layer, 'sources' AS what, 6 AS n UNION ALL SELECT 'bronze', 'rows', (SELECT COUNT(*) FROM vendors) + (SELECT COUNT(*) FROM products) + (SELECT COUNT(*) FROM customers) + (SELECT COUNT(*) FROM transactions) + (SELECT COUNT(*) FROM invoices) + (SELECT COUNT(*) FROM reviews)
+    UNION ALL SELECT 'silver', 'valid', (SELECT COUNT(*) FROM vendors) + (SELECT COUNT(*) FROM sound) + (SELECT COUNT(*) FROM customers) + (SELECT COUNT(*) FROM bought) + (SELECT COUNT(*) FROM billed) + (SELECT COUNT(*) FROM told) + (SELECT COUNT(*) FROM items)
+    UNION ALL SELECT 'silver', 'duplicates_removed', (SELECT COUNT(*) - COUNT(DISTINCT transaction_id) FROM transactions)
+    UNION ALL SELECT 'gold', 'tables', 4 UNION ALL SELECT 'gold', 'features', 69
+    UNION ALL SELECT 'graph', 'nodes', (SELECT COUNT(*) FROM vendors) + (SELECT COUNT(*) FROM sound) + (SELECT COUNT(*) FROM customers) + (SELECT COUNT(*) FROM billed) + (SELECT COUNT(DISTINCT category) FROM sound) + (SELECT COUNT(DISTINCT region) FROM vendors)""",
+    _RUN_VIEWS,
+)
+def whole_run(a):
+    """All layers, from source files of four formats to the graph."""
+    top = scratch(a.spark)
+    text = lambda df: df.withColumns({n: F.col(n).cast("string") for n, t in df.dtypes if t == "date"})
+    text(a.vendors).write.json(f"{top}/in/vendors")
+    export_csv(text(a.products), f"{top}/in/products")
+    number = F.substring("customer_id", 5, 20).cast("bigint")
+    write_json_array(text(a.customers).withColumn("row_index", number), f"{top}/in/customers")
+    text(a.transactions).write.parquet(f"{top}/in/transactions")
+    export_csv(text(a.invoices.join(_with_json(a), "invoice_id", "left")), f"{top}/in/invoices")
+    text(a.reviews).write.json(f"{top}/in/reviews")
+    config = PipelineConfig(data=DataConfig(f"{top}/in", f"{top}/out"), feature_engineering=FeatureConfig(DAY), layers=LayerConfig(export_csv=False))
+    totals = summary(run_pipeline(a.spark, config, sources=_RUN))
+    rows = [(layer, what, n) for layer, found in totals.items() for what, n in found.items() if what not in ("quarantined", "orphaned", "edges", "errors")]
+    return a.spark.createDataFrame(rows, "layer string, what string, n long")
+
+
 # --- graph loads ---------------------------------------------------------------------
 
 _LINE_NAME, _LINE_PLACE = "l_orderkey || '-' || l_linenumber", "l_orderkey * 10 + l_linenumber"

@@ -60,6 +60,16 @@ def write_json_array(df: DataFrame, path: str, order: str = "row_index") -> None
     files.delete(hadoop.Path(folder), True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in whichever file system the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
