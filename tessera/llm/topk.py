@@ -293,7 +293,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0,
         columns = ("g", "kind", "block", "ids", "x", "dims", "form", "floors")
         both = held.withColumns({"kind": F.lit(0), "floors": F.lit(None).cast(_FLOORS)}).select(*columns).unionByName(sent.withColumn("kind", F.lit(1)).select(*columns))
         # Candidates of a group come before its queries.
-        both = both.repartition(groups, "g").sortWithinPartitions("g", "kind", "block")
+        both = both.repartitionById(groups, "g").sortWithinPartitions("g", "kind", "block")
         return _best(map_batches(both, _pass(k + 1, QUERIES), _FOUND), k + 1)
 
     first = materialise(passed(asked.withColumn("floors", F.lit(None).cast(_FLOORS)), home))
