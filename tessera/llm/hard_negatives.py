@@ -303,7 +303,7 @@ def _asked(buckets: DataFrame, groups: list[float], asks: DataFrame, where: Colu
     sent = map_batches(asks, _reach(np.array(groups), low, high), schema).filter("reach > 0").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("reach") - 1))).filter(where)
     sent = sent.select("g", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("array<string>").alias("labels"), "x", "form", "norm", F.lit(None).cast("int").alias("rows"), "uid", F.col("id").alias("own"), "label", "scores", "wides", "tags", "floors")
     held = buckets.select("g", F.lit(0).alias("kind"), "part", "ids", "labels", "x", "form", "norm", "rows")
-    both = held.unionByName(sent, allowMissingColumns=True).repartition(max(1, len(groups)), "g")
+    both = held.unionByName(sent, allowMissingColumns=True).repartitionById(max(1, len(groups)), "g")
     both = both.sortWithinPartitions("g", "kind", F.desc("norm"), "part").select(*sent.columns)
     return _best(map_batches(both, _pass(k, low, high, ANCHORS), _FOUND), k)
 
