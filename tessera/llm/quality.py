@@ -122,12 +122,13 @@ MORE_RULES = (
 )
 
 
-def order(df: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample: int = 1000) -> list[Rule]:
+def order(df: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample: int = 1000, show: tuple[str, ...] = (), base: tuple[Rule, ...] = ()) -> list[Rule]:
     """The rules by rejected share per second, measured on about ``sample`` rows drawn by their place; ties by name.
 
-    The sample steers cost only; copies of one text are drawn one by one. Each rule
-    is timed with features of its own, as if it ran first. An empty table gives the
-    rules by name.
+    The sample steers cost only; copies of one text are drawn one by one. Each rule is
+    timed as the cascade would run it first: on rows that no rule of ``base`` rejects,
+    and with the features of ``show`` and of the base rules there already, so that a
+    rule which needs nothing more is nearly free. An empty table gives the rules by name.
     """
     total = df.count()
     share = min(1.0, sample / max(1, total))
@@ -137,9 +138,16 @@ def order(df: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample
         spent, rejected = [0.0] * len(rules), [0] * len(rules)
         for batch in batches:
             for text in batch.column(0).to_pylist():
+                known = Features(text)
+                for c in show:
+                    getattr(known, c)
+                if any([r.fails(known) for r in base]):
+                    continue
                 for k, rule in enumerate(rules):
+                    own = Features(text)
+                    vars(own).update(vars(known))
                     began = time.perf_counter()
-                    rejected[k] += bool(rule.fails(Features(text)))
+                    rejected[k] += bool(rule.fails(own))
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "spent": spent, "rejected": rejected})
 

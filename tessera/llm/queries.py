@@ -74,7 +74,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     show = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return cascade(documents, order(documents, MORE_RULES), show=show, base=BASE_RULES)
+    return cascade(documents, order(documents, MORE_RULES, show=show, base=BASE_RULES), show=show, base=BASE_RULES)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,6 +321,17 @@ def test_quality_figures_and_cascade(spark):
     assert quality.cascade(df.limit(0), quality.order(df.limit(0), quality.MORE_RULES)).count() == 0
 
 
+def test_nearly_free_rules_come_first(spark):
+    """Two rules reject the same rows, one by figures that are shown anyway; rows that a base rule rejects count for neither."""
+    rng = random.Random(9)
+    texts = [" ".join(str(rng.randrange(100)) for _ in range(300)) for _ in range(80)] + ["# " * 20] * 200
+    show = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rules = tuple(r for r in quality.MORE_RULES if r.name in ("bare_words", "short_words", "symbols"))
+    found = quality.order(table(spark, texts), rules, show=show, base=quality.BASE_RULES)
+    assert [r.name for r in found] == ["short_words", "bare_words", "symbols"]
+    assert quality.order(table(spark, texts), rules)[0].name == "symbols"
+
+
 def brute_more(text):
     """Whether a rule beyond the base rejects, from regular expressions over the whole text."""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
