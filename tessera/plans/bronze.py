@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import side_by_side
 from ..sources.reader import read_source, with_lineage
 from ..sources.sinks import export_csv, write_table
 from ..specs import SOURCES, SourceSpec
@@ -25,14 +27,16 @@ class BronzeIngester:
 
     def ingest_all(self) -> dict[str, dict]:
         """A result for each source; one that fails does not stop the others."""
-        now, results = dt.datetime.now(), {}
-        for spec in self.sources:
+        now = dt.datetime.now()
+
+        def one(spec: SourceSpec) -> dict:
             try:
                 df = write_table(self.ingest(spec, now), f"{self.output_dir}/{spec.name}")
                 if self.csv:
                     export_csv(df, f"{self.output_dir}_csv/{spec.name}")
-                results[spec.name] = {"success": True, "row_count": df.count(), "source_file": spec.file, "format": spec.format, "columns": [c for c in df.columns if c != "_row_id"]}
+                return {"success": True, "row_count": df.count(), "source_file": spec.file, "format": spec.format, "columns": [c for c in df.columns if c != "_row_id"]}
             except Exception as e:
                 log.warning("%s: %s", spec.name, e)
-                results[spec.name] = {"success": False, "error": str(e), "source_file": spec.file, "format": spec.format}
-        return results
+                return {"success": False, "error": str(e), "source_file": spec.file, "format": spec.format}
+
+        return side_by_side(self.spark, {spec.name: partial(one, spec) for spec in self.sources})

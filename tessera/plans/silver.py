@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import SilverCleaner
 from ..operators.integrity import judge, judge_line_items, keep_first, line_items, quarantined, valid
 from ..operators.validation import histogram
+from ..session import side_by_side
 from ..sources.reader import ROW, exists
 from ..sources.sinks import export_csv, write_json_array, write_quarantine, write_table
-from ..specs import ENTITIES, SOURCES, EntitySpec, SourceSpec, in_order
+from ..specs import ENTITIES, SOURCES, EntitySpec, SourceSpec, levels
 
 log = logging.getLogger(__name__)
 
@@ -41,7 +43,7 @@ class ProcessingResult:
 class SilverProcessor:
     """Reads the Bronze tables and writes ``silver`` and ``quarantine`` tables.
 
-    Sources run in the order of their references. A check against an entity that
+    Sources run in the order of their references, those that don't wait for each other side by side. A check against an entity that
     has no valid rows, or that is not among the sources, is left out. The output
     of each source is written once and read back by what follows, so that no
     lineage is computed twice.
@@ -57,7 +59,9 @@ class SilverProcessor:
         self.keys: dict[str, DataFrame] = {}
 
     def process_all(self) -> dict[str, ProcessingResult]:
-        results = {s.name: self.process(s) for s in in_order(self.sources, self.entities)}
+        results: dict[str, ProcessingResult] = {}
+        for level in levels(self.sources, self.entities):
+            results |= side_by_side(self.spark, {s.name: partial(self.process, s) for s in level})
         if (found := self.process_line_items()) is not None:
             results["invoice_line_items"] = found
         return results

@@ -245,3 +245,14 @@ def in_order(sources: tuple[SourceSpec, ...], entities: dict[str, EntitySpec] =
         done.add(free[0].schema)
         left.remove(free[0])
     return out
+
+
+def levels(sources: tuple[SourceSpec, ...], entities: dict[str, EntitySpec] = ENTITIES) -> list[list[SourceSpec]]:
+    """The same order, cut where a source refers to the entity of one before it."""
+    out: list[list[SourceSpec]] = []
+    for s in in_order(sources, entities):
+        parents = set(entities[s.schema].foreign.values()) if s.schema in entities else set()
+        if not out or any(t.schema in parents for t in out[-1]):
+            out.append([])
+        out[-1].append(s)
+    return out
