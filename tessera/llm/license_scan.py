@@ -4,11 +4,12 @@ All DataFrame functions. Tokens of the templates are put in one global order, th
 rarest in the corpus first. A block that holds a template to the threshold shares a
 token of the template's prefix in that order, has enough tokens, and leaves room
 for the rest behind the shared token in both lists; what passes these filters is
-counted exactly. Blocks are windows of twice a stride, one every stride of words,
-and a stride has the words of the longest template, so that a passage as long as any
-template lies whole in one of them. The template
-side is a short fixed list, so its index is part of the plan and the texts are not
-shuffled.
+counted exactly. A block is any window of twice a stride of words, wherever it starts,
+and a stride has the words of the longest template. Windows that start in the same
+stride lie in one stretch of three, which is filtered and counted first; only where a
+stretch holds enough tokens are its windows counted, one for each place of a token of
+the template. The template side is a short fixed list, so its index is part of the
+plan and the texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def scan(df: DataFrame, text_col: str = "text", phrases=PHRASES, templates=TEMPL
 
     base_labels: of the phrases whose words stand one after another; labels: those
     and the templates held to ``threshold`` by a block, both distinct, sorted and
-    comma-joined (empty if none). score: 1 with a base label, else the largest
+    comma-joined (empty if none); where in the text a passage starts makes no difference. score: 1 with a base label, else the largest
     containment that reached the threshold, else 0. Templates may have any length.
     Defined cases: a null text is empty: no words, no places, no labels; texts count
     whole; each row is judged by itself, so repeated rows and ids give repeated
@@ -120,22 +121,34 @@ def scan(df: DataFrame, text_col: str = "text", phrases=PHRASES, templates=TEMPL
     )
     x = x.withColumn(some_words, F.when(F.exists(all_words, lambda w: w.isin(prefixes)), F.col(all_words)).otherwise(F.array().cast("array<string>"))).drop(all_words)
     spots = F.filter(F.transform(some_words, lambda w, i: F.when(w.isin(prefixes), i)), lambda i: i.isNotNull())
-    blocks = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.array(F.floor(i / stride), F.greatest(F.floor(i / stride) - 1, F.lit(0))))))
-    ordered = lambda b: F.array_intersect(_strings(ranks), F.slice(some_words, (b * stride + 1).cast("int"), F.lit(2 * stride)))
-    x = x.select(*rest, "n_words", *[_places(F.col(base_words), p).alias(name) for name, p in zip(place_names, phrases, strict=True)], F.transform(blocks, ordered).alias(found))
+    # A window that holds a place starts in its stride or in one of the two before.
+    blocks = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(F.array(*map(F.lit, range(3))), lambda k: F.greatest((F.floor(i / stride) - k).cast("int"), F.lit(0))))))
+    stretch = lambda b: F.slice(some_words, b * stride + 1, F.lit(3 * stride))
+    ordered = lambda b: F.struct(b.alias("b"), F.array_intersect(_strings(ranks), stretch(b)).alias("tokens"))
+    x = x.select(*rest, "n_words", some_words, *[_places(F.col(base_words), p).alias(name) for name, p in zip(place_names, phrases, strict=True)], F.transform(blocks, ordered).alias(found))
 
-    def overlap_with(tokens: list[str], need: int, prefix: list[str]):
-        def overlap(b: Column) -> Column:
-            shared = F.try_element_at(F.array_intersect(_strings(prefix), b), F.lit(1))
-            room = F.least(len(tokens) - F.array_position(_strings(tokens), shared), F.size(b) - F.array_position(b, shared)) + 1
-            passes = (F.size(b) >= need) & shared.isNotNull() & (room >= need)
-            return F.when(passes, F.size(F.array_intersect(_strings(tokens), b))).otherwise(0)
+    def may_hold(tokens: list[str], need: int, prefix: list[str]):
+        def passes(block: Column) -> Column:
+            t = block["tokens"]
+            shared = F.try_element_at(F.array_intersect(_strings(prefix), t), F.lit(1))
+            room = F.least(len(tokens) - F.array_position(_strings(tokens), shared), F.size(t) - F.array_position(t, shared)) + 1
+            return (F.size(t) >= need) & shared.isNotNull() & (room >= need) & (F.size(F.array_intersect(_strings(tokens), t)) >= need)
 
-        return overlap
+        return passes
+
+    def most_within(tokens: list[str]):
+        """The most tokens that a window which starts in the block's first stride holds."""
+
+        def most(block: Column) -> Column:
+            first = block["b"] * stride
+            starts = F.filter(F.sequence(first, F.least(first + stride, F.size(some_words)) - 1), lambda i: F.array_contains(_strings(tokens), F.col(some_words)[i]))
+            return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(_strings(tokens), F.slice(some_words, i + 1, F.lit(2 * stride))))))
+
+        return most
 
     shares = []
     for label, tokens, need, prefix in held:
-        most = F.coalesce(F.array_max(F.transform(found, overlap_with(tokens, need, prefix))), F.lit(0))
+        most = F.coalesce(F.array_max(F.transform(F.filter(found, may_hold(tokens, need, prefix)), most_within(tokens))), F.lit(0))
         shares.append((label, F.when(most >= need, most / float(len(tokens))).otherwise(0.0)))
     x = x.withColumns({name: share for name, (_, share) in zip(share_names, shares, strict=True)})
 

@@ -148,9 +148,8 @@ base AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, string_
 templates (k, label, words) AS (VALUES {templates}),
 tokens AS (SELECT DISTINCT k, label, unnest(string_split(words, ' ')) AS t FROM templates),
 sizes AS (SELECT k, label, count(*) AS n FROM tokens GROUP BY k, label),
-placed AS (SELECT doc_id, lw[i] AS t, (i - 1) // {stride_of()} AS b FROM (SELECT doc_id, lw, unnest(range(1, len(lw) + 1)) AS i FROM d)),
-blocks AS (SELECT doc_id, b, t FROM placed UNION SELECT doc_id, b - 1, t FROM placed WHERE b > 0),
-held AS (SELECT doc_id, b, k, count(*) AS n FROM blocks JOIN tokens USING (t) GROUP BY doc_id, b, k),
+placed AS (SELECT doc_id, k, i, t FROM (SELECT doc_id, lw[i] AS t, i FROM (SELECT doc_id, lw, unnest(range(1, len(lw) + 1)) AS i FROM d)) JOIN tokens USING (t)),
+held AS (SELECT a.doc_id, a.i, a.k, count(DISTINCT b.t) AS n FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i BETWEEN a.i AND a.i + {2 * stride_of() - 1} GROUP BY a.doc_id, a.i, a.k),
 passed AS (SELECT doc_id, label, held.n / sizes.n AS share FROM held JOIN sizes USING (k) WHERE held.n >= ceil({THRESHOLD} * sizes.n - 1e-9)),
 both_ AS (
     SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
