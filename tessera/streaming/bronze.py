@@ -1,4 +1,4 @@
-"""Bronze as a stream: new files of a folder, once each, with the same columns as the batch layer."""
+"""Bronze as a stream: new files of a folder, once each, with lineage. Records have the columns of the given schema, not flattened, and no place: a stream has no last file."""
 
 from __future__ import annotations
 
