@@ -16,7 +16,7 @@ from ..session import side_by_side
 from ..sources.places import ROW
 from ..sources.reader import exists
 from ..sources.sinks import scratch, write_table
-from .schema import EDGES, NODES, get_schema_statements, properties, required
+from .schema import EDGES, NODES, get_schema_statements, required
 
 log = logging.getLogger(__name__)
 
@@ -39,9 +39,9 @@ def _cell(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def _props(df: DataFrame, ddl: str, source: dict[str, str] | None = None) -> list[Column]:
+def _props(df: DataFrame, properties: tuple[tuple[str, str, bool], ...], source: dict[str, str] | None = None) -> list[Column]:
     out = []
-    for name, kind, needed in properties(ddl):
+    for name, kind, needed in properties:
         c = _cell(df, (source or {}).get(name, name))
         out.append((F.coalesce(c.cast("string"), F.lit("")) if needed and kind == "string" else _SAFE[kind](c)).alias(name))
     return out
@@ -97,15 +97,15 @@ def agents(tickets: DataFrame | None, calls: DataFrame | None) -> DataFrame:
 
 def counted_edges(df: DataFrame, table: str, src: str, dst: str | Column, source: dict[str, str] | None = None) -> DataFrame:
     """(src, dst, properties, _rows): what the schema calls unique once, with its first row and the number of its rows; rows without both ends are left out."""
-    _, _, ddl, unique = EDGES[table]
+    _, _, properties, unique = EDGES[table]
     end = safe_str(F.col(dst)) if isinstance(dst, str) else dst
-    x = df.select(safe_str(F.col(src)).alias("src"), end.alias("dst"), *_props(df, ddl, source), *_place(df)).filter("src is not null and dst is not null")
+    x = df.select(safe_str(F.col(src)).alias("src"), end.alias("dst"), *_props(df, properties, source), *_place(df)).filter("src is not null and dst is not null")
     if table in _KEYED:
         x = x.filter(F.col(_KEYED[table]).isNotNull())
     columns = [c for c in x.columns if c != ROW]
     if not unique:
         return x.select(*columns, F.lit(1).cast("long").alias(COUNT))
-    keys = unique.split(",")
+    keys = list(unique)
     rest = [c for c in columns if c not in keys]
     if not rest:
         return x.groupBy(*keys).agg(F.count("*").alias(COUNT)).select(*columns, COUNT)
@@ -260,7 +260,7 @@ def sizes(silver: Mapping[str, DataFrame]) -> DataFrame:
         if table in _KEYED:
             keyed = F.nullif(safe_str(F.col(_KEYED[table])), F.lit("")).isNotNull()
         # A distinct pair counts if neither end is null.
-        count = F.countDistinct(start, end) if unique == "src,dst" else F.countDistinct(F.when(both, safe_str(F.col(unique)))) if unique else F.count_if(both & keyed)
+        count = F.countDistinct(start, end) if unique == ("src", "dst") else F.countDistinct(F.when(both, safe_str(F.col(unique[0])))) if unique else F.count_if(both & keyed)
         wanted.setdefault(name, []).append(("edge", table, count))
     out = []
     for name, counts in wanted.items():

@@ -48,14 +48,14 @@ class SourceSpec:
     multiline: bool = True
 
 
-def _text(names: str, **more) -> list[FieldSpec]:
-    return [FieldSpec(n, **more) for n in names.split()]
+def _text(names: tuple[str, ...], **more) -> list[FieldSpec]:
+    return [FieldSpec(n, **more) for n in names]
 
 
-def _entity(name: str, key: str, order: str, groups: list[list[FieldSpec]], foreign: dict[str, str] | None = None) -> EntitySpec:
+def _entity(name: str, key: str, order: tuple[str, ...], groups: list[list[FieldSpec]], foreign: dict[str, str] | None = None) -> EntitySpec:
     """Fields in the order given; a field that no group describes is a plain string."""
     known = {f.name: f for group in groups for f in group}
-    return EntitySpec(name, key, tuple(known.get(n, FieldSpec(n)) for n in order.split()), foreign or {})
+    return EntitySpec(name, key, tuple(known.get(n, FieldSpec(n)) for n in order), foreign or {})
 
 
 _bool = {"type": "boolean", "clean": "boolean_normalize"}
@@ -70,143 +70,183 @@ ENTITIES = {
         _entity(
             "customer",
             "customer_id",
-            "customer_id full_name first_name last_name email phone gender age date_of_birth address_street address_city address_state address_postal_code address_country segment total_spend registration_date last_purchase_date is_active email_verified phone_verified preferences_newsletter preferences_sms_notifications preferences_preferred_language preferences_preferred_currency metadata_source total_orders average_order_value metadata_created_at metadata_updated_at",
+            (
+                "customer_id", "full_name", "first_name", "last_name", "email", "phone", "gender", "age",
+                "date_of_birth", "address_street", "address_city", "address_state", "address_postal_code",
+                "address_country", "segment", "total_spend", "registration_date", "last_purchase_date", "is_active",
+                "email_verified", "phone_verified", "preferences_newsletter", "preferences_sms_notifications",
+                "preferences_preferred_language", "preferences_preferred_currency", "metadata_source",
+                "total_orders", "average_order_value", "metadata_created_at", "metadata_updated_at",
+            ),
             [
-                _text("customer_id", required=True, pattern=r"CUS-\d+"),
-                _text("full_name", required=True),
-                _text("email", clean="lowercase", transform="email"),
-                _text("phone", clean="phone_normalize"),
-                _text("gender preferences_preferred_language", **_lower),
-                _text("preferences_preferred_currency", **_upper),
-                _text("age", **_int),
-                _text("date_of_birth metadata_created_at metadata_updated_at", **_date),
-                _text("registration_date last_purchase_date", transform="not_future", **_date),
-                _text("total_spend", **_float),
-                _text("total_orders", lo=0, **_int),
-                _text("average_order_value", lo=0, **_float),
-                _text("is_active email_verified phone_verified preferences_newsletter preferences_sms_notifications", **_bool),
+                _text(("customer_id",), required=True, pattern=r"CUS-\d+"),
+                _text(("full_name",), required=True),
+                _text(("email",), clean="lowercase", transform="email"),
+                _text(("phone",), clean="phone_normalize"),
+                _text(("gender", "preferences_preferred_language"), **_lower),
+                _text(("preferences_preferred_currency",), **_upper),
+                _text(("age",), **_int),
+                _text(("date_of_birth", "metadata_created_at", "metadata_updated_at"), **_date),
+                _text(("registration_date", "last_purchase_date"), transform="not_future", **_date),
+                _text(("total_spend",), **_float),
+                _text(("total_orders",), lo=0, **_int),
+                _text(("average_order_value",), lo=0, **_float),
+                _text(("is_active", "email_verified", "phone_verified", "preferences_newsletter", "preferences_sms_notifications"), **_bool),
             ],
         ),
         _entity(
             "product",
             "product_id",
-            "product_id vendor_id sku product_name description category subcategory currency price cost stock_quantity reorder_level weight_kg rating review_count is_active tags created_date last_updated",
+            (
+                "product_id", "vendor_id", "sku", "product_name", "description", "category", "subcategory",
+                "currency", "price", "cost", "stock_quantity", "reorder_level", "weight_kg", "rating",
+                "review_count", "is_active", "tags", "created_date", "last_updated",
+            ),
             [
-                _text("product_id", required=True, pattern=r"PRD-\d+"),
-                _text("vendor_id", required=True, pattern=r"VND-\d+"),
-                _text("sku product_name", required=True),
-                _text("currency", **_upper),
-                _text("price cost", lo=0, **_float),
-                _text("stock_quantity reorder_level review_count", **_int),
-                _text("weight_kg", **_float),
-                _text("rating", lo=0, hi=5, **_float),
-                _text("is_active", **_bool),
-                _text("tags", type="json"),
-                _text("created_date", type="date"),
-                _text("last_updated", **_date),
+                _text(("product_id",), required=True, pattern=r"PRD-\d+"),
+                _text(("vendor_id",), required=True, pattern=r"VND-\d+"),
+                _text(("sku", "product_name"), required=True),
+                _text(("currency",), **_upper),
+                _text(("price", "cost"), lo=0, **_float),
+                _text(("stock_quantity", "reorder_level", "review_count"), **_int),
+                _text(("weight_kg",), **_float),
+                _text(("rating",), lo=0, hi=5, **_float),
+                _text(("is_active",), **_bool),
+                _text(("tags",), type="json"),
+                _text(("created_date",), type="date"),
+                _text(("last_updated",), **_date),
             ],
             {"vendor_id": "vendor"},
         ),
         _entity(
             "transaction",
             "transaction_id",
-            "transaction_id order_id customer_id product_id transaction_date transaction_timestamp quantity unit_price subtotal tax_amount tax_rate shipping_cost discount_amount discount_percent total_amount is_gift notes payment_status payment_method shipping_method channel region order_status",
+            (
+                "transaction_id", "order_id", "customer_id", "product_id", "transaction_date",
+                "transaction_timestamp", "quantity", "unit_price", "subtotal", "tax_amount", "tax_rate",
+                "shipping_cost", "discount_amount", "discount_percent", "total_amount", "is_gift", "notes",
+                "payment_status", "payment_method", "shipping_method", "channel", "region", "order_status",
+            ),
             [
-                _text("transaction_id", required=True, pattern="TXN-[A-F0-9]+"),
-                _text("transaction_date transaction_timestamp", **_date),
-                _text("quantity", **_int),
-                _text("unit_price subtotal tax_amount tax_rate shipping_cost discount_amount total_amount", **_float),
-                _text("discount_percent", lo=0, hi=100, **_float),
-                _text("is_gift", **_bool),
-                _text("payment_status payment_method shipping_method channel", **_lower),
-                _text("order_status", **_upper),
+                _text(("transaction_id",), required=True, pattern="TXN-[A-F0-9]+"),
+                _text(("transaction_date", "transaction_timestamp"), **_date),
+                _text(("quantity",), **_int),
+                _text(("unit_price", "subtotal", "tax_amount", "tax_rate", "shipping_cost", "discount_amount", "total_amount"), **_float),
+                _text(("discount_percent",), lo=0, hi=100, **_float),
+                _text(("is_gift",), **_bool),
+                _text(("payment_status", "payment_method", "shipping_method", "channel"), **_lower),
+                _text(("order_status",), **_upper),
             ],
             {"customer_id": "customer", "product_id": "product"},
         ),
         _entity(
             "vendor",
             "vendor_id",
-            "vendor_id vendor_name vendor_code country country_code lead_time_days payment_terms currency contact_primary_name contact_email contact_phone address_street address_city address_state address_postal_code address_country categories certifications created_at updated_at region reliability_score status",
+            (
+                "vendor_id", "vendor_name", "vendor_code", "country", "country_code", "lead_time_days",
+                "payment_terms", "currency", "contact_primary_name", "contact_email", "contact_phone",
+                "address_street", "address_city", "address_state", "address_postal_code", "address_country",
+                "categories", "certifications", "created_at", "updated_at", "region", "reliability_score", "status",
+            ),
             [
-                _text("vendor_id", required=True, pattern=r"VND-\d+"),
-                _text("vendor_name", required=True),
-                _text("country_code currency", **_upper),
-                _text("lead_time_days", **_int),
-                _text("contact_email status", **_lower),
-                _text("contact_phone", clean="phone_normalize"),
-                _text("categories certifications", type="json"),
-                _text("created_at updated_at", **_date),
-                _text("reliability_score", lo=0, hi=100, **_float),
+                _text(("vendor_id",), required=True, pattern=r"VND-\d+"),
+                _text(("vendor_name",), required=True),
+                _text(("country_code", "currency"), **_upper),
+                _text(("lead_time_days",), **_int),
+                _text(("contact_email", "status"), **_lower),
+                _text(("contact_phone",), clean="phone_normalize"),
+                _text(("categories", "certifications"), type="json"),
+                _text(("created_at", "updated_at"), **_date),
+                _text(("reliability_score",), lo=0, hi=100, **_float),
             ],
         ),
         _entity(
             "invoice",
             "invoice_id",
-            "invoice_id vendor_id invoice_number invoice_date due_date payment_date po_number subtotal tax_rate tax_amount shipping_handling amount_paid balance_due total_amount vendor_name currency payment_status payment_method payment_terms approved_by notes created_at updated_at",
+            (
+                "invoice_id", "vendor_id", "invoice_number", "invoice_date", "due_date", "payment_date", "po_number",
+                "subtotal", "tax_rate", "tax_amount", "shipping_handling", "amount_paid", "balance_due",
+                "total_amount", "vendor_name", "currency", "payment_status", "payment_method", "payment_terms",
+                "approved_by", "notes", "created_at", "updated_at",
+            ),
             [
-                _text("invoice_id", required=True, pattern="INV-[A-F0-9]+"),
-                _text("vendor_id", required=True),
-                _text("invoice_date due_date payment_date created_at updated_at", **_date),
-                _text("subtotal tax_amount shipping_handling amount_paid balance_due total_amount", **_float),
-                _text("tax_rate", transform="unit_interval", **_float),
-                _text("currency", **_upper),
-                _text("payment_status", **_lower),
-                _text("payment_method", clean="lowercase", transform="snake"),
+                _text(("invoice_id",), required=True, pattern="INV-[A-F0-9]+"),
+                _text(("vendor_id",), required=True),
+                _text(("invoice_date", "due_date", "payment_date", "created_at", "updated_at"), **_date),
+                _text(("subtotal", "tax_amount", "shipping_handling", "amount_paid", "balance_due", "total_amount"), **_float),
+                _text(("tax_rate",), transform="unit_interval", **_float),
+                _text(("currency",), **_upper),
+                _text(("payment_status",), **_lower),
+                _text(("payment_method",), clean="lowercase", transform="snake"),
             ],
             {"vendor_id": "vendor"},
         ),
         _entity(
             "invoice_line_item",
             "",
-            "invoice_id line_number product_id description quantity unit_cost line_total",
-            [_text("invoice_id", required=True), _text("line_number", required=True, **_int), _text("quantity", **_int), _text("unit_cost line_total", **_float)],
+            (
+                "invoice_id", "line_number", "product_id", "description", "quantity", "unit_cost", "line_total",
+            ),
+            [_text(("invoice_id",), required=True), _text(("line_number",), required=True, **_int), _text(("quantity",), **_int), _text(("unit_cost", "line_total"), **_float)],
             {"product_id": "product"},
         ),
         _entity(
             "review",
             "review_id",
-            "review_id product_id customer_id rating title review_text review_date sentiment verified_purchase helpful_votes images response response_responder response_response_text response_response_date",
+            (
+                "review_id", "product_id", "customer_id", "rating", "title", "review_text", "review_date",
+                "sentiment", "verified_purchase", "helpful_votes", "images", "response", "response_responder",
+                "response_response_text", "response_response_date",
+            ),
             [
-                _text("review_id", required=True, not_blank=True),
-                _text("product_id customer_id", required=True),
-                _text("rating", lo=1, hi=5, **_int),
-                _text("review_date response_response_date", **_date),
-                _text("sentiment", **_lower),
-                _text("verified_purchase", **_bool),
-                _text("helpful_votes", **_int),
-                _text("images", type="json"),
+                _text(("review_id",), required=True, not_blank=True),
+                _text(("product_id", "customer_id"), required=True),
+                _text(("rating",), lo=1, hi=5, **_int),
+                _text(("review_date", "response_response_date"), **_date),
+                _text(("sentiment",), **_lower),
+                _text(("verified_purchase",), **_bool),
+                _text(("helpful_votes",), **_int),
+                _text(("images",), type="json"),
             ],
             {"product_id": "product", "customer_id": "customer"},
         ),
         _entity(
             "support_ticket",
             "ticket_id",
-            "ticket_id customer_id product_id channel priority status satisfaction_score created_at resolved_at agent_id transcript summary tags resolution_type",
+            (
+                "ticket_id", "customer_id", "product_id", "channel", "priority", "status", "satisfaction_score",
+                "created_at", "resolved_at", "agent_id", "transcript", "summary", "tags", "resolution_type",
+            ),
             [
-                _text("ticket_id", required=True, not_blank=True),
-                _text("customer_id", required=True),
-                _text("channel priority status resolution_type", **_lower),
-                _text("satisfaction_score", lo=1, hi=5, **_int),
-                _text("created_at resolved_at", **_date),
-                _text("tags", type="json"),
+                _text(("ticket_id",), required=True, not_blank=True),
+                _text(("customer_id",), required=True),
+                _text(("channel", "priority", "status", "resolution_type"), **_lower),
+                _text(("satisfaction_score",), lo=1, hi=5, **_int),
+                _text(("created_at", "resolved_at"), **_date),
+                _text(("tags",), type="json"),
             ],
             {"customer_id": "customer", "product_id": "product"},
         ),
         _entity(
             "call_transcript",
             "call_id",
-            "call_id ticket_id customer_id agent_id agent_name call_start call_end duration_seconds call_type phone_number queue_wait_seconds hold_time_seconds transfers language quality_score resolution_achieved sentiment_overall utterances keywords_detected action_items",
+            (
+                "call_id", "ticket_id", "customer_id", "agent_id", "agent_name", "call_start", "call_end",
+                "duration_seconds", "call_type", "phone_number", "queue_wait_seconds", "hold_time_seconds",
+                "transfers", "language", "quality_score", "resolution_achieved", "sentiment_overall", "utterances",
+                "keywords_detected", "action_items",
+            ),
             [
-                _text("call_id", required=True),
-                _text("customer_id", required=True),
-                _text("call_start call_end", **_date),
-                _text("duration_seconds transfers", lo=0, **_int),
-                _text("queue_wait_seconds hold_time_seconds", **_int),
-                _text("quality_score", lo=0, hi=100, **_float),
-                _text("resolution_achieved", **_bool),
-                _text("call_type language sentiment_overall", **_lower),
-                _text("phone_number", clean="phone_normalize"),
-                _text("utterances keywords_detected action_items", type="json"),
+                _text(("call_id",), required=True),
+                _text(("customer_id",), required=True),
+                _text(("call_start", "call_end"), **_date),
+                _text(("duration_seconds", "transfers"), lo=0, **_int),
+                _text(("queue_wait_seconds", "hold_time_seconds"), **_int),
+                _text(("quality_score",), lo=0, hi=100, **_float),
+                _text(("resolution_achieved",), **_bool),
+                _text(("call_type", "language", "sentiment_overall"), **_lower),
+                _text(("phone_number",), clean="phone_normalize"),
+                _text(("utterances", "keywords_detected", "action_items"), type="json"),
             ],
             {"ticket_id": "support_ticket", "customer_id": "customer"},
         ),
