@@ -39,8 +39,8 @@ _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.bina
 REPEAT, SHARED, HOT = 0, 1, 2
 #: Distinct phrases under one trigger that a part sends to one bucket; the others are dealt by content.
 CROWD = 256
-#: Bytes of text for each bucket.
-BUCKET = 1 << 29
+#: Most bytes of text for each bucket, which one Python worker holds: at some 130 bytes for a place and one every 27 bytes of text, about 320 MB.
+BUCKET = 1 << 26
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
