@@ -29,7 +29,7 @@ def plain(v):
     return str(float(v)) if not isinstance(v, str | bool) and hasattr(v, "__float__") else str(v)
 
 
-@pytest.mark.parametrize("name", ["customer_features", "fk_cascade", "line_items_fk", "clean_date_mixed", "edges_similar_to", "q_vendor_influence", "quality_summary", "dedup_keep_first"])
+@pytest.mark.parametrize("name", ["customer_features", "fk_cascade", "line_items_fk", "clean_date_mixed", "edges_similar_to", "q_vendor_influence", "quality_summary", "dedup_keep_first", "place_csv", "place_json_lines", "place_parquet", "first_row_over_files", "scan_json_list", "scan_json_first_list", "scan_json_empty", "flatten_by_record", "silver_from_files", "quarantine_array", "graph_load_errors", "q_reliable_vendor_products", "nodes_first_row", "agents_last_row", "edges_first_row", "clean_phone_varied", "graph_degree_summary"])
 def test_queries_equal_their_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, SF)
     want = duck.sql(queries.ORACLE_SQL[name])
