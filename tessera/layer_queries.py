@@ -423,7 +423,8 @@ def report_silver_table(a):
 
 # --- graph loads ---------------------------------------------------------------------
 
-_LINE_NAME, _LINE_PLACE = "l_orderkey || '-' || l_linenumber", "l_orderkey * 10 + l_linenumber"
+# Some lines share order and number, so the part tells them apart.
+_LINE_NAME, _LINE_PLACE = "l_orderkey || '-' || l_linenumber || '-' || l_partkey", "(CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 100000000 + l_partkey"
 
 
 def _lines(a, **columns: str) -> DataFrame:
