@@ -87,11 +87,12 @@ def _cut(splits: dict[str, np.ndarray], header: bool):
     where = {key: k for k, key in enumerate(zip(splits["file"].tolist(), splits["block"].tolist(), strict=True))}
 
     def run(batches):
+        # ``held``: lines of a record that isn't cut yet, which may come over several batches; ``head``: whether it started in this split.
         now, k, row, state, held, head = None, 0, 0, 0, [], False
         for split, values in by_split(batches):
             if split != now:
                 if held:
-                    yield piece(row, k, head, "\n".join(held))
+                    yield piece(row, k, head and state == 0, "\n".join(held))
                 now, held, head = split, [], False
                 k = where[split]
                 # The number of the record that the split starts in, or that of the last one before.
@@ -118,7 +119,7 @@ def _cut(splits: dict[str, np.ndarray], header: bool):
                 yield pieces(rows[-1:], k, held)
                 held, head = [], False
         if held:
-            yield piece(row, k, head, "\n".join(held))
+            yield piece(row, k, head and state == 0, "\n".join(held))
 
     first = {int(r) for r in splits["first"]} if header else set()
 
@@ -128,7 +129,9 @@ def _cut(splits: dict[str, np.ndarray], header: bool):
         n = len(texts)
         return pa.RecordBatch.from_arrays([pa.array(rows[list(keep)] if n else [], pa.int64()), pa.array([k] * n, pa.int64()), pa.array([True] * n, pa.bool_()), pa.array(texts, pa.string())], names=["row", "split", "whole", "value"])
 
-    def piece(row, k, starts, text):
+    def piece(row, k, whole, text):
+        if whole:
+            return pieces(np.array([row]), k, [text])
         none = row in first
         return pa.RecordBatch.from_arrays([pa.array([] if none else [x], t) for x, t in ((row, pa.int64()), (k, pa.int64()), (False, pa.bool_()), (text, pa.string()))], names=["row", "split", "whole", "value"])
 

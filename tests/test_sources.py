@@ -115,6 +115,24 @@ def test_split_csv_equals_one_task(spark, tmp_path, cut):
     assert csv_records(spark, str(tmp_path)).rdd.getNumPartitions() > 5
 
 
+@pytest.fixture
+def batches(spark):
+    """Sets how many rows an Arrow batch has."""
+    yield lambda n: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 7])
+def test_csv_records_may_run_through_batches(spark, tmp_path, batches, rows):
+    """One split, and records, the header and the last one among them, that an Arrow batch's edge runs through."""
+    want = [f'{k},"{"\n" * (k % 4)}{k}"' for k in range(40)] + ['40,"\n\n\n\n\n\n\n\n"']
+    (tmp_path / "x.csv").write_text('n,"a\nb\nc"\n' + "\n".join(want))
+    batches(rows)
+    found = csv_records(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 1
+    assert [(r.value, r[ROW]) for r in by_place(found)] == [(w, k) for k, w in enumerate(want)]
+
+
 def test_csv_of_nothing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     assert read_csv(spark, str(tmp_path)).count() == 0
