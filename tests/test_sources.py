@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators.integrity import keep_first
 from tessera.sources.places import ROW, with_place
 from tessera.sources.reader import read_csv, read_json, read_json_lines, read_parquet
 from tessera.sources.records import flatten_records
@@ -133,6 +134,14 @@ def test_csv_records_may_run_through_batches(spark, tmp_path, batches, rows):
     assert [(r.value, r[ROW]) for r in by_place(found)] == [(w, k) for k, w in enumerate(want)]
 
 
+def test_first_row_of_a_key_runs_through_batches(spark, tmp_path, batches):
+    """The first row of every key is one that a batch's edge cuts."""
+    (tmp_path / "x.csv").write_text("key,note\n" + "".join(f'{k % 5},"{k}\n"\n' for k in range(20)))
+    batches(2)
+    got = keep_first(read_csv(spark, str(tmp_path)), ["key"], [ROW])
+    assert sorted((r.key, r.note, r[ROW]) for r in got.collect()) == [(str(k), f"{k}\n", k) for k in range(5)]
+
+
 def test_csv_of_nothing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     assert read_csv(spark, str(tmp_path)).count() == 0
