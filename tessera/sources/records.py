@@ -44,7 +44,9 @@ def _columns(values: DataFrame) -> list[tuple[str, str | None, frozenset[str]]]:
     own = entries.select("_at", "_pos", "key", F.when(_plain_object(F.col("shape")), F.map_entries(_children(F.col("value")))).alias("children"), "shape")
     spot = lambda child, kind, place: F.struct(child.cast("string").alias("child"), kind.alias("kind"), place.cast("int").alias("place"))
     listed = F.when(F.col("children").isNull(), F.array(spot(F.lit(None), _kind(F.col("shape")), F.lit(0)))).otherwise(F.transform("children", lambda c, k: spot(c["key"], _kind(_shape(c["value"])), k)))
-    found = own.select("_at", "_pos", "key", F.explode(listed).alias("c")).groupBy("key", "c.child", "c.kind").agg(F.min(F.struct("_at", "_pos", "c.place")).alias("first")).collect()
+    # A record has a column once, so the spot of the first record is that of the column. Whole numbers let Spark aggregate by hash, where structs would be sorted.
+    spots = own.select("_at", "key", "_pos", F.explode(listed).alias("c")).select("_at", "key", "c.child", "c.kind", (F.col("_pos").cast("long") * (1 << 31) + F.col("c.place")).alias("_spot"))
+    found = spots.groupBy("key", "child", "kind").agg(F.struct(F.min("_at"), F.min_by("_spot", "_at")).alias("first")).collect()
     kinds: dict[tuple, set] = {}
     for r in sorted(found, key=lambda r: tuple(r["first"])):
         kinds.setdefault((r["key"], r["child"]), set()).add(r["kind"])

@@ -11,6 +11,7 @@ from tessera.operators.integrity import keep_first
 from tessera.sources.places import ROW, with_place
 from tessera.sources.reader import read_csv, read_json, read_json_lines, read_parquet
 from tessera.sources.records import flatten_records
+from tessera.sources.sinks import write_json_array
 from tessera.sources.split_csv import csv_records
 from tessera.sources.split_json import json_records
 
@@ -252,3 +253,25 @@ def test_read_json_gives_flat_rows(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"z": [{"a": 1, "s": {"t": "u"}}, {"a": 2, "s": None}], "b": [{"a": 9}]}))
     got = by_place(read_json(spark, str(tmp_path / "x.json")))
     assert [r.asDict() for r in got] == [{"a": 1, "s_t": "u", "s": None, ROW: 0}, {"a": 2, "s_t": None, "s": None, ROW: 1}]
+
+
+def test_json_array_is_sorted_by_ranges(spark, tmp_path):
+    """Many ranges make one file, whose rows are in order, and no range is sorted with all others."""
+    spark.range(1000).selectExpr("(id * 37) % 500 as row_index", "id as n", "if(id % 3 = 0, null, 'é\n,') as s").repartition(5).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("array", "")
+    try:
+        write_json_array(spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "x.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tasks.getStageInfo(s) for job in tasks.getJobIdsForGroup("array") for s in tasks.getJobInfo(job).stageIds]
+    assert sum(s is not None and s.numTasks > 1 for s in stages) >= 3
+    want = sorted(({"row_index": n * 37 % 500, "n": n, "s": None if n % 3 == 0 else "é\n,"} for n in range(1000)), key=lambda r: (r["row_index"], json.dumps(r)))
+    got = json.loads((tmp_path / "x.json").read_text())
+    assert [r["row_index"] for r in got] == [r["row_index"] for r in want]
+    assert sorted(r["n"] for r in got) == list(range(1000)) and all(r in want for r in got)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t", "x.json"]
+    write_json_array(spark.read.parquet(str(tmp_path / "t")).filter("n < 0"), str(tmp_path / "x.json"))
+    assert json.loads((tmp_path / "x.json").read_text()) == []
