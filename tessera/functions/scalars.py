@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # The words of boolean cells, in lower case, and the latest epoch second read as a date.
 TRUE_WORDS, FALSE_WORDS, LAST_EPOCH = ("true", "yes", "1", "y"), ("false", "no", "0", "n"), 4102444800
 _ISO = r"^\s*(\d{4}-\d{1,2}-\d{1,2})(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?\s*$"
+_PLAIN = r"\A(?!0000)\d{4}-\d{2}-\d{2}\z"
 #: Tried in this order: month before day, then day before month where the first is no month.
 _FORMATS = ("M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
 
@@ -53,12 +54,13 @@ def trim_all(c: Column) -> Column:
 
 def native_date(c: Column) -> Column:
     """The date of a cell whose form is known: epoch seconds, ISO with or without time, then the listed forms; else null."""
+    plain = F.when(c.rlike(_PLAIN), c.try_cast("date"))  # The most frequent form, without a parser of formats.
     seconds = F.when(c.rlike(r"\A\d+\.?\d*\z"), c.try_cast("double"))
     epoch = F.when(seconds.between(0, LAST_EPOCH), F.to_date(F.timestamp_seconds(seconds)))
     iso = F.regexp_extract(c, _ISO, 1)
     tries = [F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-M-d")))]
     tries += [F.to_date(F.try_to_timestamp(strip(c), F.lit(f))) for f in _FORMATS]
-    return F.coalesce(epoch, *tries)
+    return F.coalesce(plain, epoch, *tries)
 
 
 def _leftover(day: dt.date):

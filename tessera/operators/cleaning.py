@@ -61,6 +61,7 @@ class SilverCleaner:
 
     def __init__(self, cleaning_rules: Mapping | None = None, reference_date: dt.date | None = None) -> None:
         described = BUILT_IN if cleaning_rules is None else cleaning_rules.get("cleaners") or {}
+        self.dates = {name for name, d in described.items() if (d or {}).get("type") == "date"}
         self.rules = {name: rule for name, d in described.items() if (rule := compile_rule(d, reference_date)) is not None}
 
     def applies(self, df: DataFrame, name: str, rule: str | None) -> bool:
@@ -75,10 +76,16 @@ class SilverCleaner:
             return df, False
         return df.withColumn(field_name, self.rules[rule_name](F.col(f"`{field_name}`"))), True
 
-    def clean(self, df: DataFrame, entity: EntitySpec) -> tuple[DataFrame, list[str]]:
-        """All of an entity's rules in one projection; also the columns they applied to."""
+    def unread_dates(self, df: DataFrame, entity: EntitySpec) -> dict[str, Column]:
+        """For each column with a rule for dates: whether a cell has a form that only the Arrow function may read."""
+        cells = {f.name: F.col(f"`{f.name}`") for f in entity.fields if f.clean in self.dates and self.applies(df, f.name, f.clean)}
+        return {name: S.native_date(c).isNull() & (c != "") for name, c in cells.items()}
+
+    def clean(self, df: DataFrame, entity: EntitySpec, read: frozenset[str] = frozenset()) -> tuple[DataFrame, list[str]]:
+        """All of an entity's rules in one projection; also the columns they applied to. Dates in the columns ``read`` have known forms, so no row passes Python for them."""
         todo = [f for f in entity.fields if f.clean and self.applies(df, f.name, f.clean)]
-        return df.withColumns({f.name: self.rules[f.clean](F.col(f"`{f.name}`")) for f in todo}), [f.name for f in todo]
+        rule = lambda f: (lambda c: S.date_iso(c, fallback=False)) if f.name in read else self.rules[f.clean]
+        return df.withColumns({f.name: rule(f)(F.col(f"`{f.name}`")) for f in todo}), [f.name for f in todo]
 
 
 def clean_column(df: DataFrame, name: str, rule: str, reference_date: dt.date | None = None) -> tuple[DataFrame, bool]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import write_table
 from ..specs import ENTITIES, EntitySpec
 from .validation import ERRORS, error, validate
 
@@ -22,6 +24,22 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
     return df.withColumn("_rank", F.row_number().over(spot)).filter("_rank = 1").drop("_rank")
 
 
+def first_places(df: DataFrame, keys: list[str], row: str, path: str) -> DataFrame:
+    """``keep_first`` by a column that differs in all rows, for wide tables whose keys seldom repeat.
+
+    Keys that repeat are found from keys and places alone and written to ``path``. So
+    Spark knows how large their table is, and sends it to all tasks if it is small;
+    then no row of ``df`` is shuffled or sorted. ``df`` is read twice, and its rows
+    have to be the same both times.
+    """
+    names = [f"_key{k}" for k in range(len(keys))]
+    narrow = df.select(*[F.col(f"`{key}`").alias(name) for key, name in zip(keys, names, strict=True)], F.col(row).alias("_first"))
+    repeated = narrow.groupBy(*names).agg(F.min("_first").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    repeated = write_table(repeated, path)
+    same = reduce(lambda a, b: a & b, [F.col(f"`{key}`").eqNullSafe(F.col(name)) for key, name in zip(keys, names, strict=True)])
+    return df.join(repeated, same, "left").filter(F.col("_first").isNull() | (F.col("_first") == F.col(row))).drop("_first", *names)
+
+
 def orphans(df: DataFrame, fields: dict[str, DataFrame], out: str = "_orphan") -> DataFrame:
     """``df`` with an array of errors, one for each field whose value is not among its parent's keys.
 
@@ -29,13 +47,14 @@ def orphans(df: DataFrame, fields: dict[str, DataFrame], out: str = "_orphan") -
     orphans. Keys are compared as strings. Each check is a left join against distinct keys,
     which adaptive execution broadcasts if they are small and splits if a key is hot.
     """
-    found = []
+    found, bad = [], F.lit(False)
     for k, (name, keys) in enumerate(fields.items()):
         keys = keys.select(F.col(keys.columns[0]).cast("string").alias(f"_key{k}")).filter(f"_key{k} is not null").distinct()
         df = df.join(keys, F.col(f"`{name}`").cast("string") == F.col(f"_key{k}"), "left")
         lost = F.col(f"`{name}`").isNotNull() & (F.col(f"`{name}`").cast("string") != "") & F.col(f"_key{k}").isNull()
         found.append(F.when(lost, error(name, F.col(f"`{name}`"), "referential_integrity", f"{name} has no parent", "parent")))
-    errors = F.filter(F.array(*found), lambda e: e.isNotNull()).cast(ERRORS) if found else F.array().cast(ERRORS)
+        bad = bad | F.coalesce(lost, F.lit(False))
+    errors = F.when(bad, F.filter(F.array(*found), lambda e: e.isNotNull()).cast(ERRORS)).otherwise(F.array().cast(ERRORS)) if found else F.array().cast(ERRORS)
     return df.withColumn(out, errors).drop(*[f"_key{k}" for k in range(len(fields))])
 
 

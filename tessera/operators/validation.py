@@ -39,8 +39,8 @@ def typed(c: Column, kind: str, native: T.DataType) -> tuple[Column, Column]:
     return value, F.when(c.isNotNull() & value.isNull(), bad)
 
 
-def rule(f: FieldSpec, raw: Column, native: T.DataType, reference_date: dt.date) -> tuple[Column, Column]:
-    """(validated value, error struct or null) of one field; at most one error, the first that applies."""
+def rule(f: FieldSpec, raw: Column, native: T.DataType, reference_date: dt.date) -> tuple[Column, Column, Column]:
+    """(validated value, error struct or null, whether there is one) of one field; at most one error, the first that applies."""
     value, bad = typed(raw, f.type, native)
     fail = lambda kind, msg: error(f.name, raw, kind, msg)
     checks: list[tuple[Column, Column]] = []
@@ -63,7 +63,7 @@ def rule(f: FieldSpec, raw: Column, native: T.DataType, reference_date: dt.date)
     if f.transform == "not_future":
         value = not_future(value, reference_date)
     chain = reduce(lambda made, check: made.when(*check), checks[1:], F.when(*checks[0]))
-    return value, chain
+    return value, chain, reduce(lambda found, check: found | F.coalesce(check[0], F.lit(False)), checks, F.lit(False))
 
 
 def validate(df: DataFrame, entity: EntitySpec, reference_date: dt.date, out: str = "_errors") -> DataFrame:
@@ -71,17 +71,19 @@ def validate(df: DataFrame, entity: EntitySpec, reference_date: dt.date, out: st
 
     Declared columns come first, in the entity's order; lineage and other columns
     whose name starts with ``_`` follow, the rest is dropped. ``_raw`` keeps the
-    record as it came, as a map of strings.
+    record as it came, as a map of strings. Errors are made for rows that have some
+    alone: Spark does not compile functions over arrays.
     """
     have = {f.name: f.dataType for f in df.schema}
     raw = F.map_from_arrays(F.array(*[F.lit(c) for c in have if c[0] != "_"]), F.array(*[F.col(f"`{c}`").cast("string") for c in have if c[0] != "_"]))
-    values, errors = [], []
+    values, errors, bad = [], [], F.lit(False)
     for f in entity.fields:
         cell = F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast("string")
-        value, err = rule(f, cell, have.get(f.name, T.StringType()), reference_date)
+        value, err, failed = rule(f, cell, have.get(f.name, T.StringType()), reference_date)
         values.append(value.cast(SPARK_TYPES[f.type]).alias(f.name))
         errors.append(err)
-    found = F.filter(F.array(*errors), lambda e: e.isNotNull()).cast(ERRORS)
+        bad = bad | failed
+    found = F.when(bad, F.filter(F.array(*errors), lambda e: e.isNotNull()).cast(ERRORS)).otherwise(F.array().cast(ERRORS))
     return df.select(*values, *[c for c in have if c[0] == "_"], raw.alias("_raw"), found.alias(out))
 
 

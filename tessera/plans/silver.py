@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import SilverCleaner
-from ..operators.integrity import judge, judge_line_items, keep_first, line_items, quarantined, valid
+from ..operators.integrity import first_places, judge, judge_line_items, keep_first, line_items, quarantined, valid
 from ..operators.validation import histogram
 from ..session import side_by_side
 from ..sources.reader import ROW, exists
@@ -20,6 +20,11 @@ from ..specs import ENTITIES, SOURCES, EntitySpec, SourceSpec, levels
 
 log = logging.getLogger(__name__)
 
+#: The JSON list of an invoice's items as it came, which stays beside the judged invoice.
+ITEMS = "_items"
+#: The share of rows that repeat a key, from which on all rows are shuffled to find the first of each key.
+REPEATED = 0.1
+
 
 @dataclass
 class ProcessingResult:
@@ -76,19 +81,31 @@ class SilverProcessor:
         if entity is None:
             result.total = result.valid = write_table(raw, f"{self.output_dir}/{source.name}").count()
             return result
-        df, result.cleaned = self.cleaner.clean(raw, entity)
+        kept = raw.withColumn(ITEMS, F.col("line_items_json")) if self._has_items(source, raw) else raw
+        # One pass steers the way: whether keys repeat often, and whether dates need Python. All ways give the same rows.
+        unread = self.cleaner.unread_dates(raw, entity)
+        keys = F.approx_count_distinct(F.col(f"`{entity.key}`"), 0.02) if entity.key in raw.columns else F.lit(0)
+        result.total, distinct, *left = raw.agg(F.count("*"), keys, *[F.count_if(c) for c in unread.values()]).first()
+        df, result.cleaned = self.cleaner.clean(kept, entity, frozenset(name for name, n in zip(unread, left, strict=True) if not n))
         if entity.key in df.columns:
-            df = keep_first(df, [entity.key], [ROW])
-        result.total = raw.count()
+            if distinct < (1 - REPEATED) * result.total:
+                df = keep_first(df, [entity.key], [ROW])
+            else:
+                df = first_places(df, [entity.key], ROW, f"{self.output_dir}/_repeated/{source.name}")
         self._finish(judge(df, entity, self.keys, self.reference_date), source.name, result)
         result.duplicates_removed = result.total - result.valid - result.quarantined
         if result.valid:
             self.keys[entity.name] = self.spark.read.parquet(f"{self.output_dir}/{source.name}").select(entity.key)
         return result
 
+    @staticmethod
+    def _has_items(source: SourceSpec, bronze: DataFrame) -> bool:
+        return source.name == "invoices" and "line_items_json" in bronze.columns
+
     def _finish(self, judged: DataFrame, name: str, result: ProcessingResult, placed: bool = True) -> None:
-        judged = write_table(judged, f"{self.output_dir}/_judged/{name}")
-        good = valid(judged).withColumnsRenamed({"_source_file": "source_file", "_loaded_at": "loaded_at"})
+        # The record as it came is only needed where it is quarantined.
+        judged = write_table(judged.withColumn("_raw", F.when(F.size("_errors") > 0, F.col("_raw"))), f"{self.output_dir}/_judged/{name}")
+        good = valid(judged).drop(ITEMS).withColumnsRenamed({"_source_file": "source_file", "_loaded_at": "loaded_at"})
         # The place in the source stays: what follows takes first and last rows by it.
         good = good.select(*[c for c in good.columns if c != ROW], *[c for c in good.columns if c == ROW and placed])
         good = write_table(good, f"{self.output_dir}/{name}")
@@ -99,17 +116,18 @@ class SilverProcessor:
         lost = F.exists("_errors", lambda e: e["type"] == "referential_integrity")
         row = judged.agg(F.count_if(F.size("_errors") == 0), F.count_if(F.size("_errors") > 0), F.count_if(lost)).first()
         result.valid, result.quarantined, result.orphaned = row
-        result.errors = {r["type"]: r["n"] for r in histogram(judged).collect()}
+        result.errors = {r["type"]: r["n"] for r in histogram(judged.filter(F.size("_errors") > 0)).collect()}
 
     def process_line_items(self) -> ProcessingResult | None:
         """Items of the JSON lists of the valid invoices, each invoice once; None if there are no such lists."""
-        path = f"{self.bronze_dir}/invoices"
-        if "invoice" not in self.keys or not exists(self.spark, path):
+        path = f"{self.output_dir}/_judged/invoices"
+        if "invoice" not in self.keys or not exists(self.spark, f"{self.bronze_dir}/invoices") or not exists(self.spark, path):
             return None
-        bronze = self.spark.read.parquet(path)
-        if "line_items_json" not in bronze.columns:
+        judged = self.spark.read.parquet(path)
+        if ITEMS not in judged.columns:
             return None
-        items = line_items(keep_first(bronze, ["invoice_id"], [ROW]), self.keys["invoice"])
+        # Judged invoices are there once, and their lists stand beside them.
+        items = line_items(valid(judged), items_col=ITEMS)
         result = ProcessingResult("invoice_line_items", "invoice_line_item")
         self._finish(judge_line_items(items, self.keys.get("product"), self.reference_date, self.entities.get("invoice_line_item", ENTITIES["invoice_line_item"])), "invoice_line_items", result, placed=False)
         result.total = result.valid + result.quarantined
