@@ -313,3 +313,38 @@ def test_logging(tmp_path):
     get_logger("x").info("said")
     assert path.read_text() == "INFO <said>\n"
     setup_logging(None, console=False)
+
+
+def test_first_places_keep_what_the_window_keeps(spark, tmp_path):
+    """Repeated and null keys; only keys and places are shuffled."""
+    from tessera.operators.integrity import first_places
+
+    df = spark.range(300).selectExpr("if(id % 7 = 0, null, cast(id % 100 as string)) as key", "299 - id as _row_id", "repeat('x', 50) as wide")
+    df.repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = first_places(df, ["key"], "_row_id", str(tmp_path / "again"))
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, keep_first(df, ["key"], ["_row_id"]).collect()))
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("again", [0, 40])
+def test_silver_of_invoices_keeps_records_of_bad_rows_alone(spark, tmp_path, again):
+    """With few and with many repeated keys, and dates of known and of odd forms."""
+    from tessera.plans.silver import SilverProcessor
+    from tessera.specs import SourceSpec
+
+    item = '[{"line_number": "1", "product_id": "P", "quantity": "2", "line_total": "3"}]'
+    rows = [(f"INV-{k:X}" if k % 10 else "bad", "V", "2024-01-02" if k % 3 else "Jan 2nd 2024", "2024-01-03", item, k) for k in [*range(100), *range(again)]]
+    rows = [(*r[:5], n) for n, r in enumerate(rows)]
+    spark.createDataFrame(rows, "invoice_id string, vendor_id string, invoice_date string, due_date string, line_items_json string, _row_id long").write.parquet(f"{tmp_path}/bronze/invoices")
+    found = SilverProcessor(spark, f"{tmp_path}/bronze", f"{tmp_path}/silver", f"{tmp_path}/quarantine", (SourceSpec("invoices", "x", "csv", "invoice"),), DAY).process_all()
+    r = found["invoices"]
+    assert (r.total, r.valid, r.quarantined, r.duplicates_removed) == (100 + again, 90, 1, 9 + again)
+    silver = spark.read.parquet(f"{tmp_path}/silver/invoices")
+    assert {x.invoice_date for x in silver.select("invoice_date").distinct().collect()} == {"2024-01-02"} and "_items" not in silver.columns
+    judged = spark.read.parquet(f"{tmp_path}/silver/_judged/invoices")
+    assert judged.filter("_raw is not null").count() == 1
+    assert (found["invoice_line_items"].total, found["invoice_line_items"].valid) == (90, 90)
+    (bad,) = spark.read.json(f"{tmp_path}/quarantine/invoices").collect()
+    assert bad.record.line_items_json == item and bad.record.invoice_date == "2024-01-02" and "_items" not in bad.record.asDict()
