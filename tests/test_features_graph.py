@@ -197,3 +197,16 @@ def test_a_database_with_the_schema(spark, odd_silver, tmp_path, caplog):
         assert loader.database is None
     finally:
         spark.sql("DROP DATABASE shop_graph CASCADE")
+
+
+def test_product_stats_deal_rows_before_sums(spark, tmp_path):
+    """Rows are dealt by product and customer as they come, so no sums stand beside them in the first shuffle."""
+    from tessera.plans.features import product_stats
+
+    spark.range(100).selectExpr("concat('P', id % 3) as product_id", "concat('C', id % 5) as customer_id", "cast(id as decimal(18,2)) as total_amount", "id as quantity", "date'2024-01-01' as transaction_date").write.parquet(str(tmp_path / "t"))
+    got = product_stats(spark.read.parquet(str(tmp_path / "t")))
+    rows = {r.product_id: r for r in got.collect()}
+    assert [(rows[f"P{k}"].times_sold, rows[f"P{k}"].unique_customers, rows[f"P{k}"].total_quantity_sold) for k in range(3)] == [(len(range(k, 100, 3)), 5, sum(range(k, 100, 3))) for k in range(3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    first = plan[: plan.index("FileScan")].splitlines()
+    assert "REPARTITION_BY_COL" in next(line for line in reversed(first) if "Exchange" in line)
