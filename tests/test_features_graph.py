@@ -210,3 +210,25 @@ def test_product_stats_deal_rows_before_sums(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     first = plan[: plan.index("FileScan")].splitlines()
     assert "REPARTITION_BY_COL" in next(line for line in reversed(first) if "Exchange" in line)
+
+
+def test_product_stats_add_up_shares_of_customers(spark):
+    """Every customer of a product counts once, whichever share they fall in, and an empty one not at all."""
+    from tessera.plans.features import product_stats
+
+    rows = [(f"P{k % 3}", f"C{k % 41}" if k % 41 else None, float(k % 7 - 1), 1, f"2024-01-{1 + k % 28:02d}") for k in range(600)]
+    got = by(product_stats(spark.createDataFrame(rows, "product_id string, customer_id string, total_amount double, quantity long, transaction_date string")), "product_id")
+    for p in ("P0", "P1", "P2"):
+        own = [r for r in rows if r[0] == p]
+        want = (len(own), sum(r[2] < 0 for r in own), len(own), sum(r[2] for r in own), sum(max(r[2], 0) for r in own), len({r[1] for r in own} - {None}), min(r[4] for r in own), max(r[4] for r in own))
+        assert tuple(got[p])[1:] == want
+
+
+def test_items_are_dealt_once(spark, tmp_path):
+    """Distinct products and sums of an invoice take one shuffle."""
+    items = [(f"INV-{k % 5}", f"P{k % 4}" if k % 4 else None, float(k)) for k in range(40)]
+    spark.createDataFrame(items, "invoice_id string, product_id string, line_total double").write.parquet(str(tmp_path / "i"))
+    got = G.line_item_stats(spark.read.parquet(str(tmp_path / "i")))
+    want = {i: (i, len({p for x, p, _ in items if x == i} - {None}), sum(t for x, _, t in items if x == i)) for i in {i for i, _, _ in items}}
+    assert {r.invoice_id: tuple(r) for r in got.collect()} == want
+    assert got._jdf.queryExecution().sparkPlan().toString().count("RepartitionBy") + got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1

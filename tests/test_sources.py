@@ -11,7 +11,7 @@ from tessera.operators.integrity import keep_first
 from tessera.sources.places import ROW, with_place
 from tessera.sources.reader import read_csv, read_json, read_json_lines, read_parquet
 from tessera.sources.records import flatten_records
-from tessera.sources.sinks import write_json_array
+from tessera.sources.sinks import export_csv, write_json_array
 from tessera.sources.split_csv import csv_records
 from tessera.sources.split_json import json_records
 
@@ -275,3 +275,24 @@ def test_json_array_is_sorted_by_ranges(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t", "x.json"]
     write_json_array(spark.read.parquet(str(tmp_path / "t")).filter("n < 0"), str(tmp_path / "x.json"))
     assert json.loads((tmp_path / "x.json").read_text()) == []
+
+
+def test_places_shuffle_no_rows(spark, tmp_path):
+    """Whatever the session says about Arrow, the table of splits is known to be small."""
+    spark.range(50).repartition(5).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        got = read_parquet(spark, str(tmp_path / "t"))
+        assert sorted(r[ROW] for r in got.collect()) == list(range(50))
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
+
+
+def test_compressed_csv_comes_back(spark, tmp_path):
+    """Records with quotes and line breaks over several compressed files, each with a header."""
+    rows = [(str(k), f'"{k}"\n,{"x" * (k % 5)}') for k in range(30)]
+    export_csv(spark.createDataFrame(rows, "k string, v string").repartitionByRange(4, F.col("k").cast("int")).sortWithinPartitions(F.col("k").cast("int")), str(tmp_path / "c"), "gzip")
+    assert list((tmp_path / "c").glob("*.csv.gz"))
+    assert [(r.k, r.v, r[ROW]) for r in by_place(read_csv(spark, str(tmp_path / "c")))] == [(k, v, n) for n, (k, v) in enumerate(rows)]
