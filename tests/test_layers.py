@@ -348,3 +348,18 @@ def test_silver_of_invoices_keeps_records_of_bad_rows_alone(spark, tmp_path, aga
     assert (found["invoice_line_items"].total, found["invoice_line_items"].valid) == (90, 90)
     (bad,) = spark.read.json(f"{tmp_path}/quarantine/invoices").collect()
     assert bad.record.line_items_json == item and bad.record.invoice_date == "2024-01-02" and "_items" not in bad.record.asDict()
+
+
+def test_packed_rows_come_back(spark):
+    """Records and errors pass as text: empty cells, quotes, line breaks and characters beyond ASCII stay, and good rows carry neither."""
+    from tessera.operators.integrity import packed, sound, unpacked
+
+    rows = [("PRD-1", "VND-1", "s", "fine", "1", 0), ("PRD-2", None, 'q"\n\\', "ü\t☃ 😀", "x", 1), ("PRD-3", "VND-9", "s", "lost", "2", 2)]
+    df = spark.createDataFrame(rows, "product_id string, vendor_id string, sku string, product_name string, price string, _row_id long")
+    judged = judge(df, ENTITIES["product"], {"vendor": spark.createDataFrame([("VND-1",)], "vendor_id string")}, DAY)
+    assert [r.product_id for r in judged.filter("_raw is null").collect()] == ["PRD-1"]
+    table = packed(judged)
+    assert sorted(map(str, sound(table).collect())) == sorted(map(str, valid(judged).collect()))
+    assert sorted(map(str, quarantined(unpacked(table)).collect())) == sorted(map(str, quarantined(judged).collect()))
+    (bad,) = quarantined(unpacked(table)).filter("row_index = 1").collect()
+    assert bad.record == dict(zip(df.columns[:5], rows[1], strict=False)) and [e.type for e in bad.errors] == ["missing", "float_parsing"]
