@@ -278,16 +278,19 @@ def test_json_array_is_sorted_by_ranges(spark, tmp_path):
 
 
 def test_places_shuffle_no_rows(spark, tmp_path):
-    """Whatever the session says about Arrow, the table of splits is known to be small."""
-    spark.range(50).repartition(5).write.parquet(str(tmp_path / "t"))
-    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
-    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    """Whatever the session says about Arrow, the table of splits is known to be small, and rows too many to be sent stay where they are."""
+    spark.range(5000).repartition(5).write.parquet(str(tmp_path / "t"))
+    names = ("spark.sql.execution.arrow.pyspark.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    for n, value in zip(names, ("false", "4000"), strict=True):
+        spark.conf.set(n, value)
     try:
         got = read_parquet(spark, str(tmp_path / "t"))
-        assert sorted(r[ROW] for r in got.collect()) == list(range(50))
+        assert sorted(r[ROW] for r in got.collect()) == list(range(5000))
         assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
 
 
 def test_compressed_csv_comes_back(spark, tmp_path):
