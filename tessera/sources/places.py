@@ -9,19 +9,38 @@ in its own. Places are 0, 1, 2 ... however the files are split.
 
 from __future__ import annotations
 
+import threading
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The place of a record in its source, the total order behind "first".
 ROW = "_row_id"
 
+_LOCK = threading.Lock()
+
+
+def keep_splits(spark: SparkSession) -> None:
+    """Lets Spark cut files alike in every pass of this session, also if executors come or go between two passes.
+
+    The size of splits follows the number of cores at the time that a plan runs, unless
+    ``spark.sql.files.minPartitionNum`` is set. If it is not, it becomes the number that
+    Spark would take now, and stays so, as plans read it when they run.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    with _LOCK:
+        if not spark.conf.get(key, None):
+            spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+
+
 def with_place(scan: DataFrame, out: str = ROW) -> DataFrame:
     """``scan``, a table just read from files, with the place of each row.
 
     Splits are counted at once, by a pass that reads no column. That pass and the later
     one are of one and the same scan, whose splits Spark cuts and packs alike each time.
     """
+    keep_splits(scan.sparkSession)
     marked = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_number"))
     return numbered(marked, out)
 

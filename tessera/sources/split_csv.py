@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .places import ROW
+from .places import ROW, keep_splits
 
 _SUMMARY = "file long, block long, odd int, plain long, quoted long"
 _PIECES = "row long, split long, whole boolean, value string"
@@ -26,6 +26,7 @@ _PIECES = "row long, split long, whole boolean, value string"
 
 def lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
     """(value, file, block): the pieces of the files between separators, in order within each split; ``file`` is a digest of the path."""
+    keep_splits(spark)
     found = spark.read.option("recursiveFileLookup", True).text(path, lineSep=separator)
     return found.select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_path").alias("path"))
 

@@ -143,6 +143,41 @@ def test_first_row_of_a_key_runs_through_batches(spark, tmp_path, batches):
     assert sorted((r.key, r.note, r[ROW]) for r in got.collect()) == [(str(k), f"{k}\n", k) for k in range(5)]
 
 
+@pytest.fixture
+def cores(spark):
+    """Sets how many cores Spark sees when it cuts files, as executors that come or go do."""
+
+    def set_(n):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", n)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+    pinned = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    yield set_
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    if pinned:
+        spark.conf.set("spark.sql.files.minPartitionNum", pinned)
+
+
+@pytest.mark.parametrize(("before", "after"), [(4, 12), (12, 4), (6, 5)])
+def test_first_rows_if_executors_come_or_go(spark, tmp_path, cores, before, after):
+    """Rows have their places, and keys their first rows, if the number of cores changes between the passes of a scan."""
+    for f in range(3):
+        rows = range(f * 300, f * 300 + 300)
+        (tmp_path / f"f{f}.csv").write_text("k,g,note\n" + "".join(f'{k},{k % 7},"{k}\n""x"\n' for k in rows))
+        (tmp_path / f"f{f}.jsonl").write_text("".join(f'{{"k": {k}, "g": {k % 7}}}\n' for k in rows))
+    for read, files in ((read_csv, "*.csv"), (read_json_lines, "*.jsonl")):
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        cores(before)
+        found = read(spark, f"{tmp_path}/{files}")
+        first = keep_first(found, ["g"], [ROW])
+        cores(after)
+        assert [(r[ROW], int(r.k)) for r in by_place(found)] == [(k, k) for k in range(900)]
+        assert sorted(int(r.k) for r in first.collect()) == list(range(7))
+
+
 def test_csv_of_nothing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     assert read_csv(spark, str(tmp_path)).count() == 0
