@@ -363,3 +363,61 @@ def test_packed_rows_come_back(spark):
     assert sorted(map(str, quarantined(unpacked(table)).collect())) == sorted(map(str, quarantined(judged).collect()))
     (bad,) = quarantined(unpacked(table)).filter("row_index = 1").collect()
     assert bad.record == dict(zip(df.columns[:5], rows[1], strict=False)) and [e.type for e in bad.errors] == ["missing", "float_parsing"]
+
+
+def most_rows_sent(spark, since=0):
+    """(the most rows of a side of a join that was sent to all tasks, how many executions there were)"""
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    done = store.executionsList()
+    for i in range(since, done.size()):
+        values, nodes = store.executionMetrics(done.apply(i).executionId()), store.planGraph(done.apply(i).executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if node.name() == "BroadcastExchange" and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, done.size()
+
+
+@pytest.fixture
+def one_mb(spark):
+    """Spark sends files of up to 1 MB to all tasks."""
+    spark.conf.set(key := "spark.sql.autoBroadcastJoinThreshold", "1m")
+    yield key
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize(("n", "most", "sent"), [(90_000, "1m", 100), (900, "-1", 0), (900, "1m", 900)])
+def test_keys_go_to_all_tasks_by_their_rows(spark, tmp_path, one_mb, n, most, sent):
+    """Files of 90,000 keys take less than 1 MB, and their rows more; lost, empty and null references are judged alike."""
+    from tessera.plans.silver import SilverProcessor
+
+    spark.conf.set(one_mb, most)
+    _, since = most_rows_sent(spark)
+    spark.range(n).selectExpr("concat('VND-', id) as vendor_id", "'V' as vendor_name", "id as _row_id").write.parquet(f"{tmp_path}/bronze/vendors")
+    vendor = f"case when id % 10 = 3 then concat('VND-', {n} + id) when id % 10 = 5 then '' when id % 10 <> 7 then concat('VND-', id) end"
+    spark.range(100).selectExpr("concat('PRD-', id) as product_id", f"{vendor} as vendor_id", "'s' as sku", "'p' as product_name", "id as _row_id").write.parquet(f"{tmp_path}/bronze/products")
+    sources = (SourceSpec("vendors", "x", "csv", "vendor"), SourceSpec("products", "x", "csv", "product"))
+    found = SilverProcessor(spark, f"{tmp_path}/bronze", f"{tmp_path}/silver", f"{tmp_path}/quarantine", sources, DAY).process_all()
+    assert found["vendors"].valid == n
+    assert (found["products"].valid, found["products"].orphaned, found["products"].errors) == (70, 10, {"referential_integrity": 10, "string_pattern_mismatch": 10, "missing": 10})
+    assert {r.row_index % 10 for r in spark.read.json(f"{tmp_path}/quarantine/products").filter("errors[0].type = 'referential_integrity'").collect()} == {3}
+    assert most_rows_sent(spark, since)[0] <= sent
+
+
+def test_graph_sends_no_table_that_only_looks_small(spark, tmp_path, one_mb):
+    """Ids of one category take little room in files. What the session was told before holds again behind the graph."""
+    n = 90_000
+    _, since = most_rows_sent(spark)
+    spark.range(n).selectExpr("concat('PRD-', id) as product_id", "'VND-1' as vendor_id", "'a category with a name of some length' as category", "id as _row_id").write.parquet(f"{tmp_path}/silver/products")
+    found = GraphLoader(spark, f"{tmp_path}/silver", f"{tmp_path}/graph").load_all()
+    assert (found["product"].records_loaded, found["similar_to"].records_loaded) == (n, 3 * n)
+    assert most_rows_sent(spark, since)[0] < 1000
+    assert spark.conf.get(one_mb) == "1m" and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+def test_json_array_of_texts_that_start_alike(spark, tmp_path):
+    """Rows of one place in the order are dealt by the start of their texts, and sorted by the whole of them."""
+    df = spark.range(300).selectExpr("1 as row_index", "concat(repeat('x', 100), lpad(cast(299 - id as string), 3, '0')) as v").repartition(5)
+    write_json_array(df, f"{tmp_path}/a.json")
+    assert [r["v"][-3:] for r in json.loads((tmp_path / "a.json").read_text())] == [f"{k:03}" for k in range(300)]
